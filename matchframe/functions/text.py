@@ -15,8 +15,9 @@ def _plain(char: str) -> str:
 
 
 @cache
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Characters to replace one for one, their replacements, and those that become several letters.
+def _fold_tables() -> tuple[str, str, str, str]:
+    """Characters to replace one for one and their replacements; characters that become several letters and lie
+    below U+2000, and "x:letters" pairs of all that do.
 
     Built from the Unicode database. Characters whose decomposition has no letter or digit are left out
     (they turn into a space later), marks are put last without a replacement (``translate`` drops those).
@@ -31,21 +32,28 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
         keeps = any(c.isascii() and c.isalnum() for c in plain)
         if not plain:
             dropped.append(char)
-        elif keeps and len(plain) == 1 and code <= 0xFFFF:
+        elif keeps and len(plain) == 1:
             single[char] = plain
         elif keeps:
-            several[char] = plain
-    return "".join(single) + "".join(d for d in dropped if ord(d) <= 0xFFFF), "".join(single.values()), several
+            several[char] = "".join(c if c.isascii() and c.isalnum() else " " for c in plain)
+    low = "".join(c for c in several if c < "\u2000")
+    pairs = ",".join(f"{c}:{s}" for c, s in several.items())
+    return "".join(single) + "".join(dropped), "".join(single.values()), low, pairs
 
 
 def strip_accents(text: Column) -> Column:
     """Letters without accents, ligatures and other compatibility forms spelled out."""
-    matching, replacement, several = _fold_tables()
-    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    rare = "[" + "".join(several) + "]"
-    letters = F.split(text, "")
-    expanded = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    return F.translate(F.when(text.rlike(rare), expanded).otherwise(text), matching, replacement)
+    matching, replacement, low, pairs = _fold_tables()
+    spelled = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
+
+    def spell(c: Column) -> Column:
+        plain = (c < "\u2000") & ~c.isin(*low)
+        return F.when(plain, c).otherwise(F.coalesce(F.try_element_at(spelled, c), c))
+
+    # Few texts have such a character, so only those are taken apart.
+    expanded = F.array_join(F.transform(F.split(text, ""), spell), "")
+    rare = text.rlike(f"[{low}\u2000-\U0010ffff]")
+    return F.translate(F.when(rare, expanded).otherwise(text), matching, replacement)
 
 
 def normalise_name(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["matchlog"]
+_MODULES = ["matchlog", "bodies", "linking", "temporal"]
 
 
 def all_queries() -> dict:

@@ -44,23 +44,29 @@ def setting(spark: SparkSession, option: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder, so that lost executors cost no recompute."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share; a folder of this machine only where Spark runs on it alone."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="matchframe-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that lost executors cost no recompute."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes the plan's sources hold after pruning, as Catalyst estimates them (no job)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hottest_key(df: DataFrame, keys: list[str]) -> tuple[int, int]:

@@ -66,24 +66,23 @@ def flatten_rosters(df: DataFrame, fixture: str = "fixture_id", lineups_json: st
     )
 
 
-def pairs_to_columns(pairs: Column, mapping: dict[str, str]) -> list[Column]:
-    """Columns out of an array of (type, value); the last value of a repeated type wins, other types are ignored."""
-    return [
-        coerce_stat(F.try_element_at(F.filter(pairs, lambda s, t=t: s["type"] == t), F.lit(-1))["value"]).alias(name)
-        for t, name in mapping.items()
-    ]
-
-
 def flatten_statistics(
     df: DataFrame, fixture: str = "fixture_id", statistics_json: str = "statistics_json",
     mapping: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One row per (fixture, team) with a numeric column per known statistic. No shuffle: the pairs are in the row."""
+    """One row per (fixture, team) with a numeric column per known statistic.
+
+    The last value of a repeated type wins, other types are ignored. No shuffle: the pairs are in the row.
+    """
+    mapping = mapping or STATISTIC_COLUMNS
     sides = df.select(fixture, F.explode(F.from_json(statistics_json, STATISTICS_BODY)["response"]).alias("u"))
-    pairs = F.coalesce(F.col("u.statistics"), F.array())
-    return sides.select(
-        fixture, F.col("u.team.id").alias("team_id"), *pairs_to_columns(pairs, mapping or STATISTIC_COLUMNS)
+    newest_first = sides.select(
+        fixture, F.col("u.team.id").alias("team_id"),
+        F.reverse(F.col("u.statistics.type")).alias("_types"), F.reverse(F.col("u.statistics.value")).alias("_values"),
     )
+    raw = {name: F.get("_values", (F.array_position("_types", kind) - 1).cast("int")) for kind, name in mapping.items()}
+    texts = newest_first.select(fixture, "team_id", *[c.alias(name) for name, c in raw.items()])
+    return texts.withColumns({name: coerce_stat(F.col(name)) for name in raw})
 
 
 def kv_to_wide(
