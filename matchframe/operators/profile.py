@@ -29,12 +29,10 @@ def goals_per_year(df: DataFrame, date: str = "date") -> DataFrame:
 
 def outcome_shares(df: DataFrame) -> DataFrame:
     """Share of home wins, draws and away wins."""
-    result = scores.pick_name(scores.outcome(F.col("home_score"), F.col("away_score")))
-    counts = df.groupBy(result.alias("result")).count()
-    # The total is read from the three counted rows, not from the matches again.
-    return counts.join(counts.agg(F.sum("count").alias("_n")).hint("broadcast"), F.lit(True)).select(
-        "result", (F.col("count") / F.col("_n")).alias("share")
-    )
+    result = scores.outcome(F.col("home_score"), F.col("away_score"))
+    names = {"home": scores.HOME, "draw": scores.DRAW, "away": scores.AWAY}
+    shares = df.agg(*[F.avg((result == label).cast("double")).alias(name) for name, label in names.items()])
+    return shares.unpivot([], list(names), "result", "share")
 
 
 def both_present(df: DataFrame, a: str, b: str) -> DataFrame:
