@@ -126,7 +126,8 @@ def fill(df: DataFrame, cols: list[str], how: str = "zero", train: DataFrame | N
     if how != "mean":
         raise ValueError(f"how must be 'zero' or 'mean', got {how!r}")
     means = (df if train is None else train).select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means[c], F.lit(0.0)) for c in cols})
+    held = df.withColumn("_means", means)
+    return held.withColumns({c: F.coalesce(F.col(c), F.col("_means")[c], F.lit(0.0)) for c in cols}).drop("_means")
 
 
 def require(df: DataFrame, cols: list[str]) -> DataFrame:

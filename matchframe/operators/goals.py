@@ -108,7 +108,8 @@ def most_likely_score(df: DataFrame, rho: Column | float, lam_h: str = "lam_home
     def row(p: Column, h: Column) -> Column:
         def cell(q: Column, a: Column) -> Column:
             value = p * q * low_score_factor(h, a, lh, la, F.col("_rho"))
-            return F.struct(value.alias("p"), (-h).alias("h"), (-a).alias("a"))
+            # 0-0 and 1-1 tie wherever lh * la is 1; rounding keeps that a tie.
+            return F.struct(F.round(value, 12).alias("at"), (-h).alias("h"), (-a).alias("a"), value.alias("p"))
 
         return F.transform("_pa", cell)
 
@@ -408,8 +409,8 @@ def regression_rows(matches: DataFrame, features: list[str], xi: float = 0.0018,
 
 def regression_terms(rows: DataFrame, params: DataFrame, k: int) -> DataFrame:
     """Likelihood terms at the one-row ``params`` (arrays m, wa_, wb_ and gamma, rho), read as a scalar subquery."""
-    p = params.select(F.struct("*")).scalar()
-    centred = rows.withColumns(
+    p = F.col("_p")
+    centred = rows.withColumn("_p", params.select(F.struct("*")).scalar()).withColumns(
         {f"{s}c{i}": F.col(f"{s}x{i}") - p["m"][i] for s in "ha" for i in range(k)} | {"rho": p["rho"]}
     )
 

@@ -149,10 +149,10 @@ def standardise(train: DataFrame, apply: DataFrame, cols: list[str], prefix: str
     ).scalar()
 
     def scaled(c: str) -> Column:
-        sd = stats[f"s_{c}"]
-        return (F.col(c) - stats[f"m_{c}"]) / F.when(sd == 0, 1.0).otherwise(sd)
+        sd = F.col("_stats")[f"s_{c}"]
+        return (F.col(c) - F.col("_stats")[f"m_{c}"]) / F.when(sd == 0, 1.0).otherwise(sd)
 
-    return apply.withColumns({f"{prefix}{c}": scaled(c) for c in cols})
+    return apply.withColumn("_stats", stats).withColumns({f"{prefix}{c}": scaled(c) for c in cols}).drop("_stats")
 
 
 def ensemble_average(predictions: DataFrame, keys: list[str], models: list | None = None, model: str = "model") -> DataFrame:
@@ -202,8 +202,9 @@ def weight_scores(wide: DataFrame, models: list, steps: int = 10, truth: str = "
     grid = F.array(*[F.struct(*[F.lit(x).alias(f"w{i}") for i, x in enumerate(w)]) for w in simplex(len(models), steps)])
     names = [f"w{i}" for i in range(len(models))]
     rows = wide.select("*", F.explode(grid).alias("_w")).select("*", "_w.*")
-    return rows.groupBy(*names).agg(
-        F.avg(scores.log_loss_term(F.col(truth), *_blend(models, [F.col(n) for n in names]))).alias("log_loss")
+    blended = rows.select(*names, F.col(truth), *[p.alias(c) for c, p in zip(TRIPLE, _blend(models, [F.col(n) for n in names]))])
+    return blended.groupBy(*names).agg(
+        F.avg(scores.log_loss_term(F.col(truth), *[F.col(c) for c in TRIPLE])).alias("log_loss")
     )
 
 
@@ -212,13 +213,15 @@ def weight_grid_search(tune: DataFrame, test: DataFrame, models: list, steps: in
     names = [f"w{i}" for i in range(len(models))]
     tuned = weight_scores(tune, models, steps, truth)
     best = tuned.agg(F.min(F.struct(F.round("log_loss", 12).alias("log_loss"), *names)).alias("b")).select("b.*")
-    chosen = best.select(F.struct("*")).scalar()
-    triple = _blend(models, [chosen[n] for n in names])
-    scored = test.select(
-        scores.log_loss_term(F.col(truth), *triple).alias("ll"), (scores.pick(*triple) == F.col(truth)).cast("double").alias("hit"),
-        F.struct(*[chosen[n].alias(n) for n in names]).alias("w"),
+    weighted = test.withColumn("_w", best.select(F.struct(*names)).scalar())
+    blended = weighted.select(
+        F.col(truth), "_w", *[p.alias(c) for c, p in zip(TRIPLE, _blend(models, [F.col("_w")[n] for n in names]))]
     )
-    return scored.groupBy("w").agg(F.avg("ll").alias("test_log_loss"), F.avg("hit").alias("test_accuracy")).select("w.*", "test_log_loss", "test_accuracy")
+    triple = [F.col(c) for c in TRIPLE]
+    return blended.groupBy("_w").agg(
+        F.avg(scores.log_loss_term(F.col(truth), *triple)).alias("test_log_loss"),
+        F.avg((scores.pick(*triple) == F.col(truth)).cast("double")).alias("test_accuracy"),
+    ).select("_w.*", "test_log_loss", "test_accuracy")
 
 
 def stack(wide: DataFrame, models: list, folds: list, fold: str = "fold", truth: str = "outcome", **options) -> DataFrame:

@@ -38,7 +38,7 @@ def outcome_shares(df: DataFrame) -> DataFrame:
 def both_present(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows with both values present, of all rows."""
     return df.agg(
-        F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("both"), F.count(F.lit(1)).alias("rows")
+        F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("present"), F.count(F.lit(1)).alias("rows")
     )
 
 
@@ -113,5 +113,5 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         number = [None if v is None else float(v) for v in (mean, sd, low, *q, high)]
         rows.append((c, n, *number))
     return small_table(
-        df.sparkSession, rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+        df.sparkSession, rows, "name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["matchlog", "bodies", "linking", "temporal", "squadlog", "form", "rated", "goalmodels"]
+_MODULES = ["matchlog", "bodies", "linking", "temporal", "squadlog", "form", "rated", "goalmodels", "evaluation"]
 
 
 def all_queries() -> dict:
