@@ -113,10 +113,11 @@ def test_rows(matches: DataFrame, years: list[int], label: str | None = TOP_EVEN
 
 def frozen_ratings(states: DataFrame, years: list[int]) -> DataFrame:
     """(key, fold, team, ratings) as they stood before the fold year: last played year before it, not yet regressed."""
-    folds = F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y > F.col("year"))
-    usable = states.select("key", "year").distinct().select("key", "year", F.explode(folds).alias("fold"))
-    newest = usable.groupBy("key", "fold").agg(F.max("year").alias("year"))
-    return states.join(newest, ["key", "year"]).drop("year")
+    stands = F.filter(
+        F.array(*[F.lit(y) for y in years]),
+        lambda y: (y > F.col("year")) & (F.col("next_year").isNull() | (y <= F.col("next_year"))),
+    )
+    return states.withColumn("fold", F.explode(stands)).drop("year", "next_year")
 
 
 def walk_forward_ratings(
@@ -124,14 +125,15 @@ def walk_forward_ratings(
     label: str | None = TOP_EVENT, members: DataFrame | None = None, neutral_default: bool = True,
 ) -> DataFrame:
     """Predictions of each fold from ratings frozen at the end of the year before. One rating pass serves all folds."""
-    frozen = frozen_ratings(ratings.elo_states(matches, key, params, members), years)
+    # Stored: a lost executor must not cost the chain, and both sides read it.
+    frozen = durable(frozen_ratings(ratings.elo_states(matches, key, params, members), years))
     rows = test_rows(matches, years, label)
     for side in ("home", "away"):
         part = frozen.select(
-            F.col("key").alias("_k"), F.col("fold").alias("_f"), F.col("team").alias("_t"), F.col("r0").alias(f"{side}_elo")
+            F.col("key").alias("_k"), F.col("fold").alias("_f"), F.col("team").alias("_t"), F.col("r0").alias("_r")
         )
         cond = (rows[key] == part["_k"]) & (rows["fold"] == part["_f"]) & (rows[f"{side}_team"] == part["_t"])
-        rows = rows.join(part, cond, "left").drop("_k", "_f", "_t")
+        rows = rows.join(part, cond, "left").drop("_k", "_f", "_t").withColumnRenamed("_r", f"{side}_elo")
     start = F.lit(params.initial)
     neutral = F.coalesce(F.col("neutral"), F.lit(neutral_default))
     rated = rows.withColumns({f"{s}_elo": F.coalesce(f"{s}_elo", start) for s in ("home", "away")} | {"neutral": neutral})

@@ -109,7 +109,7 @@ def most_likely_score(df: DataFrame, rho: Column | float, lam_h: str = "lam_home
         def cell(q: Column, a: Column) -> Column:
             value = p * q * low_score_factor(h, a, lh, la, F.col("_rho"))
             # 0-0 and 1-1 tie wherever lh * la is 1; rounding keeps that a tie.
-            return F.struct(F.round(value, 12).alias("at"), (-h).alias("h"), (-a).alias("a"), value.alias("p"))
+            return F.struct(F.rint(value * 1e12).alias("at"), (-h).alias("h"), (-a).alias("a"), value.alias("p"))
 
         return F.transform("_pa", cell)
 
@@ -184,10 +184,11 @@ def pair_sums(matches: DataFrame, fit: str | None = None, xi: float | Column = 0
 
 
 def _team_terms(sums: DataFrame, params: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pair sums with both teams' strengths and the fit's gamma and rho."""
-    home = params.select("fit", F.col("team").alias("home"), F.col("alpha").alias("ah"), F.col("beta").alias("bh"))
+    """Pair sums with both teams' strengths and the fit's gamma and rho (which come with the home team's)."""
+    strengths = params.join(shared, "fit")
+    home = strengths.select("fit", F.col("team").alias("home"), F.col("alpha").alias("ah"), F.col("beta").alias("bh"), "gamma", "rho")
     away = params.select("fit", F.col("team").alias("away"), F.col("alpha").alias("aa"), F.col("beta").alias("ba"))
-    joined = sums.join(home, ["fit", "home"]).join(away, ["fit", "away"]).join(shared, "fit")
+    joined = sums.join(home, ["fit", "home"]).join(away, ["fit", "away"])
     return _with_terms(
         joined.withColumns({"llh": F.col("ah") - F.col("ba") + F.col("gamma"), "lla": F.col("aa") - F.col("bh")})
     )
@@ -352,14 +353,19 @@ def params_table(model: GoalModel) -> DataFrame:
 
 def predict_rates(matches: DataFrame, teams: DataFrame, shared: DataFrame, fit: str | None = None, neutral_default: bool = False):
     """lam_home, lam_away and rho of each match; an unknown team has strength 0, a neutral match no home advantage."""
-    out = matches.withColumn("_fit", F.lit(0) if fit is None else F.col(fit))
+    out = matches
     for side in ("home", "away"):
-        part = teams.select(
-            F.col("fit").alias("_f"), F.col("team").alias("_t"), F.col("alpha").alias(f"_{side}_a"), F.col("beta").alias(f"_{side}_b")
-        )
-        out = out.join(part, (out["_fit"] == part["_f"]) & (out[f"{side}_team"] == part["_t"]), "left").drop("_f", "_t")
-    both = shared.select(F.col("fit").alias("_f"), F.col("gamma").alias("_gamma"), F.col("rho").alias("rho"))
-    out = out.join(both, out["_fit"] == both["_f"]).drop("_f")
+        part = teams.select(F.col("fit").alias("_f"), F.col("team").alias("_t"), F.col("alpha").alias("_a"), F.col("beta").alias("_b"))
+        same = out[f"{side}_team"] == part["_t"]
+        joined = out.join(part, same if fit is None else same & (out[fit] == part["_f"]), "left").drop("_f", "_t")
+        out = joined.withColumnsRenamed({"_a": f"_{side}_a", "_b": f"_{side}_b"})
+    if fit is None:  # one fit: its two numbers are a scalar subquery
+        one = F.col("_shared")
+        out = out.withColumn("_shared", shared.select(F.struct("gamma", "rho")).scalar())
+        out = out.withColumns({"_gamma": one["gamma"], "rho": one["rho"]}).drop("_shared")
+    else:
+        both = shared.select(F.col("fit").alias("_f"), F.col("gamma").alias("_gamma"), "rho")
+        out = out.join(both, out[fit] == both["_f"]).drop("_f")
     gamma = F.when(F.coalesce(F.col("neutral"), F.lit(neutral_default)), 0.0).otherwise(F.col("_gamma"))
 
     def s(name: str) -> Column:
@@ -370,7 +376,7 @@ def predict_rates(matches: DataFrame, teams: DataFrame, shared: DataFrame, fit:
             "lam_home": F.exp(s("_home_a") - s("_away_b") + gamma),
             "lam_away": F.exp(s("_away_a") - s("_home_b")),
         }
-    ).drop("_fit", "_home_a", "_home_b", "_away_a", "_away_b", "_gamma")
+    ).drop("_home_a", "_home_b", "_away_a", "_away_b", "_gamma")
 
 
 def predict_many(matches: DataFrame, teams: DataFrame, shared: DataFrame, top: int = 10, **options) -> DataFrame:

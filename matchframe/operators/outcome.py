@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.functions import scores
-from matchframe.session import small_table
+from matchframe.session import durable, small_table
 
 TRIPLE = ("p_away", "p_draw", "p_home")
 
@@ -92,7 +92,7 @@ class Boosted:
 
 def boosted_trees(df: DataFrame, features: list[str], label: str = "outcome", rounds: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 0):
     """Three binary boosters, one per class (Spark's booster is binary); predictions are renormalised."""
-    rows = _assembled(df, features, label).persist()
+    rows = durable(_assembled(df, features, label))
     models = []
     for i in range(3):
         one = rows.withColumn("label", (F.col("label") == i).cast("double"))
@@ -100,7 +100,6 @@ def boosted_trees(df: DataFrame, features: list[str], label: str = "outcome", ro
             maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.8"
         )
         models.append(booster.fit(one))
-    rows.unpersist()
     return Boosted(features, models)
 
 

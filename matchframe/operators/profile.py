@@ -56,14 +56,17 @@ def corr(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("corr"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], rows_at_once: int = 100_000, bins: int = 1000) -> list:
+def exact_quantiles(
+    df: DataFrame, col: str, probs: list[float], span: tuple | None = None, rows_at_once: int = 100_000, bins: int = 1000
+) -> list:
     """Exact quantiles (linear interpolation) without sorting the table or holding its values in one place.
 
     Each pass counts the current range into equal bins (a map-side combined aggregate of at most ``bins`` rows)
-    and narrows to the bin with the wanted rank, until the bin is small enough to be read.
+    and narrows to the bin with the wanted rank, until the bin is small enough to be read. ``span`` is the
+    (count, min, max) of the column where it is known.
     """
     values = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    n, low, high = span or values.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if not n:
         return [None] * len(probs)
     known: dict[int, float] = {}
@@ -106,12 +109,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], rows_at_once: i
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of each column, exact."""
+    numbers = df.select([F.col(c).cast("double").alias(c) for c in cols])
+    summary = numbers.agg(*[f(c) for c in cols for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]).first()
     rows = []
-    for c in cols:
-        n, mean, sd, low, high = df.agg(F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).first()
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        number = [None if v is None else float(v) for v in (mean, sd, low, *q, high)]
-        rows.append((c, n, *number))
+    for i, c in enumerate(cols):
+        n, mean, sd, low, high = summary[5 * i : 5 * i + 5]
+        rows.append((c, n, mean, sd, low, *exact_quantiles(numbers, c, [0.25, 0.5, 0.75], (n, low, high)), high))
     return small_table(
         df.sparkSession, rows, "name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     )

@@ -108,17 +108,17 @@ def _folder(make: Callable, params, emit_states: bool, emit_matches: bool, names
         key, year, ratings = None, None, {}
         ratings_of = [f"r{i}" for i in range(rule.width)]
 
-        def states() -> list[tuple]:
-            return [(key, "state", None, year, team, *blank, *r) for team, r in ratings.items()]
+        def states(after: int | None) -> list[tuple]:
+            return [(key, "state", None, year, after, team, *blank, *r) for team, r in ratings.items()]
 
-        names_out = ["key", "kind", "match_id", "year", "team", *rule.columns, *ratings_of]
+        names_out = ["key", "kind", "match_id", "year", "next_year", "team", *rule.columns, *ratings_of]
         for batch in batches:
-            out, ended = [], []
+            out, ended, last = [], [], []
             columns = [batch[c].tolist() for c in names]
             for k_, kind, match, y, home, away, hs, as_, ground, k, *held in zip(*columns):
                 if k_ != key:
                     if emit_states and ratings:
-                        ended.extend(states())
+                        last.extend(states(None))
                     key, year, ratings = k_, None, {}
                 if kind == 0:  # rating held from before
                     ratings[home] = tuple(held)
@@ -128,7 +128,7 @@ def _folder(make: Callable, params, emit_states: bool, emit_matches: bool, names
                     year = y
                 elif y > year:
                     if emit_states:
-                        ended.extend(states())
+                        ended.extend(states(y))
                     keep = 1 - params.regression
                     ratings = {
                         t: tuple(params.initial + keep * (x - params.initial) for x in r) for t, r in ratings.items()
@@ -136,13 +136,13 @@ def _folder(make: Callable, params, emit_states: bool, emit_matches: bool, names
                     year = y
                 row = rule.play(ratings, home, away, hs, as_, ground, k)
                 if emit_matches:
-                    out.append((k_, "match", match, y, None, *row, *((None,) * rule.width)))
-            # Match and state rows go out apart: a column of ids mixed with nulls would turn into floats.
-            for rows in (out, ended):
+                    out.append((k_, "match", match, y, None, None, *row, *((None,) * rule.width)))
+            # Rows of a kind go out together: a column of numbers mixed with nulls would turn into floats.
+            for rows in (out, ended, last):
                 if rows:
                     yield pd.DataFrame(rows, columns=names_out)
         if emit_states and ratings:
-            yield pd.DataFrame(states(), columns=names_out)
+            yield pd.DataFrame(states(None), columns=names_out)
 
     return fold
 
@@ -173,7 +173,7 @@ def _run(
         rows = rows.unionByName(held, allowMissingColumns=True)
     names = ["key", "kind", "match_id", "year", "home", "away", "hs", "as", "ground", "k", *ratings_of]
     schema = (
-        f"key {key_type}, kind string, match_id long, year int, team {team_type}, "
+        f"key {key_type}, kind string, match_id long, year int, next_year int, team {team_type}, "
         + ", ".join(f"{c} double" for c in (*rule.columns, *ratings_of))
     )
     ordered = rows.repartition(F.col("key")).sortWithinPartitions("key", "kind", "at", "match_id").select(*names)
@@ -186,7 +186,7 @@ def _match_rows(folded: DataFrame, rule) -> DataFrame:
 
 
 def _state_rows(folded: DataFrame, rule) -> DataFrame:
-    return folded.filter("kind = 'state'").select("key", "year", "team", *[f"r{i}" for i in range(rule.width)])
+    return folded.filter("kind = 'state'").select("key", "year", "next_year", "team", *[f"r{i}" for i in range(rule.width)])
 
 
 def _single_k(p: RatingParams):
@@ -210,9 +210,10 @@ def elo_states(
     matches: DataFrame, key: str = "league", params: RatingParams = RatingParams(), members: DataFrame | None = None,
     state: DataFrame | None = None, neutral_default: bool = False,
 ) -> DataFrame:
-    """(key, year, team, r0): all ratings as they stand after the last match of each year played, before regression.
+    """(key, year, next_year, team, r0): all ratings after the last match of each year played, before regression.
 
-    One pass serves every walk-forward fold, and the last year is the state to resume from.
+    ``next_year`` is the next year the key plays in, null for its last state. One pass serves every walk-forward
+    fold, and the last state is the one to resume from.
     """
     ready = rating_inputs(matches, members)
     return _state_rows(_run(ready, _Single, params, key, state, "states", _single_k(params), neutral_default), _Single)
@@ -231,7 +232,7 @@ def attack_defense_states(
     matches: DataFrame, key: str = "league", params: GoalRatingParams = GoalRatingParams(), members: DataFrame | None = None,
     state: DataFrame | None = None, neutral_default: bool = False,
 ) -> DataFrame:
-    """(key, year, team, r0 = attack, r1 = defense) at the end of each year played."""
+    """(key, year, next_year, team, r0 = attack, r1 = defense) at the end of each year played."""
     ready = rating_inputs(matches, members)
     folded = _run(ready, _AttackDefense, params, key, state, "states", _goal_k(params), neutral_default)
     return _state_rows(folded, _AttackDefense)
@@ -239,8 +240,7 @@ def attack_defense_states(
 
 def last_state(states: DataFrame) -> DataFrame:
     """State of each key after its last year: what ``state`` of a later fold takes."""
-    newest = states.groupBy("key").agg(F.max("year").alias("year"))
-    return states.join(newest, ["key", "year"], "left_semi")
+    return states.filter(F.col("next_year").isNull()).drop("next_year")
 
 
 def fold_in_periods(matches: DataFrame, years: list[int], key: str = "league", kind: str = "single", **options) -> tuple[DataFrame, DataFrame]:
@@ -288,12 +288,12 @@ def current_ratings(states: DataFrame) -> DataFrame:
 def attack_defense_predict(pairs: DataFrame, ratings: DataFrame, key: str = "key", params: GoalRatingParams = GoalRatingParams()):
     """Expected goals of each pairing (key, home_team, away_team, neutral) from final ratings; unknown teams start fresh."""
     out = pairs
-    for side in ("home", "away"):
+    for side in ("home", "away"):  # the same projection twice, so the ratings are computed once
         part = ratings.select(
-            F.col("key").alias("_key"), F.col("team").alias("_team"),
-            F.col("attack").alias(f"_{side}_a"), F.col("defense").alias(f"_{side}_d"),
+            F.col("key").alias("_key"), F.col("team").alias("_team"), F.col("attack").alias("_a"), F.col("defense").alias("_d")
         )
-        out = out.join(part, (out[key] == part["_key"]) & (out[f"{side}_team"] == part["_team"]), "left").drop("_key", "_team")
+        joined = out.join(part, (out[key] == part["_key"]) & (out[f"{side}_team"] == part["_team"]), "left")
+        out = joined.drop("_key", "_team").withColumnsRenamed({"_a": f"_{side}_a", "_d": f"_{side}_d"})
     start = F.lit(params.initial)
 
     def r(name: str):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchframe.functions.dates import age_at, snapshot_key
 from matchframe.operators.asof import active_interval, asof, eligible_at, snapshots
 from matchframe.operators.ordered import top_per_group
+from matchframe.session import durable
 
 FEATURES = [
     "total_value", "mean_value", "top_n_value", "outfield_mean_age", "gk_mean_age", "n_outfield", "n_gk",
@@ -64,13 +65,15 @@ def squad_features(
     return features.join(sizes, keys)
 
 
-def _valued(people: DataFrame, values: DataFrame, date: str, player: str, tie: list[str]) -> DataFrame:
-    """Latest value of each distinct (player, date) at or before the date, joined back; players without one drop out."""
-    wanted = people.select(player, date).distinct()
-    found = asof(
-        wanted, values, [player], [player], date, "date", {"value": "value"}, [player], tie
-    ).filter(F.col("value").isNotNull())
-    return people.join(found, [player, date])
+def _valued(
+    people: DataFrame, values: DataFrame, date: str, unique: list[str], value_tie: list[str],
+    spells: DataFrame | None = None, spell_cols: tuple[str, str] = ("from_date", "end_date"),
+) -> DataFrame:
+    """People rows with their player's latest value at or before the date, and whether a spell covers the date."""
+    rows = asof(people, values, ["player_id"], ["player_id"], date, "date", {"value": "value"}, unique, value_tie)
+    if spells is None:
+        return rows.withColumn("injured", F.lit(False))
+    return active_interval(rows, spells, "player_id", date, *spell_cols, unique, "injured")
 
 
 def squad_value(
@@ -80,15 +83,17 @@ def squad_value(
     """Value of each country's current roster on a date: total and mean over all, sum of the ``top_n``."""
     rosters = appearances.filter(F.col("career_state").isin(*states)).select("team_id", "player_id").distinct()
     people = team_map.select("country", "team_id").join(rosters, "team_id").withColumn("as_of", dates)
-    valued = _valued(people, values, "as_of", "player_id", value_tie or [])
-    top = top_per_group(valued, ["country"], [F.col("value").desc(), F.col("player_id")], top_n)
-    totals = valued.groupBy("country").agg(
-        F.count(F.lit(1)).alias("n_with_value"), F.sum("value").alias("total_value"), F.avg("value").alias("mean_value")
+    valued = durable(
+        _valued(people, values, "as_of", ["team_id", "player_id"], value_tie or []).select("country", "team_id", "player_id", "value")
+    )
+    known = valued.filter(F.col("value").isNotNull())
+    top = top_per_group(known, ["country"], [F.col("value").desc(), F.col("player_id")], top_n)
+    totals = valued.groupBy("country", "team_id").agg(
+        F.count(F.lit(1)).alias("n_players"), F.count("value").alias("n_with_value"),
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("total_value"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_value"),
     )
     tops = top.groupBy("country").agg(F.sum("value").alias("top_n_value"))
-    sizes = people.groupBy("country", "team_id").agg(F.count(F.lit(1)).alias("n_players"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_with_value", "total_value", "mean_value", "top_n_value")}
-    return sizes.join(totals, "country", "left").join(tops, "country", "left").withColumns(zero)
+    return totals.join(tops, "country", "left").withColumn("top_n_value", F.coalesce("top_n_value", F.lit(0.0)))
 
 
 def squad_value_table(*args, countries: list[str] | None = None, **kwargs) -> DataFrame:
@@ -100,23 +105,20 @@ def squad_value_table(*args, countries: list[str] | None = None, **kwargs) -> Da
 
 def historical_squad_value(
     snaps: DataFrame, appearances: DataFrame, profiles: DataFrame, values: DataFrame, spells: DataFrame | None = None,
-    team: str = "team_id", player: str = "player_id", date: str = "snapshot", born: str = "date_of_birth",
+    team: str = "team_id", date: str = "snapshot", born: str = "date_of_birth",
     is_gk: Column | None = None, age: Column | None = None, min_age: float = 17, max_age: float = 37,
     top_n: int = 23, n_gk: int = 3, value_tie: list[str] | None = None, spell_cols: tuple[str, str] = ("from_date", "end_date"),
 ) -> DataFrame:
     """Squad features of everybody eligible for a team at a snapshot; a team nobody appeared for gets a missing row."""
     pool = eligible_at(
-        snaps, appearances, profiles, team, player, date, age_at(F.col(date), F.col(born)) if age is None else age,
+        snaps, appearances, profiles, team, "player_id", date, age_at(F.col(date), F.col(born)) if age is None else age,
         born, min_age, max_age,
     ).withColumn("is_gk", is_gk if is_gk is not None else F.coalesce(F.col("main_position") == "Goalkeeper", F.lit(False)))
-    slim = pool.select(team, date, player, "age", "is_gk")
-    eligible = slim.groupBy(team, date).agg(F.count(F.lit(1)).alias("n_eligible"))
-    valued = _valued(slim, values, date, player, value_tie or [])
-    if spells is not None:
-        start, end = spell_cols
-        sick = active_interval(valued.select(player, date).distinct(), spells, player, date, start, end, [player], "injured")
-        valued = valued.join(sick, [player, date], "left")
-    features = squad_features(valued, [team, date], top_n, n_gk, player, injured="injured" if spells is not None else None)
+    slim = pool.select(team, date, "player_id", "age", "is_gk")
+    # Read three times below, so stored once.
+    valued = durable(_valued(slim, values, date, [team, "player_id"], value_tie or [], spells, spell_cols))
+    eligible = valued.groupBy(team, date).agg(F.count(F.lit(1)).alias("n_eligible"))
+    features = squad_features(valued.filter(F.col("value").isNotNull()), [team, date], top_n, n_gk, injured="injured")
     rows = snaps.select(team, date).distinct().join(eligible, [team, date], "left").join(features, [team, date], "left")
     return rows.withColumn("missing", F.col("n_with_value").isNull())
 
@@ -125,16 +127,16 @@ def attach_to_sides(
     matches: DataFrame, features: DataFrame, keys: dict[str, str], team: str, cols: list[str]
 ) -> DataFrame:
     """Features of both teams as home_/away_ columns. ``keys``: match column -> feature column besides the team."""
+    # The same projection serves both joins, so Spark computes and ships the features once.
     out = matches
+    names = {team: "_team"} | {f: f"_k_{m}" for m, f in keys.items()} | {c: f"_v_{c}" for c in cols}
     for side in ("home", "away"):
-        part = features.select(
-            F.col(team).alias("_team"), *[F.col(f).alias(f"_k_{m}") for m, f in keys.items()],
-            *[F.col(c).alias(f"{side}_{c}") for c in cols],
-        )
+        part = features.select(*[F.col(c).alias(n) for c, n in names.items()])
         cond = out[f"{side}_team"] == part["_team"]
         for m in keys:
             cond = cond & (out[m] == part[f"_k_{m}"])
-        out = out.join(part, cond, "left").drop("_team", *[f"_k_{m}" for m in keys])
+        joined = out.join(part, cond, "left").drop("_team", *[f"_k_{m}" for m in keys])
+        out = joined.withColumnsRenamed({f"_v_{c}": f"{side}_{c}" for c in cols})
     return out
 
 
@@ -168,13 +170,9 @@ def roster_features(
         F.count_distinct("roster_id").alias("n_roster"),
         F.count_distinct(F.when(F.col("birth_date").isNotNull(), F.col("player_id"))).alias("n_matched"),
     )
-    valued = _valued(matched.select(*keys, "player_id", "age", "is_gk"), values, "as_of", "player_id", value_tie or [])
-    if spells is not None:
-        start, end = spell_cols
-        pairs = valued.select("player_id", "as_of").distinct()
-        sick = active_interval(pairs, spells, "player_id", "as_of", start, end, ["player_id"], "injured")
-        valued = valued.join(sick, ["player_id", "as_of"], "left")
-    features = squad_features(valued, list(keys), top_n, n_gk, injured="injured" if spells is not None else None)
+    people_rows = matched.select(*keys, "roster_id", "player_id", "age", "is_gk")
+    valued = durable(_valued(people_rows, values, "as_of", ["roster_id"], value_tie or [], spells, spell_cols))
+    features = squad_features(valued.filter(F.col("value").isNotNull()), list(keys), top_n, n_gk, injured="injured")
     return support.join(features, list(keys), "left").withColumn("missing", F.col("n_with_value").isNull())
 
 

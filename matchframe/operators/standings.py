@@ -57,9 +57,14 @@ def finish_distribution(table: DataFrame, replicate: str, team: str = "team") ->
     )
 
 
-def stage_probabilities(paths: DataFrame, stages: list[str], replicate: str, team: str = "team", stage: str = "stage"):
-    """Share of replicates in which a team reached each stage; ``paths`` has a row per (replicate, team, stage)."""
-    n = paths.select(F.count_distinct(replicate)).scalar()
+def replicates(results: DataFrame, replicate: str) -> Column:
+    """Number of replicates of a result table, as a scalar."""
+    return results.select(F.count_distinct(replicate)).scalar()
+
+
+def stage_probabilities(paths: DataFrame, stages: list[str], n: Column | int, team: str = "team", stage: str = "stage"):
+    """Share of the ``n`` replicates in which a team reached each stage; ``paths`` has a row per (replicate, team, stage)."""
+    n = n if isinstance(n, Column) else F.lit(n)
     reached = paths.groupBy(team).agg(
         *[F.count_if(F.col(stage) == s).alias(s) for s in stages]
     )
@@ -67,10 +72,10 @@ def stage_probabilities(paths: DataFrame, stages: list[str], replicate: str, tea
 
 
 def slot_occupancy(
-    paths: DataFrame, slot: list[str], replicate: str, team: str = "team", k: int = 4
+    paths: DataFrame, slot: list[str], n: Column | int, team: str = "team", k: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """Per slot: the ``k`` most frequent teams with their share, and the modal team with its share."""
-    n = paths.select(F.count_distinct(replicate)).scalar()
+    """Per slot: the ``k`` most frequent teams with their share of ``n`` replicates, and the modal team with its share."""
+    n = n if isinstance(n, Column) else F.lit(n)
     shares = paths.groupBy(*slot, team).agg((F.count(F.lit(1)) / n).alias("p"))
     top = top_per_group(shares, slot, [F.col("p").desc(), F.col(team)], k, rank="place")
     modal = shares.groupBy(*slot).agg(F.min(F.struct((-F.col("p")).alias("q"), F.col(team))).alias("_m")).select(

@@ -229,7 +229,7 @@ def _stages(v):
 
 
 def _summary(v):
-    return standings.stage_probabilities(_stages(v), ["R16", "QF", "final"], "replicate")
+    return standings.stage_probabilities(_stages(v), ["R16", "QF", "final"], standings.replicates(v("replicates"), "replicate"))
 
 
 @query("group_standings", "E18", "replicate:t grp:l team:l pts:l gd:l gf:l position:l", _TABLE)
@@ -265,7 +265,7 @@ _SHARES = f"""select grp, position, team, count(*) / n as p from ({_TABLE}) cros
     f"select * from (select *, row_number() over (partition by grp, position order by p desc, team) as place from ({_SHARES})) where place <= 4",
 )
 def _(v):
-    return standings.slot_occupancy(_table(v), ["grp", "position"], "replicate")[0]
+    return standings.slot_occupancy(_table(v), ["grp", "position"], standings.replicates(v("replicates"), "replicate"))[0]
 
 
 @query(
@@ -273,7 +273,7 @@ def _(v):
     f"select grp, position, team as mode_team, p as p_mode from (select *, row_number() over (partition by grp, position order by p desc, team) as place from ({_SHARES})) where place = 1",
 )
 def _(v):
-    return standings.slot_occupancy(_table(v), ["grp", "position"], "replicate")[1]
+    return standings.slot_occupancy(_table(v), ["grp", "position"], standings.replicates(v("replicates"), "replicate"))[1]
 
 
 @query(

@@ -38,10 +38,15 @@ def _params(v):
     return teams, small_table(v.spark, [(0, 0.25, -0.1)], "fit int, gamma double, rho double")
 
 
-def _all_params(v):
-    teams, shared = _params(v)
-    last = teams.limit(0).unionByName(small_table(v.spark, [(0, 24, 0.0, 0.0)], "fit int, team int, alpha double, beta double"))
-    return teams.unionByName(last), shared
+def _league_params(v):
+    """The same strengths for each league's fit, the 25th team at 0; gamma and rho by league."""
+    leagues = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    team, known = F.col("n_nationkey"), F.col("n_nationkey") != 24
+    teams = v("nation").select(
+        F.explode(F.array(*[F.lit(x) for x in leagues])).alias("fit"), team.alias("team"),
+        F.when(known, (team - 12) / 60).otherwise(0.0).alias("alpha"), F.when(known, (12 - team) / 90).otherwise(0.0).alias("beta"),
+    )
+    return teams, small_table(v.spark, [(x, 0.25, -0.1) for x in leagues], "fit string, gamma double, rho double")
 
 
 def _rated(v):
@@ -54,12 +59,12 @@ _FIT_RATES = f"""select m.*, exp(coalesce(h.alpha, 0) - coalesce(a.beta, 0) + 0.
 
 
 @query(
-    "goal_likelihood", "H1", "nll:d4",
-    f"""select -sum(w * (home_score * ln(lh) - lh + away_score * ln(la) - la + ln({_TAU.format(h='home_score', a='away_score', r='-0.1')}))) as nll
-        from ({_FIT_RATES})""",
+    "goal_likelihood", "H1", "fit:s nll:d4",
+    f"""select league as fit, -sum(w * (home_score * ln(lh) - lh + away_score * ln(la) - la + ln({_TAU.format(h='home_score', a='away_score', r='-0.1')}))) as nll
+        from ({_FIT_RATES}) group by 1""",
 )
 def _(v):
-    return goals.goal_model_likelihood(goals.pair_sums(v("matches"), xi=0.0018), *_all_params(v))
+    return goals.goal_model_likelihood(goals.pair_sums(v("matches"), "league", xi=0.0018), *_league_params(v))
 
 
 @query("goal_fit", "H1", "fit:l team:l attack:d3 defense:d3 total:d3")
@@ -119,7 +124,7 @@ def _(v):
 
 @query(
     "most_likely_scores", "H5", "match_id:l most_likely_score:s most_likely_p:d6",
-    f"""select match_id, arg_max(h || '-' || a, row(round(p, 12), -h, -a)) as most_likely_score, max(p) / sum(p) as most_likely_p
+    f"""select match_id, arg_max(h || '-' || a, row(round_even(p * 1e12, 0), -h, -a)) as most_likely_score, max(p) / sum(p) as most_likely_p
         from ({_grid_sql(_RATES_SQL, '-0.1')}) group by 1""",
 )
 def _(v):

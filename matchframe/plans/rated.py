@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchframe.operators import ratings, windows
 from matchframe.plans.matchlog import EVENT_WEIGHT_SQL, K_SQL, STRENGTHS_SQL, members
 from matchframe.plans.registry import query
+from matchframe.session import durable
 
 _ORDERED = """select *, row_number() over (partition by league order by date, match_id) as rn, cast(extract(year from date) as int) as year,
    coalesce(neutral, false) as flat from ({})"""
@@ -107,7 +108,7 @@ def _(v):
         from matches join f h on h.key = league and h.team = home_team join f a on a.key = league and a.team = away_team""",
 )
 def _(v):
-    table = ratings.current_ratings(ratings.attack_defense_states(v("matches"), members=members(v)))
+    table = durable(ratings.current_ratings(ratings.attack_defense_states(v("matches"), members=members(v))))
     return ratings.attack_defense_predict(v("matches"), table, key="league")
 
 
@@ -121,6 +122,14 @@ def _(v):
     return ratings.elo_fold(late, members=members(v), state=held)
 
 
+@query(
+    "ratings_in_periods", "G6", "match_id:l home_elo_pre:d4 away_elo_pre:d4",
+    f"select match_id, own as home_elo_pre, other as away_elo_pre from {FOLD_SQL}",
+)
+def _(v):
+    return ratings.fold_in_periods(v("matches"), [1997, 2000], members=members(v))[0]
+
+
 @query(
     "rating_histories", "F13", "match_id:l team:l elo:d4",
     f"""select * from (select match_id, home_team as team, own as elo from {FOLD_SQL} join matches using (match_id)

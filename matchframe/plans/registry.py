@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchframe.plans.views import TABLES, VIEWS
+from matchframe.plans.views import SPARK_VIEWS, TABLES, VIEWS
 
 _TYPES = {"l": "bigint", "s": "string", "b": "boolean", "t": "date"}
 
@@ -30,7 +30,7 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
-        return self.sql(VIEWS[name])
+        return self.sql(SPARK_VIEWS.get(name, VIEWS[name]))
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Spark SQL over the given tables and ``frames``."""
