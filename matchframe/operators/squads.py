@@ -45,7 +45,7 @@ def squad_features(
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole)
 
-    top3 = F.col("_rank") <= 3
+    top3 = F.col("_rank") <= min(3, top_n)
     features = squad.groupBy(*keys).agg(
         F.count_if(top).alias("n_with_value"),
         total(top).alias("total_value"),

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from matchframe.operators import asof, ordered, windows
 from matchframe.session import small_table
 
-DAY = F.timestamp_add("DAY", F.col("d"), F.lit("2020-01-01").cast("timestamp_ntz"))
+
+
+def day():
+    return F.timestamp_add("DAY", F.col("d"), F.lit("2020-01-01").cast("timestamp_ntz"))
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +23,7 @@ def events(spark):
         (i, 1 if i % 2 else rng.randrange(2, 9), rng.randrange(60), None if rng.random() < 0.2 else rng.randrange(100))
         for i in range(400)
     ]
-    return small_table(spark, data, "id long, k long, d int, x long").withColumn("date", DAY).cache()
+    return small_table(spark, data, "id long, k long, d int, x long").withColumn("date", day()).cache()
 
 
 def _both(spark, build):
@@ -46,7 +49,7 @@ def test_prior_rows(spark, events, small_chunks, n):
 def test_rolling_mean_and_rest_days(spark, events, small_chunks):
     def build():
         mean = windows.rolling_prior_mean(events, ["k"], ["date", "id"], {"x": "m"}, 10, 3, "x")
-        return windows.days_since_prev(mean.drop("date").withColumn("date", DAY), ["k"], "date", ["id"])
+        return windows.days_since_prev(mean, ["k"], "date", ["id"])
 
     plain, cut = _both(spark, build)
     assert plain == cut
