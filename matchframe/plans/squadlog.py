@@ -126,8 +126,12 @@ def _(v):
     return squads.squad_value_for_matches(v("matches"), *_pool(v), grain="year", is_gk=F.col("position") == "SMALL")
 
 
-# Rosters: for each tournament (year) the players in a team's lineups; roster ids are offset player numbers.
-_ROSTERED = """ro as (select distinct l_suppkey % 25 as team, cast(extract(year from l_shipdate) as int) as tournament, l_partkey + 500000 as roster_id,
+# Rosters: for each tournament the players in a team's lineups; roster ids are offset player numbers. A tournament is
+# a year where rosters are taken on one date, a week where they are taken on each match date.
+_WEEK = "cast(floor(date_diff('day', date '1995-01-01', cast({} as date)) / 7) as int)"
+_ROSTERED = f"""rw as (select distinct l_suppkey % 25 as team, {_WEEK.format('l_shipdate')} as tournament, l_partkey + 500000 as roster_id,
+         l_partkey % 9 = 0 as is_gk from lineitem),
+   ro as (select distinct l_suppkey % 25 as team, cast(extract(year from l_shipdate) as int) as tournament, l_partkey + 500000 as roster_id,
          l_partkey % 9 = 0 as is_gk from lineitem),
    li as (select p_partkey + 500000 as roster_id, p_partkey as player_id from part where p_partkey % 6 <> 0),
    pe as (select p_partkey + 500000 as roster_id, date '1965-01-01' + cast(p_size * 300 as int) as birth_date from part where p_partkey % 11 <> 0),
@@ -149,10 +153,14 @@ def _rostered_sql(dated: str) -> str:
    f as ({_features_sql('r', 'team, tournament, as_of', 23, 3)})"""
 
 
-def _rosters(v):
+def _week(day: str):
+    return F.floor(F.datediff(F.to_date(day), F.lit("1995-01-01").cast("date")) / 7).cast("int")
+
+
+def _rosters(v, tournament):
     items, parts = v("lineitem"), v("part")
     rosters = items.select(
-        (F.col("l_suppkey") % 25).alias("team"), F.year("l_shipdate").alias("tournament"), (F.col("l_partkey") + 500000).alias("roster_id"),
+        (F.col("l_suppkey") % 25).alias("team"), tournament.alias("tournament"), (F.col("l_partkey") + 500000).alias("roster_id"),
         (F.col("l_partkey") % 9 == 0).alias("is_gk"),
     ).distinct()
     roster_id = (F.col("p_partkey") + 500000).alias("roster_id")
@@ -171,28 +179,28 @@ _JUNE = "select *, make_date(tournament, 6, 1) as as_of from ro"
     f"{_rostered_sql(_JUNE)} select n.team, n.tournament, n_roster, n_matched, f.n_with_value is null as missing, f.* exclude (team, tournament, as_of) from n left join f using (team, tournament, as_of)",
 )
 def _(v):
-    rosters, *rest = _rosters(v)
+    rosters, *rest = _rosters(v, F.year("l_shipdate"))
     return squads.roster_features(rosters.withColumn("as_of", squads.tournament_start(F.col("tournament"))), *rest)
 
 
-# Target matches: those of the top event, played in the year's tournament.
-_TARGET = "select *, case when tournament = 'FIFA World Cup' then cast(extract(year from date) as int) end as tid from matches"
+# Target matches: those of the top event, played in the week's tournament.
+_TARGET = f"select *, case when tournament = 'FIFA World Cup' then {_WEEK.format('date')} end as tid from matches"
 _ASKED = "select distinct home_team as team, tid as tournament, cast(date as date) as as_of from g where tid is not null union select distinct away_team, tid, cast(date as date) from g where tid is not null"
 
 
 @query(
     "roster_features_for_matches", "E7", "match_id:l home_n_matched:l home_top_n_value:d2 away_outfield_mean_age:d6 away_injured_top3_share:d6",
-    f"""{_rostered_sql(f"select ro.*, x.as_of from ro join (with g as ({_TARGET}) {_ASKED}) x using (team, tournament)")},
-      u as (select f.*, n_matched from f join n using (team, tournament, as_of) where n_matched >= 290)
+    f"""{_rostered_sql(f"select ro.*, x.as_of from rw ro join (with g as ({_TARGET}) {_ASKED}) x using (team, tournament)")},
+      u as (select f.*, n_matched from f join n using (team, tournament, as_of) where n_matched >= 4)
       select match_id, h.n_matched as home_n_matched, h.top_n_value as home_top_n_value, a.outfield_mean_age as away_outfield_mean_age,
         a.injured_top3_share as away_injured_top3_share from ({_TARGET}) m
       left join u h on m.home_team = h.team and m.tid = h.tournament and cast(m.date as date) = h.as_of
       left join u a on m.away_team = a.team and m.tid = a.tournament and cast(m.date as date) = a.as_of""",
 )
 def _(v):
-    target = F.when(F.col("tournament") == "FIFA World Cup", F.year("date"))
+    target = F.when(F.col("tournament") == "FIFA World Cup", _week("date"))
     return squads.roster_features_for_matches(
-        v("matches").withColumn("tid", target), *_rosters(v), min_matched=290, tournament="tid"
+        v("matches").withColumn("tid", target), *_rosters(v, _week("l_shipdate")), min_matched=4, tournament="tid"
     )
 
 
