@@ -100,29 +100,45 @@ def outcome_probs(
 
 def most_likely_score(df: DataFrame, rho: Column | float, lam_h: str = "lam_home", lam_a: str = "lam_away", top: int = 10):
     """Most probable cell of each match's grid as "h-a" (the first in row order on a tie) and its share of the grid."""
-    lh, la = F.col(lam_h), F.col(lam_a)
+    lh, la, r = F.col(lam_h), F.col(lam_a), F.col("_rho")
     staged = df.withColumns(
         {"_rho": _rho(rho), "_ph": F.array(*poisson_terms(lh, top)), "_pa": F.array(*poisson_terms(la, top))}
     )
 
-    def row(p: Column, h: Column) -> Column:
-        def cell(q: Column, a: Column) -> Column:
-            value = p * q * low_score_factor(h, a, lh, la, F.col("_rho"))
-            # 0-0 and 1-1 tie wherever lh * la is 1; rounding keeps that a tie.
-            return F.struct(F.rint(value * 1e12).alias("at"), (-h).alias("h"), (-a).alias("a"), value.alias("p"))
-
-        return F.transform("_pa", cell)
-
-    grid = F.flatten(F.transform("_ph", row))
-    best = staged.withColumn("_grid", grid).withColumns(
-        {"_best": F.array_max("_grid"), "_total": F.aggregate("_grid", F.lit(0.0), lambda acc, c: acc + c["p"])}
-    )
+    def peak(terms: str, first: int) -> Column:
+        """(index, probability) of the largest term from ``first`` on, the earliest of equal ones."""
+        rounded = F.transform(F.slice(terms, first + 1, top + 1 - first), lambda p: F.rint(p * 1e13))
+        index = F.array_position(rounded, F.array_max(rounded)).cast("int") - 1 + first
+        return F.struct(index.alias("i"), F.get(terms, index).alias("p"))
+
+    peaks = staged.withColumns({"_h2": peak("_ph", 2), "_a0": peak("_pa", 0), "_a2": peak("_pa", 2)})
+    h, a, zero, one = (lambda k: F.col("_ph")[k]), (lambda k: F.col("_pa")[k]), F.lit(0), F.lit(1)
+    corrected = {"00": -lh * la * r, "01": lh * r, "10": la * r, "11": -r}
+
+    def cell(p: Column, i: Column, j: Column) -> Column:
+        # 0-0 and 1-1 tie wherever lh * la is 1; rounding keeps that a tie.
+        return F.struct(F.rint(p * 1e12).alias("at"), (-i).alias("h"), (-j).alias("a"), p.alias("p"))
+
+    # Away from the four corrected cells the grid is a product, so only its peaks can win.
+    low = [cell(h(int(c[0])) * a(int(c[1])) * (1 + x), F.lit(int(c[0])), F.lit(int(c[1]))) for c, x in corrected.items()]
+    far, away, home = F.col("_a2"), F.col("_a0"), F.col("_h2")
+    rest = [
+        cell(h(0) * far["p"], zero, far["i"]), cell(h(1) * far["p"], one, far["i"]), cell(home["p"] * away["p"], home["i"], away["i"])
+    ]
+
+    def total(terms: str) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda acc, p: acc + p)
+
+    extra = F.lit(0.0)
+    for c, x in corrected.items():
+        extra = extra + h(int(c[0])) * a(int(c[1])) * x
+    best = peaks.withColumns({"_best": F.array_max(F.array(*low, *rest)), "_total": total("_ph") * total("_pa") + extra})
     return best.withColumns(
         {
             "most_likely_score": F.concat_ws("-", -F.col("_best.h"), -F.col("_best.a")),
             "most_likely_p": F.col("_best.p") / F.col("_total"),
         }
-    ).drop("_rho", "_ph", "_pa", "_grid", "_best", "_total")
+    ).drop("_rho", "_ph", "_pa", "_h2", "_a0", "_a2", "_best", "_total")
 
 
 def independent_poisson_probs(df: DataFrame, lam_h: str = "exp_home_goals", lam_a: str = "exp_away_goals", top: int = 10):
