@@ -14,8 +14,9 @@ def coerce_date(text: Column, pattern: str | None = None) -> Column:
 
 
 def utc_to_naive(text: Column) -> Column:
-    """ISO text with an offset as a naive timestamp in UTC (the session zone is UTC)."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    """ISO text with an offset as a naive timestamp in UTC, whatever the session zone."""
+    local = F.try_to_timestamp(text).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
 def day(value: Column) -> Column:

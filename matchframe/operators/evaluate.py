@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -185,7 +184,7 @@ def fold_sums(matches: DataFrame, years: list[int], rates: list[float], min_year
     ).agg(*sums)
     cases = []
     for y in years:
-        start = F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
+        start = F.lit(f"{y}-01-01").cast("timestamp_ntz")
         for i, xi in enumerate(rates):
             s = F.exp(-xi * floor_days(next_year, start))
             cases.append(

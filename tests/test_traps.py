@@ -231,3 +231,12 @@ def test_most_likely_score_tie(spark):
     df = small_table(spark, [(1.0, 1.0)], "lam_home double, lam_away double")
     r = goals.most_likely_score(df, 0.0).first()
     assert r.most_likely_score == "0-0"
+
+
+def test_utc_does_not_depend_on_the_session_zone(spark):
+    text_ = F.lit("2024-01-01T01:30:00+05:00")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert str(one(spark, dates.utc_to_naive(text_))[0]) == "2023-12-31 20:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
