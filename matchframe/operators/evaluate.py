@@ -155,7 +155,8 @@ def walk_forward_draw(
     """
     frozen = walk_forward_ratings(matches, years, **options)
     train = rated.select("match_id", "home_elo_pre", "away_elo_pre").join(matches, "match_id")
-    train = train.filter(F.year("date") >= min_year)
+    needed = ["date", "neutral", "home_score", "away_score", "home_elo_pre", "away_elo_pre"]
+    train = durable(train.filter(F.year("date") >= min_year).select(*needed))  # every fold reads it, the chain runs once
     parts = []
     for y in years:
         model = outcome.draw_model_fit(train.filter(F.year("date") < y), advantage)

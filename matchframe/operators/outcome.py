@@ -226,10 +226,10 @@ def weight_grid_search(tune: DataFrame, test: DataFrame, models: list, steps: in
 def stack(wide: DataFrame, models: list, folds: list, fold: str = "fold", truth: str = "outcome", **options) -> DataFrame:
     """Meta logit on the base triples: each fold's meta model sees earlier folds only. ``folds`` excludes the first."""
     features = [f"{c}_{m}" for m in models for c in TRIPLE]
-    parts = []
+    held, parts = durable(wide), []
     for f in folds:
-        meta = feature_logit(wide.filter(F.col(fold) < f), features, truth, **options)
-        parts.append(logit_predict(wide.filter(F.col(fold) == f), meta))
+        meta = feature_logit(held.filter(F.col(fold) < f), features, truth, **options)
+        parts.append(logit_predict(held.filter(F.col(fold) == f), meta))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
