@@ -181,7 +181,7 @@ def _with_terms(df: DataFrame) -> DataFrame:
     )
 
 
-def pair_sums(matches: DataFrame, fit: str | None = None, xi: float | Column = 0.0, ref_date: Column | None = None) -> DataFrame:
+def pair_sums(matches: DataFrame, fit: str | None = None, xi: float | Column = 0.0018, ref_date: Column | None = None) -> DataFrame:
     """(fit, home, away, cell, w, wh, wa): all the data a team-strength fit needs, in one map-side combined aggregate.
 
     Weights decay from ``ref_date`` (the newest date of the data unless given).

@@ -86,3 +86,14 @@ def test_ledgers(spark, events, small_chunks):
     plain, cut = _both(spark, build)
     assert [r[0] for r in plain] == [r[0] for r in cut]
     assert all(abs(a - b) < 1e-6 * max(1, abs(a)) for p, c in zip(plain, cut) for a, b in zip(p, c))
+
+
+def test_prior_careers(spark, events, small_chunks):
+    from matchframe.operators import careers
+
+    results = events.select(
+        F.col("k").alias("coach"), (F.col("id") % 4).alias("event"), F.col("date").alias("match_date"),
+        (F.col("id") % 2).alias("win"), (F.col("id") % 3 == 0).cast("int").alias("draw"),
+    )
+    plain, cut = _both(spark, lambda: careers.prior_career(results, "coach", "event"))
+    assert plain == cut and len(cut) == results.select("coach", "event").distinct().count()
