@@ -138,7 +138,7 @@ def _(v):
 
 
 @query(
-    "careers_to_date", "F8", "fixture_id:l coach_id:l career_matches:l career_wr:d6",
+    "careers_to_date", "F8", "fixture_id:l coach_id:l career_matches:l career_wr:d12",
     """select fixture_id, coach_id, row_number() over w - 1 as career_matches,
          coalesce(sum(win) over (partition by coach_id order by date, fixture_id rows between unbounded preceding and 1 preceding) / nullif(row_number() over w - 1, 0), 0) as career_wr
        from coach_matches window w as (partition by coach_id order by date, fixture_id)""",
