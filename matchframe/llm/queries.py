@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchframe.llm import decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
+from matchframe.llm import bloom_lm, decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked on sets of two-word shingles."""
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=2)
@@ -53,7 +57,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_minhash_near_dedup, op3_source_mixing, op4_pseudonyms, op5_exact_top_k, op7_repeated_passages,
+        op1_bloom_lm, op2_minhash_near_dedup, op3_source_mixing, op4_pseudonyms, op5_exact_top_k, op7_repeated_passages,
         op8_secret_scan, op9_benchmark_leaks, op10_url_rules,
     )
 }
