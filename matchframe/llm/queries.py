@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchframe.llm import bloom_lm, decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
+import corpus_pipeline
+from matchframe.llm import bloom_lm, cotrain, decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
 
@@ -57,9 +62,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bloom_lm, op2_minhash_near_dedup, op3_source_mixing, op4_pseudonyms, op5_exact_top_k, op7_repeated_passages,
-        op8_secret_scan, op9_benchmark_leaks, op10_url_rules,
+        op1_bloom_lm, op2_minhash_near_dedup, op3_source_mixing, op4_pseudonyms, op5_exact_top_k, op6_quality_classifier,
+        op7_repeated_passages, op8_secret_scan, op9_benchmark_leaks, op10_url_rules,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 #: DuckDB twins, for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op5_exact_top_k": topk.ORACLE, "op10_url_rules": url_rules.ORACLE}

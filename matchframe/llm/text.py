@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at a time (a longer document is taken alone).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LETTERS = np.arange(256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
