@@ -162,18 +162,22 @@ def fit(x: Rows, y: np.ndarray, buckets: int, steps: int = 120, penalty: float =
     return Linear(model[:buckets], model[buckets:-1], float(model[-1]))
 
 
-def _combine(columns: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Weights and shift of a small logistic regression, by damped Newton steps; ``start`` where it has one class only."""
+def _combine(columns: np.ndarray, y: np.ndarray, start: np.ndarray, alike: bool = False) -> np.ndarray:
+    """Weights and shift of a small logistic regression, by Newton steps; ``start`` where it has one class only.
+
+    ``alike`` gives both classes the same weight.
+    """
     if not len(y) or y.min() == y.max():
         return start
     x = np.column_stack([columns, np.ones(len(y))])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
     w = np.zeros(x.shape[1])
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if alike else np.ones(len(y))
     for _ in range(25):
         p = _sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + 1e-2 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (weight * (p - y)) + 1e-2 * w)
     return w / scale
 
 
@@ -203,7 +207,7 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, round
     for m, z in zip(models, logits, strict=True):
         m.slope, m.shift = _combine(z[:, None], y, np.array([1.0, 0.0]))
     calibrated = _both(*(m.slope * z + m.shift for m, z in zip(models, logits, strict=True)))
-    return Model(models[0], models[1], _combine(calibrated, y, np.array([1.0, 1.0, 0.7])))
+    return Model(models[0], models[1], _combine(calibrated, y, np.array([1.0, 1.0, 0.7]), alike=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, rounds: int = ROUNDS) -> Model:
