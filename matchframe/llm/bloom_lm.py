@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.llm.store import stored
-from matchframe.llm.text import mix, pieces, words
+from matchframe.llm.text import mix, pieces, release, words
 
 #: Text bytes of a piece, bits of a block (a power of two), bits and probes for each entry, bytes broadcast in a round.
-PIECE, BLOCK_BITS, BITS, PROBES, ROUND_BYTES = 4 << 20, 1 << 22, 8, 5, 256 << 20
+PIECE, BLOCK_BITS, BITS, PROBES, ROUND_BYTES = 4 << 20, 1 << 22, 6, 4, 256 << 20
 #: Weight of the pair's estimate in a word's probability.
 PAIR_WEIGHT = 0.4
 FOLDS, HELD_OUT = 7, 2
@@ -51,8 +51,12 @@ def encode(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, limit=PIECE):
-            rows, h, _, _ = words(b.column(1))
-            ids = b.column(0).to_pylist()
+            ids, parts, at = b.column(0).to_pylist(), [], 0
+            for small in pieces(iter([b])):
+                rows, h, _, _ = words(small.column(1))
+                parts.append((rows + at, h))
+                at += small.num_rows
+            rows, h = (np.concatenate(x) for x in zip(*parts, strict=True))
             held = np.array([held_out(i) for i in ids], bool)
             count = np.bincount(rows, minlength=len(ids))
             lens = count + 1
@@ -66,6 +70,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 "n": len(codes), "codes": _pack(codes.astype(np.uint32)), "train_tokens": int(lens[~held].sum()), "entries": len(pairs) + len(vocab),
             }
             yield pa.RecordBatch.from_pylist([row], schema=_ENCODED)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
 
@@ -93,6 +98,11 @@ def _block(x: np.ndarray, blocks: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     vocab = np.frombuffer(row["vocab"], np.uint64)
     codes = _unpack(row["codes"], np.uint32, row["n"]).astype(np.int64)
@@ -105,7 +115,7 @@ def _counts(blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 vocab, codes, lens, held = _open(row)
                 train = np.repeat(~held, lens)
                 count = np.bincount(codes[train], minlength=len(vocab)).astype(np.uint32)
@@ -120,6 +130,7 @@ def _counts(blocks: int):
                 part = lambda a, e: [a[e[i] : e[i + 1]].tobytes() for i in used]
                 cols = [used.astype(np.int32), np.full(len(used), row["piece"]), part(vocab, w), part(count, w), part(keys, p), part(pair_count, p)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+        release()
 
     return run
 
@@ -228,44 +239,47 @@ def scores(docs: DataFrame, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
             filters[at : at + BLOCK_BITS // 8] = np.frombuffer(row[1], np.uint8)
         sent = spark.sparkContext.broadcast(filters)
         del filters
-        table = table.mapInArrow(_looked_up(sent, first, last, blocks), _PROBED)
         if last < blocks:
-            table = stored(table)
+            table = stored(table.mapInArrow(_looked_up(sent, first, last, blocks), _PROBED))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table.mapInArrow(_scored(n_train, known, pair_weight), out)
+    return table.mapInArrow(_scored(sent, first, blocks, n_train, known, pair_weight), out)
+
+
+def _levels(row: dict, vocab: np.ndarray, pairs: np.ndarray, filters: np.ndarray, first: int, last: int, blocks: int) -> list[np.ndarray]:
+    """Levels of the words and pairs: those of earlier rounds, and those of this round's blocks."""
+    out = []
+    for name, x in (("word_levels", vocab), ("pair_levels", _pair_hash(pairs, vocab))):
+        levels = _unpack(row[name], np.uint8, len(x)).copy() if row[name] else np.zeros(len(x), np.uint8)
+        _probe(filters, first, last, blocks, x, levels)
+        out.append(levels)
+    return out
 
 
 def _looked_up(sent, first: int, last: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 vocab, codes, lens, _ = _open(row)
-                pairs, where = np.unique(_pairs(codes, lens, vocab), return_inverse=True)
-                new = []
-                for name, x in (("word_levels", vocab), ("pair_levels", _pair_hash(pairs, vocab))):
-                    levels = _unpack(row[name], np.uint8, len(x)).copy() if row[name] else np.zeros(len(x), np.uint8)
-                    _probe(sent.value, first, last, blocks, x, levels)
-                    new.append(_pack(levels))
+                levels = _levels(row, vocab, np.unique(_pairs(codes, lens, vocab)), sent.value, first, last, blocks)
                 keep = [batch.schema.field(i) for i in range(8)]
-                one = {f.name: row[f.name] for f in keep} | {"word_levels": new[0], "pair_levels": new[1]}
+                one = {f.name: row[f.name] for f in keep} | {"word_levels": _pack(levels[0]), "pair_levels": _pack(levels[1])}
                 yield pa.RecordBatch.from_pylist([one], schema=pa.schema([*keep, ("word_levels", pa.binary()), ("pair_levels", pa.binary())]))
 
     return run
 
 
-def _scored(n_train: int, known: int, pair_weight: float):
+def _scored(sent, first: int, blocks: int, n_train: int, known: int, pair_weight: float):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 vocab, codes, lens, held = _open(row)
                 begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
                 exact = np.frombuffer(b"".join(a["data"] for a in row["answers"]), np.uint32).astype(np.int64)
                 base = np.log10((exact + 1) / (n_train + known + 1))
-                word = estimate(_unpack(row["word_levels"], np.uint8, len(vocab)))
                 pairs, where = np.unique(_pairs(codes, lens, vocab), return_inverse=True)
-                pair = estimate(_unpack(row["pair_levels"], np.uint8, len(pairs)))
+                word, pair = (estimate(x) for x in _levels(row, vocab, pairs, sent.value, first, blocks, blocks))
                 before, own = word[pairs // len(vocab)], word[pairs % len(vocab)]
                 alone = (own + 1) / (n_train + known + 1)
                 # a pair is no more frequent than its first word
@@ -275,5 +289,6 @@ def _scored(n_train: int, known: int, pair_weight: float):
                     pa.array(np.full(len(lens), n_train, np.int64)), pa.array(np.add.reduceat(base[codes], begin)), pa.array(np.add.reduceat(np.log10(joint)[where], begin)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        release()
 
     return run

@@ -7,6 +7,8 @@ passes whatever its words look like. Equal words have equal hashes; unequal ones
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -127,8 +129,11 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, n_rows: int, size: int) -> tu
     return r[new], h[new]
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def release() -> None:
+    """Give freed memory back to the machine; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def blobs(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
