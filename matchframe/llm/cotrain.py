@@ -207,7 +207,7 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, round
     for m, z in zip(models, logits, strict=True):
         m.slope, m.shift = _combine(z[:, None], y, np.array([1.0, 0.0]))
     calibrated = _both(*(m.slope * z + m.shift for m, z in zip(models, logits, strict=True)))
-    return Model(models[0], models[1], _combine(calibrated, y, np.array([1.0, 1.0, 0.7]), alike=True))
+    return Model(models[0], models[1], _combine(calibrated, y, np.array([1.0, 1.0, 1.5]), alike=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, rounds: int = ROUNDS) -> Model:

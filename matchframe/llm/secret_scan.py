@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, StructType
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The three patterns and their least lengths.
@@ -135,9 +136,8 @@ def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES)
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in secrets(t, min_guesses)] for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "secret_spans"])
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType([*docs.schema.fields]).add("secret_spans", "array<struct<start:int,end:int,kind:string>>")
+    span = StructType().add("start", "int").add("end", "int").add("kind", "string")
+    schema = StructType([*docs.schema.fields]).add("secret_spans", ArrayType(span))
     return docs.mapInArrow(run, schema)
 
 
