@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.llm.store import stored
+from matchframe.llm.text import release
 
 #: Rounds in which keys offer partners before the rest is tested.
 ROUNDS = 3
@@ -46,6 +47,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Bits of the map that tells which texts a step needs; its size is fixed, and what it lets through besides is dropped by
+#: the joins that follow.
+MAP_BITS = 1 << 24
+
+
+def bit_map(slots: DataFrame) -> np.ndarray:
+    """The values of ``slot`` (0 to MAP_BITS - 1) as a map of MAP_BITS / 8 bytes, whatever the number of rows."""
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word")).collect()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[[r["at"] for r in rows]] = [r["word"] for r in rows]
+    return out
+
+
+def in_map(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits.view(np.uint64)[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def slot_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose sets (id, set: sorted 64-bit numbers as bytes) share ``percent`` of their union."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -104,7 +126,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             classes = components(links)
-    rest = _between_classes(members, narrow, classes, sets_of, percent)
+    rest = _between_classes(members, items, classes, sets_of, percent)
     if rest is not None and not rest.isEmpty():
         classes = components(rest if links is None else links.unionByName(rest))
     if classes is None:
@@ -116,37 +138,54 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
 CHUNK, SETS = 1024, 128
 
 
-def _between_classes(members: DataFrame, narrow: DataFrame, classes: DataFrame | None, sets_of, percent: int) -> DataFrame | None:
+def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame | None, sets_of, percent: int) -> DataFrame | None:
     """Links (a, b) between members of one key that are still in different classes, all of them tested.
 
-    Members are compared chunk by chunk; what sizes and sketches allow goes on as lists, and sets are fetched in blocks of
-    items that share their fullest key. So rows grow with the members, not with their pairs.
+    Members are compared chunk by chunk; a pair is looked at in the first key it shares. What sizes and sketches allow
+    goes on as lists for pairs of blocks, a block being items with the same fullest key around them, and sets are fetched block by
+    block. So rows grow with the members, not with their pairs.
     """
     of = _class_of(members, classes)
     mixed = of.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("low < high").select("key", "n")
-    left = stored(of.join(mixed, "key").join(narrow, "id"))
+    left = stored(of.join(mixed, "key"))
     if left.isEmpty():
         return None
-    home = left.groupBy("id").agg(F.max(F.struct("n", "key"))["key"].alias("home"))
+    # an item's home is the fullest key that it, or an item it shares a key with, has
+    fullest = left.groupBy("id").agg(F.max(F.struct("n", "key")).alias("home"))
+    around = left.select("key", "id").join(fullest, "id").groupBy("key").agg(F.max("home").alias("home"))
+    home = left.select("key", "id").join(around, "key").groupBy("id").agg(F.max("home")["key"].alias("home"))
     filled = home.groupBy("home").agg(F.count(F.lit(1)).alias("filled"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("filled") / SETS))
     block_of = stored(home.join(filled, "home").select("id", F.xxhash64("home", part).alias("block")))
-    row = F.struct("id", "class", "size", "sketch", "block")
-    chunks = left.join(block_of, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)))
-    chunks = stored(chunks.groupBy("key", "chunk").agg(F.collect_list(row).alias("rows")))
-    other = chunks.select("key", F.col("chunk").alias("chunk_b"), F.col("rows").alias("rows_b"))
-    met = chunks.join(other, "key").where("chunk <= chunk_b").select((F.col("chunk") == F.col("chunk_b")).alias("own"), "rows", "rows_b")
-    lists = met.mapInArrow(_candidates(percent), "a long, block long, bs array<long>")
-    lists = stored(lists.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")))
+    row = F.struct("id", "class", "size", "sketch", "block", "keys")
+    chunks = left.join(block_of, "id").join(items, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    chunks = stored(chunks.groupBy("key", "chunk", "chunks").agg(F.collect_list(row).alias("rows")))
+    within = chunks.select(F.lit(True).alias("own"), "key", "rows", F.col("rows").alias("rows_b"))
+    split = chunks.where("chunks > 1")
+    other = split.select("key", F.col("chunk").alias("chunk_b"), F.col("rows").alias("rows_b"))
+    met = within.unionByName(split.join(other, "key").where("chunk < chunk_b").select(F.lit(False).alias("own"), "key", "rows", "rows_b"))
+    lists = met.mapInArrow(_candidates(percent), "block_a long, block_b long, a array<long>, b array<long>")
+    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("a", "b")]
+    lists = lists.groupBy("block_a", "block_b").agg(*flat)
+    # the side with fewer items comes first: its sets travel to the other's block
+    turn = F.size(F.array_distinct("a")) > F.size(F.array_distinct("b"))
+    sides = [("block_a", "block_b"), ("block_b", "block_a"), ("a", "b"), ("b", "a")]
+    lists = stored(lists.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in sides]))
     if lists.isEmpty():
         return None
-    inside = block_of.join(lists.select("block").distinct(), "block", "left_semi")
-    ids = inside.select("id").unionByName(lists.select(F.col("a").alias("id"))).distinct()
-    sets = sets_of(ids)
-    blocks = sets.join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "set")).alias("sets"))
-    work = lists.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(blocks, "block")
-    return stored(work.select("a", "set_a", "bs", "sets").mapInArrow(_verified(percent), "a long, b long"))
+    used = lists.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).distinct()
+    inside = stored(block_of.join(used, "id", "left_semi"))
+    blocks = sets_of(inside.select("id")).join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "set")).alias("sets"))
+    blocks = stored(blocks)
+    first = blocks.select(F.col("block").alias("block_a"), F.col("sets").alias("sets_a"))
+    second = blocks.select(F.col("block").alias("block_b"), F.col("sets").alias("sets_b"))
+    work = lists.withColumn("ids_a", F.array_distinct("a")).withColumn("ids_b", F.array_distinct("b")).join(first, "block_a")
+    alone = work.where("block_a = block_b").select("a", "b", "sets_a", F.expr("filter(sets_a, x -> false)").alias("sets_b"))
+    across = work.where("block_a <> block_b").withColumn("sets_a", F.expr("filter(sets_a, x -> array_contains(ids_a, x.id))")).join(second, "block_b")
+    across = across.select("a", "b", "sets_a", F.expr("filter(sets_b, x -> array_contains(ids_b, x.id))").alias("sets_b"))
+    return stored(alone.unionByName(across).mapInArrow(_verified(percent), "a long, b long"))
 
 
 def _columns(rows: pa.Array, names: list[str]) -> list[np.ndarray]:
@@ -158,21 +197,29 @@ def _candidates(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for own, key, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = _columns(x.values, names), _columns(y.values, names)
+                keys_p, keys_q = (np.stack([k.values.to_numpy() for k in z.values.field("keys")]) for z in (x, y))
                 ok = p[1][:, None] != q[1][None, :]
                 ok &= 100 * np.minimum(p[2][:, None], q[2]) >= percent * np.maximum(p[2][:, None], q[2])
                 ok &= np.bitwise_count(p[3].view(np.uint64)[:, None] ^ q[3].view(np.uint64)) <= SKETCH_BITS
                 if own:
                     ok &= p[0][:, None] < q[0]
                 i, j = np.nonzero(ok)
+                for k in range(int(np.argmax(keys_p[0] == key))):  # seen in an earlier key
+                    new = keys_p[i, k] != keys_q[j, k]
+                    i, j = i[new], j[new]
                 if not len(i):
                     continue
-                order = np.lexsort((q[4][j], i))
-                a, b, block = p[0][i[order]], q[0][j[order]], q[4][j[order]]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (block[1:] != block[:-1])]))
-                bs = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(b))
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(block[first]), bs], names=["a", "block", "bs"])
+                a, b, block_a, block_b = p[0][i], q[0][j], p[4][i], q[4][j]
+                turn = block_a > block_b
+                a[turn], b[turn], block_a[turn], block_b[turn] = b[turn], a[turn], block_b[turn], block_a[turn]
+                order = np.lexsort((block_b, block_a))
+                a, b, block_a, block_b = a[order], b[order], block_a[order], block_b[order]
+                first = np.flatnonzero(np.concatenate([[True], (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])]))
+                edges = pa.array(np.append(first, len(a)), pa.int32())
+                cols = [pa.array(block_a[first]), pa.array(block_b[first]), *(pa.ListArray.from_arrays(edges, pa.array(z)) for z in (a, b))]
+                yield pa.RecordBatch.from_arrays(cols, names=["block_a", "block_b", "a", "b"])
 
     return run
 
@@ -180,16 +227,15 @@ def _candidates(percent: int):
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for own, raw, wanted, sets in zip(*(batch.column(i) for i in range(4)), strict=True):
-                mine = np.frombuffer(raw.as_buffer(), np.uint64)
-                todo = set(wanted.values.to_numpy().tolist())
-                for other, theirs in zip(sets.values.field("id").to_pylist(), sets.values.field("set"), strict=True):
-                    if other in todo:
-                        if _linked(mine, np.frombuffer(theirs.as_buffer(), np.uint64), percent):
-                            a.append(own.as_py())
-                            b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for x, y, *sides in zip(*(batch.column(i) for i in range(4)), strict=True):
+                sets = {}
+                for side in sides:
+                    raw = side.values.field("set")
+                    sets |= {i: np.frombuffer(raw[k].as_buffer(), np.uint64) for k, i in enumerate(side.values.field("id").to_pylist())}
+                a, b = x.values.to_numpy(), y.values.to_numpy()
+                good = np.array([_linked(sets[i], sets[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+        release()
 
     return run
 

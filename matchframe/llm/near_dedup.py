@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from matchframe.llm import minhash
-from matchframe.llm.linking import link
+from matchframe.llm.linking import bit_map, in_map, link, slot_of
 from matchframe.llm.text import blobs, mix, pieces, shingles, words
 from matchframe.llm.store import stored
 
@@ -64,18 +64,21 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def sets(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, set): the set digest of every row and its sorted shingle hashes, as bytes."""
+def sets(docs: DataFrame, size: int, needed: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, set): the set digest of every row whose id is in the map ``needed``, and its sorted shingle hashes as bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(needed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            n = b.num_rows
-            rows, hashes, _, _ = words(b.column(0))
-            rows, hashes = shingles(rows, hashes, n, size)
-            d1, _ = minhash.digest(rows, hashes, n)
-            yield pa.RecordBatch.from_arrays([pa.array(d1), blobs(hashes, np.bincount(rows, minlength=n))], names=["id", "set"])
+        for whole in batches:
+            wanted = whole.filter(pa.array(in_map(sent.value, whole.column(0).to_numpy())))
+            for b in pieces(iter([wanted])):
+                n = b.num_rows
+                rows, hashes, _, _ = words(b.column(1))
+                rows, hashes = shingles(rows, hashes, n, size)
+                d1, _ = minhash.digest(rows, hashes, n)
+                yield pa.RecordBatch.from_arrays([pa.array(d1), blobs(hashes, np.bincount(rows, minlength=n))], names=["id", "set"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "id long, set binary")
+    return docs.select(slot_of(F.col(id_col).cast("long")).alias("slot"), F.col(text).alias("text")).mapInArrow(run, "id long, set binary")
 
 
 def labelled(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,16 +89,16 @@ def labelled(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col:
     every = stored(signatures(docs, size, id_col, text))
     real = every.where((F.col("size") > 0) & F.col("id").isNotNull())
     # rows with equal sets are one node from the start; the smallest id among them names their document
-    heads = real.groupBy("d1").agg(F.min("id").alias("head"))
-    nodes = real.join(heads.withColumnRenamed("d1", "d"), (F.col("d1") == F.col("d")) & (F.col("id") == F.col("head")), "left_semi")
-    nodes = nodes.select(F.col("d1").alias("id"), "size", "sketch", "keys").dropDuplicates(["id"])
-    heads = stored(heads)
+    heads = stored(real.groupBy("d1").agg(F.min("id").alias("head"), *[F.first(c).alias(c) for c in ("size", "sketch", "keys")]))
+    nodes = heads.select(F.col("d1").alias("id"), "size", "sketch", "keys")
+    heads = heads.select("d1", "head")
 
     def whole(ids: DataFrame) -> DataFrame:
-        wanted = heads.join(ids.withColumnRenamed("id", "d1"), "d1", "left_semi").select(F.col("head").alias(id_col))
-        return stored(sets(docs.join(wanted, id_col, "left_semi"), size, id_col, text))
+        wanted = heads.join(ids.withColumnRenamed("id", "d1"), "d1", "left_semi").select(slot_of(F.col("head")).alias("slot"))
+        found = sets(docs, size, bit_map(wanted), id_col, text)
+        return stored(found.join(ids, "id", "left_semi"))
 
-    found = link(stored(nodes), whole, percent)
+    found = link(nodes, whole, percent)
     known = heads.join(found.select(F.col("id").alias("d1"), "component"), "d1", "left")
     known = known.select("d1", "head", F.coalesce("component", "d1").alias("class"))
     rows = every.select("id", "size", F.when((F.col("size") > 0) & F.col("id").isNotNull(), F.col("d1")).alias("d1"))
@@ -132,10 +135,10 @@ def unique(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: s
     out = docs.join(once.unionByName(wordless.join(often.select(F.col("id").alias(id_col)), id_col, "left_anti")).distinct(), id_col, "left_semi")
     # rows that share an id are told apart by their sets
     shared = docs.join(often.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    at = docs.columns.index(text)
+    at, name = docs.columns.index(text), text
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, docs.columns[at]):
+        for b in pieces(batches, name):
             r, h, _, _ = words(b.column(at))
             r, h = shingles(r, h, b.num_rows, size)
             d1, _ = minhash.digest(r, h, b.num_rows)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.llm import minhash
-from matchframe.llm.linking import link
+from matchframe.llm.linking import MAP_BITS, bit_map, in_map, link, slot_of
 from matchframe.llm.store import stored
 from matchframe.llm.text import blobs, bytes_of, mix, pieces, shingles, words
 
@@ -73,19 +73,22 @@ def paragraphs(docs: DataFrame, bands: int, least: int = LEAST, text: str = "tex
     return rows.where("doc_id is not null and text is not null").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, least: int) -> DataFrame:
-    """(id, set) of the paragraphs named in ``places`` of (text, places)."""
+def _sets(docs: DataFrame, least: int, in_docs: np.ndarray, in_ids: np.ndarray) -> DataFrame:
+    """(id, set) of the paragraphs, of documents in one map, whose ids are in the other; ``docs`` has slot and text."""
+    sent = docs.sparkSession.sparkContext.broadcast((in_docs, in_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            row, place, _, _, _, line, h, _, _ = _paragraphs(b.column(0), least)
-            m = len(row)
-            asked = b.column(1).to_pylist()
-            wanted = np.array([p in asked[r] for r, p in zip(row.tolist(), place.tolist(), strict=True)], bool)
-            lines, h = shingles(line, h, m, WORDS)
-            ids = minhash.digest(lines, h, m)[0]
-            keep = wanted[lines] if m else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), blobs(h[keep], np.bincount(lines, minlength=m)[wanted] if m else np.zeros(0, int))], names=["id", "set"])
+        for whole in batches:
+            ours = whole.filter(pa.array(in_map(sent.value[0], whole.column(0).to_numpy())))
+            for b in pieces(iter([ours])):
+                row, _, _, _, _, line, h, _, _ = _paragraphs(b.column(1), least)
+                m = len(row)
+                if not m:
+                    continue
+                lines, h = shingles(line, h, m, WORDS)
+                ids = minhash.digest(lines, h, m)[0]
+                wanted = in_map(sent.value[1], ids & (MAP_BITS - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), blobs(h[wanted[lines]], np.bincount(lines, minlength=m)[wanted])], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
 
@@ -101,11 +104,14 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, text: s
     heads = stored(every.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("head"), F.count(F.lit(1)).alias("n")))
     at_head = heads.select("id", "head.doc_id", "head.paragraph")
     nodes = every.join(at_head, ["id", "doc_id", "paragraph"], "left_semi").select("id", "size", "sketch", "keys")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.where("doc_id is not null and text is not null").select(slot_of(F.col("doc_id").cast("long")).alias("slot"), F.col(text).alias("text"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        places = at_head.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_set("paragraph").alias("places"))
-        return stored(_sets(source.join(places, "doc_id").select("text", "places"), least))
+        in_docs = bit_map(at_head.join(ids, "id", "left_semi").select(slot_of(F.col("doc_id")).alias("slot")))
+        in_ids = bit_map(ids.select(F.col("id").bitwiseAND(MAP_BITS - 1).alias("slot")))
+        found = _sets(source, least, in_docs, in_ids).join(ids, "id", "left_semi")
+        # a paragraph may stand several times in the documents that were let through
+        return stored(found.groupBy("id").agg(F.first("set").alias("set")))
 
     found = link(stored(nodes), sets_of, percent)
     of = heads.join(found, "id", "left").select("id", "head", "n", F.coalesce("component", "id").alias("class"))
