@@ -136,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES)
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in secrets(t, min_guesses)] for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "secret_spans"])
 
-    span = StructType().add("start", "int").add("end", "int").add("kind", "string")
+    span = StructType().add("start", "integer").add("end", "integer").add("kind", "string")
     schema = StructType([*docs.schema.fields]).add("secret_spans", ArrayType(span))
     return docs.mapInArrow(run, schema)
 
