@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchframe.llm.minhash import SKETCH_BINS, SKETCH_LONGS
 from matchframe.llm.store import stored
 from matchframe.llm.text import release
 
 #: Rounds in which keys offer partners before the rest is tested.
 ROUNDS = 3
-#: Sketch: one bit of each of 64 further minima. Sets with Jaccard 0.8 differ in 6.4 bits of it on average, and in more
-#: than this many with probability below 1e-8.
-SKETCH_BITS = 24
+#: Standard deviations, and bits besides, by which the sketches of a linked pair may differ beyond what is expected: a
+#: linked pair is beyond them with probability below 1e-8.
+SKETCH_DEVIATIONS, SKETCH_SLACK = 5.6, 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -84,10 +85,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.mapInArrow(run, "a long, b long")
 
 
+def _limit(least, percent: int, root, smaller):
+    """Most bits that the sketches of a linked pair differ in, whose smaller set has ``least`` members.
+
+    The pair's union fills at most ``bins`` bins, and a filled one differs in its bit with half the chance that its least
+    hash does.
+    """
+    odds = (1 - percent / 100) / 2
+    bins = smaller(least * (100 / percent), float(SKETCH_BINS))
+    return bins * odds + root(bins * (odds * (1 - odds))) * SKETCH_DEVIATIONS + SKETCH_SLACK
+
+
 def alike(percent: int) -> Column:
     """Sizes and sketches of a pair allow a link."""
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return fits & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_BITS)
+    least = F.least("size_a", "size_b")
+    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    limit = _limit(least, percent, F.sqrt, lambda x, y: F.least(x, F.lit(y)))
+    return (100 * least >= percent * F.greatest("size_a", "size_b")) & (differ <= limit)
 
 
 def _described(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -134,8 +148,8 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     return classes
 
 
-#: Members of a key that are compared at a time, and sets that are fetched together.
-CHUNK, SETS = 1024, 128
+#: Members of a key that are compared at a time, and members of sets (8 bytes each) that are fetched together.
+CHUNK, FETCH = 1024, 1 << 17
 
 
 def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame | None, sets_of, percent: int) -> DataFrame | None:
@@ -155,8 +169,9 @@ def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame |
     fullest = left.groupBy("id").agg(F.max(F.struct("n", "key")).alias("home"))
     around = left.select("key", "id").join(fullest, "id").groupBy("key").agg(F.max("home").alias("home"))
     home = left.select("key", "id").join(around, "key").groupBy("id").agg(F.max("home")["key"].alias("home"))
-    filled = home.groupBy("home").agg(F.count(F.lit(1)).alias("filled"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("filled") / SETS))
+    home = home.join(items.select("id", "size"), "id")
+    filled = home.groupBy("home").agg(F.sum("size").alias("filled"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("filled") / FETCH))
     block_of = stored(home.join(filled, "home").select("id", F.xxhash64("home", part).alias("block")))
     row = F.struct("id", "class", "size", "sketch", "block", "keys")
     chunks = left.join(block_of, "id").join(items, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
@@ -192,17 +207,26 @@ def _columns(rows: pa.Array, names: list[str]) -> list[np.ndarray]:
     return [rows.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
 def _candidates(percent: int):
-    names = ["id", "class", "size", "sketch", "block"]
+    names = ["id", "class", "size", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, key, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = _columns(x.values, names), _columns(y.values, names)
-                keys_p, keys_q = (np.stack([k.values.to_numpy() for k in z.values.field("keys")]) for z in (x, y))
+                keys_p, keys_q = (_matrix(z.values.field("keys")) for z in (x, y))
+                bits_p, bits_q = (_matrix(z.values.field("sketch")).view(np.uint64) for z in (x, y))
                 ok = p[1][:, None] != q[1][None, :]
                 ok &= 100 * np.minimum(p[2][:, None], q[2]) >= percent * np.maximum(p[2][:, None], q[2])
-                ok &= np.bitwise_count(p[3].view(np.uint64)[:, None] ^ q[3].view(np.uint64)) <= SKETCH_BITS
+                differ = np.zeros(ok.shape, np.int16)
+                for k in range(SKETCH_LONGS):
+                    differ += np.bitwise_count(bits_p[:, k][:, None] ^ bits_q[:, k])
+                ok &= differ <= _limit(np.minimum(p[2][:, None], q[2]), percent, np.sqrt, np.minimum)
                 if own:
                     ok &= p[0][:, None] < q[0]
                 i, j = np.nonzero(ok)
@@ -211,7 +235,7 @@ def _candidates(percent: int):
                     i, j = i[new], j[new]
                 if not len(i):
                     continue
-                a, b, block_a, block_b = p[0][i], q[0][j], p[4][i], q[4][j]
+                a, b, block_a, block_b = p[0][i], q[0][j], p[3][i], q[3][j]
                 turn = block_a > block_b
                 a[turn], b[turn], block_a[turn], block_b[turn] = b[turn], a[turn], block_b[turn], block_a[turn]
                 order = np.lexsort((block_b, block_a))

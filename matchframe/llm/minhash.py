@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from matchframe.llm.text import mix
 
@@ -31,10 +32,24 @@ def minima(rows: np.ndarray, hashes: np.ndarray, n_rows: int, n: int, tag: int =
     return out
 
 
-def sketch(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray:
-    """64 one-bit minima of every row as one signed number."""
-    bits = (mix(minima(rows, hashes, n_rows, 64, tag=7)) >> np.uint64(17)) & np.uint64(1)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+#: Places of a sketch, one bit each, and the longs that hold it.
+SKETCH_BINS = 512
+SKETCH_LONGS = SKETCH_BINS // 64
+
+
+def sketch(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> pa.ListArray:
+    """One bit of the least hash in each of SKETCH_BINS bins of every row's set (0 where the bin is empty), as longs.
+
+    Two sets agree on the least hash of a bin that either one fills with probability equal to their Jaccard similarity.
+    """
+    h = mix(hashes ^ np.uint64(0x5EE7C))
+    low = np.full(n_rows * SKETCH_BINS, np.iinfo(np.uint64).max, np.uint64)
+    shift = np.uint64(SKETCH_BINS.bit_length() - 1)
+    np.minimum.at(low, rows * SKETCH_BINS + (h >> (np.uint64(64) - shift)).astype(np.int64), h << shift)
+    bits = (mix(low) >> np.uint64(17)) & np.uint64(1)
+    bits[low == np.iinfo(np.uint64).max] = 0
+    longs = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1) * SKETCH_LONGS, pa.int32()), pa.array(longs))
 
 
 def digest(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -46,7 +46,7 @@ def chunk_keys(symbols: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, size, d1, d2, sketch, keys) per row: set size, set digest, sketch and the keys of the multi-index."""
-    schema = "id long, size long, d1 long, d2 long, sketch long, keys array<long>"
+    schema = "id long, size long, d1 long, d2 long, sketch array<long>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -58,7 +58,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "
             low = minhash.minima(rows, hashes, n, SYMBOLS)
             keys = chunk_keys(low >> np.uint64(64 - BITS)).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SYMBOLS, pa.int32()), pa.array(keys.ravel()))
-            cols = [b.column(0), pa.array(count), pa.array(d1), pa.array(d2), pa.array(minhash.sketch(rows, hashes, n)), flat]
+            cols = [b.column(0), pa.array(count), pa.array(d1), pa.array(d2), minhash.sketch(rows, hashes, n), flat]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "d1", "d2", "sketch", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -48,7 +48,7 @@ def _paragraphs(column: pa.Array, least: int):
 
 def paragraphs(docs: DataFrame, bands: int, least: int = LEAST, text: str = "text") -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, id, size, sketch, keys) of every long line; positions in code points."""
-    schema = "doc_id long, paragraph int, start int, end int, n_words int, id long, size long, sketch long, keys array<long>"
+    schema = "doc_id long, paragraph int, start int, end int, n_words int, id long, size long, sketch array<long>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -66,7 +66,7 @@ def paragraphs(docs: DataFrame, bands: int, least: int = LEAST, text: str = "tex
             keys = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
             whole = [place, points[start] - before, points[end] - before, n]
             cols = [b.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in whole)]
-            cols += [pa.array(minhash.digest(lines, h, m)[0]), pa.array(np.bincount(lines, minlength=m).astype(np.int64)), pa.array(minhash.sketch(lines, h, m)), keys]
+            cols += [pa.array(minhash.digest(lines, h, m)[0]), pa.array(np.bincount(lines, minlength=m).astype(np.int64)), minhash.sketch(lines, h, m), keys]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "paragraph", "start", "end", "n_words", "id", "size", "sketch", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
