@@ -118,7 +118,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     """
     narrow = items.select("id", "size", "sketch")
     keyed = items.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keyed.join(shared.select("key"), "key").select("key", "id"))
     links, tested, classes = None, None, None
     for round_ in range(ROUNDS):
@@ -173,8 +173,11 @@ def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame |
     filled = home.groupBy("home").agg(F.sum("size").alias("filled"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("filled") / FETCH))
     block_of = stored(home.join(filled, "home").select("id", F.xxhash64("home", part).alias("block")))
+    # keys only tell whether an earlier one is shared; their upper halves do, wrongly with probability below 1e-8 a pair
+    short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
     row = F.struct("id", "class", "size", "sketch", "block", "keys")
-    chunks = left.join(block_of, "id").join(items, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    described = items.select("id", "size", "sketch", short)
+    chunks = left.join(block_of, "id").join(described, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     chunks = stored(chunks.groupBy("key", "chunk", "chunks").agg(F.collect_list(row).alias("rows")))
     within = chunks.select(F.lit(True).alias("own"), "key", "rows", F.col("rows").alias("rows_b"))
@@ -230,7 +233,7 @@ def _candidates(percent: int):
                 if own:
                     ok &= p[0][:, None] < q[0]
                 i, j = np.nonzero(ok)
-                for k in range(int(np.argmax(keys_p[0] == key))):  # seen in an earlier key
+                for k in range(int(np.argmax(keys_p[0] == key >> 32))):  # seen in an earlier key
                     new = keys_p[i, k] != keys_q[j, k]
                     i, j = i[new], j[new]
                 if not len(i):

@@ -95,8 +95,8 @@ def labelled(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col:
 
     def whole(ids: DataFrame) -> DataFrame:
         wanted = heads.join(ids.withColumnRenamed("id", "d1"), "d1", "left_semi").select(slot_of(F.col("head")).alias("slot"))
-        found = sets(docs, size, bit_map(wanted), id_col, text)
-        return stored(found.join(ids, "id", "left_semi"))
+        # what the map lets through besides is dropped by the joins with pairs
+        return stored(sets(docs, size, bit_map(wanted), id_col, text))
 
     found = link(nodes, whole, percent)
     known = heads.join(found.select(F.col("id").alias("d1"), "component"), "d1", "left")
