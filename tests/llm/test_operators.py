@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from matchframe.llm import bloom_lm, cotrain, decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
+from matchframe.llm import bloom_lm, cotrain, decontaminate, linking, minhash, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
 from matchframe.llm.text import shingles, words
 from tests.llm.conftest import classes_of, shingle_set, words_of
 
@@ -349,3 +349,17 @@ def test_url_rules(spark):
         glob = rule or next((x for x in url_rules.GLOB_RULES if any(glob_match(g, host + path) for g in x.globs)), None)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule and rule.name, glob.verdict if glob else "allow")
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+@pytest.mark.parametrize("size", [5, 60, 700, 6000])
+def test_sketches_of_linked_sets_are_within_the_limit(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        union = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        apart = size // 5  # similarity 0.8 or just above
+        cut = int(rng.integers(0, apart + 1))
+        a, b = union[: size - cut], union[apart - cut :]
+        sets = np.concatenate([a, b])
+        rows = np.repeat([0, 1], [len(a), len(b)])
+        x, y = (np.array(s, np.int64).view(np.uint64) for s in minhash.sketch(rows, sets, 2).to_pylist())
+        assert np.bitwise_count(x ^ y).sum() <= linking._limit(min(len(a), len(b)), 80, np.sqrt, np.minimum)
