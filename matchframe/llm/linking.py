@@ -153,11 +153,12 @@ CHUNK, FETCH = 1024, 1 << 17
 
 
 def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame | None, sets_of, percent: int) -> DataFrame | None:
-    """Links (a, b) between members of one key that are still in different classes, all of them tested.
+    """Links (a, b) that join all classes that hold linked members of one key.
 
     Members are compared chunk by chunk; a pair is looked at in the first key it shares. What sizes and sketches allow
     goes on as lists for pairs of blocks, a block being items with the same fullest key around them, and sets are fetched block by
-    block. So rows grow with the members, not with their pairs.
+    block. A pair whose classes other links have joined by then needs no test. So rows grow with the members, not with
+    their pairs.
     """
     of = _class_of(members, classes)
     mixed = of.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -168,16 +169,16 @@ def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame |
     # an item's home is the fullest key that it, or an item it shares a key with, has
     fullest = left.groupBy("id").agg(F.max(F.struct("n", "key")).alias("home"))
     around = left.select("key", "id").join(fullest, "id").groupBy("key").agg(F.max("home").alias("home"))
-    home = left.select("key", "id").join(around, "key").groupBy("id").agg(F.max("home")["key"].alias("home"))
+    home = left.select("key", "id", "class").join(around, "key").groupBy("id", "class").agg(F.max("home")["key"].alias("home"))
     home = home.join(items.select("id", "size"), "id")
     filled = home.groupBy("home").agg(F.sum("size").alias("filled"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("filled") / FETCH))
-    block_of = stored(home.join(filled, "home").select("id", F.xxhash64("home", part).alias("block")))
+    block_of = stored(home.join(filled, "home").select("id", "class", F.xxhash64("home", part).alias("block")))
     # keys only tell whether an earlier one is shared; their upper halves do, wrongly with probability below 1e-8 a pair
     short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
     row = F.struct("id", "class", "size", "sketch", "block", "keys")
     described = items.select("id", "size", "sketch", short)
-    chunks = left.join(block_of, "id").join(described, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    chunks = left.join(block_of.drop("class"), "id").join(described, "id").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     chunks = stored(chunks.groupBy("key", "chunk", "chunks").agg(F.collect_list(row).alias("rows")))
     within = chunks.select(F.lit(True).alias("own"), "key", "rows", F.col("rows").alias("rows_b"))
@@ -195,7 +196,7 @@ def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame |
         return None
     used = lists.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).distinct()
     inside = stored(block_of.join(used, "id", "left_semi"))
-    blocks = sets_of(inside.select("id")).join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "set")).alias("sets"))
+    blocks = sets_of(inside.select("id")).join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "class", "set")).alias("sets"))
     blocks = stored(blocks)
     first = blocks.select(F.col("block").alias("block_a"), F.col("sets").alias("sets_a"))
     second = blocks.select(F.col("block").alias("block_b"), F.col("sets").alias("sets_b"))
@@ -252,16 +253,31 @@ def _candidates(percent: int):
 
 
 def _verified(percent: int):
+    """Links of the listed pairs, but for those whose classes earlier links of the batch have joined already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            above: dict[int, int] = {}
+
+            def top(c: int, above=above) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = above.get(up, up)
+                    c = up
+                return c
+
             for x, y, *sides in zip(*(batch.column(i) for i in range(4)), strict=True):
-                sets = {}
+                sets, of = {}, {}
                 for side in sides:
-                    raw = side.values.field("set")
-                    sets |= {i: np.frombuffer(raw[k].as_buffer(), np.uint64) for k, i in enumerate(side.values.field("id").to_pylist())}
-                a, b = x.values.to_numpy(), y.values.to_numpy()
-                good = np.array([_linked(sets[i], sets[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+                    raw, ids = side.values.field("set"), side.values.field("id").to_pylist()
+                    sets |= {i: np.frombuffer(raw[k].as_buffer(), np.uint64) for k, i in enumerate(ids)}
+                    of |= dict(zip(ids, side.values.field("class").to_pylist(), strict=True))
+                found = []
+                for i, j in zip(x.values.to_pylist(), y.values.to_pylist(), strict=True):
+                    p, q = top(of[i]), top(of[j])
+                    if p != q and _linked(sets[i], sets[j], percent):
+                        above[max(p, q)] = min(p, q)
+                        found.append((i, j))
+                yield pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         release()
 
     return run
