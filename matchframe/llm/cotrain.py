@@ -3,8 +3,9 @@
 The text view is a logistic regression over hashed words of the content; the page view one over the page's metadata
 (language, source, length) and layout (lines, capitals, digits, signs, repeated words). Both are fitted on a bounded
 sample of labelled documents. Each then labels a bounded sample of other documents, gives the other view those it is
-surest of, and both are fitted again, for a few rounds. On labelled documents set aside, each view's logit is calibrated,
-and a last regression combines the two. All documents are scored with the combined model in one pass.
+surest of, and both are fitted again, for a few rounds. On labelled documents set aside, each view's logit is calibrated.
+The score is the product of the two probabilities, calibrated together, as one bad view is enough to make a document bad: bad words
+show in the text view alone, junk mostly in the page view. All documents are scored in one pass.
 
 A document counts as good if its label says quality 1 and toxic 0.
 """
@@ -12,7 +13,7 @@ A document counts as good if its label says quality 1 and toxic 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ LABELLED, OTHERS, BUCKETS = 12000, 4000, 1 << 17
 #: Rounds of exchange, share of the others that each view hands over a round, and the least sureness for it.
 ROUNDS, HANDED, SURE = 3, 0.1, 0.95
 #: Standard errors by which a hashed feature's frequency must differ between the classes to have a weight.
-SIGNIFICANT = 5.0
+SIGNIFICANT = 4.0
 #: Share of the labelled sample that is set aside for calibration.
 ASIDE = 0.25
+#: Bytes of the beginnings of words that the text view counts besides whole words.
+STEMS = (4, 5)
 #: A document is kept from this score on.
 KEEP = 0.5
 PAGE_BUCKETS = 1 << 10
@@ -71,25 +74,30 @@ class Linear:
 class Model:
     text: Linear
     page: Linear
-    mixed: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0]))
 
     def scores(self, text: Rows, page: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.text.calibrated(text), self.page.calibrated(page)
-        return _sigmoid(_both(a, b) @ self.mixed[:2] + self.mixed[2]), _sigmoid(a), _sigmoid(b)
+        return _sigmoid(a) * _sigmoid(b), _sigmoid(a), _sigmoid(b)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log probabilities that each view finds the document good: one bad view is enough."""
-    return np.column_stack([-np.logaddexp(0, -a), -np.logaddexp(0, -b)])
-
-
 def text_rows(column: pa.Array) -> Rows:
-    """Distinct words of every text, weighted 1 + ln(count)."""
-    rows, h, _, _ = words(column)
+    """Distinct words, and beginnings of longer words, of every text, weighted 1 + ln(count)."""
+    rows, h, start, end = words(column)
+    data, _ = bytes_of(column)
+    begins = []
+    for size in STEMS:
+        at = np.flatnonzero(end - start > size)
+        code = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            byte = data[start[at] + k]
+            byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+            code = code << np.uint64(8) | byte.astype(np.uint64)
+        begins.append((rows[at], mix(code)))
+    rows, h = (np.concatenate([own, *(b[i] for b in begins)]) for i, own in enumerate((rows, h)))
     pairs, count = np.unique(rows * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
     return Rows(pairs // BUCKETS, pairs % BUCKETS, 1 + np.log(count), np.zeros((len(column), 0)))
 
@@ -133,19 +141,20 @@ def hash_of(s: str) -> int:
     return out
 
 
-def fit(x: Rows, y: np.ndarray, buckets: int, steps: int = 120, penalty: float = 1e-4) -> Linear:
+def fit(x: Rows, y: np.ndarray, buckets: int, against: bool = False, steps: int = 120, penalty: float = 1e-4) -> Linear:
     """Logistic regression with both classes weighted alike, by Adam over all rows.
 
-    Only features whose frequency differs between the classes by more than chance count.
+    Only features whose frequency differs between the classes by more than chance count; with ``against`` only those that
+    are more frequent in class 0, so that plain words cannot outweigh bad ones.
     """
     n, dense = len(y), x.dense.shape[1]
     if not n or y.min() == y.max():
-        return Linear(np.zeros(buckets), np.zeros(dense), 0.0 if not n else 6.0 * (2 * float(y[0]) - 1))
+        return Linear(np.zeros(buckets), np.zeros(dense), 6.0 if not n or y[0] else -6.0)
     of = [np.bincount(x.feature[y[x.row] == c], minlength=buckets) for c in (0, 1)]
     total = [max(1, int((y == c).sum())) for c in (0, 1)]
     rate = (of[0] + of[1] + 1) / (n + 2)
     z = (of[1] / total[1] - of[0] / total[0]) / np.sqrt(rate * (1 - rate) * (1 / total[0] + 1 / total[1]))
-    own = np.abs(z) >= SIGNIFICANT
+    own = (-z if against else np.abs(z)) >= SIGNIFICANT
     kept = own[x.feature]
     x = Rows(x.row[kept], x.feature[kept], x.value[kept], x.dense)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
@@ -162,23 +171,44 @@ def fit(x: Rows, y: np.ndarray, buckets: int, steps: int = 120, penalty: float =
     return Linear(model[:buckets], model[buckets:-1], float(model[-1]))
 
 
-def _combine(columns: np.ndarray, y: np.ndarray, start: np.ndarray, alike: bool = False) -> np.ndarray:
-    """Weights and shift of a small logistic regression, by Newton steps; ``start`` where it has one class only.
-
-    ``alike`` gives both classes the same weight.
-    """
+def _calibration(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic regression on one logit, by Newton steps; 1 and 0 where ``y`` has one class only."""
     if not len(y) or y.min() == y.max():
-        return start
-    x = np.column_stack([columns, np.ones(len(y))])
+        return 1.0, 0.0
+    x = np.column_stack([logit, np.ones(len(y))])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
-    w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if alike else np.ones(len(y))
+    w = np.zeros(2)
     for _ in range(25):
         p = _sigmoid(x @ w)
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, x.T @ (weight * (p - y)) + 1e-2 * w)
-    return w / scale
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + 1e-2 * w)
+    slope, shift = w / scale
+    return float(slope), float(shift)
+
+
+def _calibrated_together(logits: list[np.ndarray], y: np.ndarray, steps: int = 500) -> list[tuple[float, float]]:
+    """Slope and shift of each view, under which the product of the views' probabilities fits ``y`` best.
+
+    Each view alone is calibrated first; Adam steps on the product's log-loss follow, so that a view is not charged for
+    documents that only the other view can tell. Both classes weigh alike.
+    """
+    alone = [_calibration(z, y) for z in logits]
+    if not len(y) or y.min() == y.max():
+        return alone
+    scale = [max(float(np.abs(z).max()), 1e-9) for z in logits]
+    x = [z / c for z, c in zip(logits, scale, strict=True)]
+    w = np.array([v for (slope, shift), c in zip(alone, scale, strict=True) for v in (slope * c, shift)])
+    first, second = np.zeros(4), np.zeros(4)
+    for t in range(1, steps + 1):
+        p = [_sigmoid(w[2 * i] * x[i] + w[2 * i + 1]) for i in (0, 1)]
+        both = np.minimum(p[0] * p[1], 1 - 1e-9)
+        g = np.where(y == 1, -0.5 / y.mean(), 0.5 / (1 - y.mean()) * both / (1 - both)) / len(y)
+        grad = np.array([v for i in (0, 1) for v in ((g * (1 - p[i])) @ x[i], (g * (1 - p[i])).sum())]) + 1e-4 * w
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad**2
+        w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+    return [(float(w[2 * i] / scale[i]), float(w[2 * i + 1])) for i in (0, 1)]
 
 
 def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -190,7 +220,7 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, round
     views, sizes = (text, page), (BUCKETS, PAGE_BUCKETS)
     models: list[Linear] = []
     for k in range(rounds + 1):
-        models = [fit(v.take(rows), y[rows], size) for v, rows, y, size in zip(views, own, given, sizes, strict=True)]
+        models = [fit(v.take(rows), y[rows], size, against=v is text) for v, rows, y, size in zip(views, own, given, sizes, strict=True)]
         if k == rounds or not len(open_) or not len(known):
             break
         chance = [_sigmoid(m.logit(v.take(open_))) for m, v in zip(models, views, strict=True)]
@@ -204,17 +234,16 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, round
     check = np.flatnonzero(aside & (label >= 0))
     y = label[check].astype(float)
     logits = [m.logit(v.take(check)) for m, v in zip(models, views, strict=True)]
-    for m, z in zip(models, logits, strict=True):
-        m.slope, m.shift = _combine(z[:, None], y, np.array([1.0, 0.0]))
-    calibrated = _both(*(m.slope * z + m.shift for m, z in zip(models, logits, strict=True)))
-    return Model(models[0], models[1], _combine(calibrated, y, np.array([1.0, 1.0, 1.5]), alike=True))
+    for m, (slope, shift) in zip(models, _calibrated_together(logits, y), strict=True):
+        m.slope, m.shift = slope, shift
+    return Model(*models)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, rounds: int = ROUNDS) -> Model:
     """The model fitted on at most ``labelled`` documents with a label and ``others`` without one.
 
     A document with several labels is good if they all say so; labels that are null are no labels. Without labels of both
-    kinds all documents get the same side.
+    kinds all documents get the same side; without any label, or any document that has one, all are good.
     """
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).cast("int")
     by = F.xxhash64("doc_id", F.lit(6))
