@@ -184,7 +184,7 @@ def link_cascade(
     )
 
 
-def link_report(links: DataFrame, linked: str, country: str, team: str, min_rows: int = 50) -> dict[str, DataFrame]:
+def link_report(links: DataFrame, linked: str, country: str, team: str, min_rows: int = 50, worst: int = 10, unmatched: int = 20) -> dict[str, DataFrame]:
     """Match quality tables: per quality, overall, per country, worst countries, teams with most unmatched rows."""
     counts = [F.count(F.lit(1)).alias("n_players"), F.count(linked).alias("matched")]
     rate = F.try_divide(F.col("matched"), F.col("n_players")).alias("match_rate")
@@ -193,8 +193,8 @@ def link_report(links: DataFrame, linked: str, country: str, team: str, min_rows
         "quality": links.groupBy("match_quality").count(),
         "overall": links.agg(*counts).select("*", rate),
         "per_country": per_country,
-        "worst": per_country.filter(F.col("n_players") >= min_rows).orderBy("match_rate", country).limit(10),
-        "unmatched": links.filter(F.col(linked).isNull()).groupBy(team).count().orderBy(F.desc("count"), team).limit(20),
+        "worst": per_country.filter(F.col("n_players") >= min_rows).orderBy("match_rate", country).limit(worst),
+        "unmatched": links.filter(F.col(linked).isNull()).groupBy(team).count().orderBy(F.desc("count"), team).limit(unmatched),
     }
 
 

@@ -295,10 +295,10 @@ def _(v):
 
 @query(
     "label_counts", "E16", "tournament:s count:l",
-    "select tournament, count(*) as count from matches where tournament is not null group by 1 order by 2 desc, 1 limit 5",
+    "select tournament, count(*) as count from matches where tournament is not null group by 1 order by 2 desc, 1 limit 20",
 )
 def _(v):
-    return profile.label_counts(v("matches"), "tournament", 5)
+    return profile.label_counts(v("matches"), "tournament", 20)
 
 
 @query("distinct_labels", "E16", "tournament:s", "select distinct tournament from matches")

@@ -192,12 +192,15 @@ def _(v):
     return windows.last_n_per_entity(v("matches"))
 
 
+_LEAGUES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+_LEAGUE_MEANS = ", ".join(f"avg(home_score) filter (where league = '{league}') as {name}" for league, name in _LEAGUES.items())
+
+
 @query(
-    "mean_goals_by_league", "F14", "year:l urgent:d6 low:d6",
-    """select extract(year from date) as year, avg(home_score) filter (where league = '1-URGENT') as urgent, avg(home_score) filter (where league = '5-LOW') as low
-       from matches group by 1""",
+    "mean_goals_by_league", "F14", "year:l " + " ".join(f"{name}:d6" for name in _LEAGUES.values()),
+    f"select extract(year from date) as year, {_LEAGUE_MEANS} from matches group by 1",
 )
 def _(v):
     rows = v("matches").withColumn("year", F.year("date"))
-    table = windows.pivot_metric(rows, "year", "league", "home_score", ["1-URGENT", "5-LOW"])
-    return table.select("year", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
+    table = windows.pivot_metric(rows, "year", "league", "home_score", list(_LEAGUES))
+    return table.select("year", *[F.col(league).alias(name) for league, name in _LEAGUES.items()])

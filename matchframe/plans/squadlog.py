@@ -10,9 +10,9 @@ from matchframe.operators.asof import asof, latest_on_or_before, snapshots, stat
 from matchframe.plans.registry import query
 from matchframe.plans.temporal import CLUB_SQL, born, clubs, ts
 
-# Squads: customers by nation and segment, valued by balance; ages and injuries from their keys.
-_PLAYERS = """select c_nationkey as team, c_mktsegment as segment, c_custkey as player_id, c_acctbal as value, 18 + c_custkey % 20 as age,
-   c_custkey % 9 = 0 as is_gk, c_custkey % 7 = 0 as injured from customer where c_acctbal > 0"""
+# Squads: customers by nation and segment, valued by the size of their balance; ages and injuries from their keys.
+_PLAYERS = """select c_nationkey as team, c_mktsegment as segment, c_custkey as player_id, abs(c_acctbal) as value, 18 + c_custkey % 20 as age,
+   c_custkey % 9 = 0 as is_gk, c_custkey % 7 = 0 as injured from customer"""
 _RANKED = f"""select *, row_number() over (partition by team, segment order by value desc, player_id) as rk,
    row_number() over (partition by team, segment, is_gk order by value desc, player_id) as role_rk from ({_PLAYERS})"""
 _OUT = (
@@ -39,8 +39,8 @@ def _features_sql(source: str, keys: str, top: int, gk: int, rank: str = "rk", r
 
 @query("squad_features", "E1", f"team:l segment:s {_OUT}", _features_sql(f"({_RANKED})", "team, segment", 6, 2))
 def _(v):
-    players = v("customer").filter(F.col("c_acctbal") > 0).selectExpr(
-        "c_nationkey as team", "c_mktsegment as segment", "c_custkey as player_id", "c_acctbal as value", "18 + c_custkey % 20 as age",
+    players = v("customer").selectExpr(
+        "c_nationkey as team", "c_mktsegment as segment", "c_custkey as player_id", "abs(c_acctbal) as value", "18 + c_custkey % 20 as age",
         "c_custkey % 9 = 0 as is_gk", "c_custkey % 7 = 0 as injured",
     )
     return squads.squad_features(players, ["team", "segment"], 6, 2, injured="injured")
@@ -80,7 +80,7 @@ def _(v):
 # Pools: lineup players of a team; values and injuries of the event users with the same number.
 _POOL = """s as (select distinct home_team as team_id, make_date(cast(extract(year from date) as int), 7, 1) as snapshot from matches
        union select distinct away_team, make_date(cast(extract(year from date) as int), 7, 1) from matches),
-   m as (select distinct team_id, player_id from lineups where player_id < 1500),
+   m as (select distinct team_id, player_id from lineups),
    b as (select player_id, date '1950-01-01' + cast(birth_key * 400 as int) as born, position from profiles where player_id % 10 <> 0),
    e as (select team_id, snapshot, player_id, date_diff('day', born, snapshot) / 365.25 as age, position = 'SMALL' as is_gk
          from s join m using (team_id) join b using (player_id) where date_diff('day', born, snapshot) / 365.25 between 17 and 37),
@@ -102,7 +102,7 @@ def _pool(v):
     spells = v("lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("player_id"), F.col("l_shipdate").alias("from_date")).agg(
         F.max(end).alias("end_date")
     )
-    members = v("lineups").filter(F.col("player_id") < 1500)
+    members = v("lineups")
     return members, born(v), values, spells
 
 
@@ -215,14 +215,14 @@ def _(v):
     return squads.overlay(primary, m.groupBy("team").agg(F.avg("home_score").alias("value")), ["team"], ["value"])
 
 
-_CLUBS = "select l_partkey % 100 as club_id, case l_suppkey % 12 when 0 then 'GB1' when 1 then 'ES1' else 'X' || (l_suppkey % 12) end as competition_id from lineitem where l_linenumber = 1 and l_quantity < 5"
+_CLUBS = "select l_partkey % 100 as club_id, case l_suppkey % 12 when 0 then 'GB1' when 1 then 'ES1' else 'X' || (l_suppkey % 12) end as competition_id from lineitem"
 _BEST = f"select club_id, competition_id from (select *, row_number() over (partition by club_id order by (competition_id in ('GB1', 'ES1')) desc, competition_id) as rn from ({_CLUBS})) where rn = 1"
 
 
 def _clubs(v):
     k = F.col("l_suppkey") % 12
     label = F.when(k == 0, "GB1").when(k == 1, "ES1").otherwise(F.concat(F.lit("X"), k))
-    return v("lineitem").filter("l_linenumber = 1 and l_quantity < 5").select((F.col("l_partkey") % 100).alias("club_id"), label.alias("competition_id"))
+    return v("lineitem").select((F.col("l_partkey") % 100).alias("club_id"), label.alias("competition_id"))
 
 
 @query("preferred_clubs", "E9", "club_id:l competition_id:s", _BEST)
