@@ -21,8 +21,8 @@ from matchframe.llm.text import LOWER, bytes_of, pieces
 Q = 8
 #: Edits per character of an item; items of fewer bytes are too short to prove a leak and take no part.
 EDITS, SHORTEST = 0.1, 24
-#: Most edits of an item, however long it is.
-MOST_EDITS = 64
+#: Cells of the alignment that advance together: longer items go in smaller groups.
+CELLS = 1 << 20
 #: Bytes of benchmark text that one broadcast index covers; a larger benchmark is searched block by block.
 BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 22
@@ -50,7 +50,7 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 
 def budget(n: int, edits: float = EDITS) -> int:
-    return min(int(edits * n), (n - Q) // Q, MOST_EDITS)
+    return min(int(edits * n), (n - Q) // Q)
 
 
 class Index:
@@ -123,6 +123,8 @@ class Index:
             r, i = divmod(k, len(self.ids))
             edits, w, text, item_ = int(self.edits[i]), int(self.width[i]), data[offsets[r] : offsets[r + 1]], self.items[i]
             low, high = band_no * w - len(data) - edits, band_no * w - len(data) + 2 * w - 1 + edits
+            if len(text) < len(item_) - edits:
+                continue
             a = max(0, low)
             exact = text[a : max(0, high + len(item_))].tobytes().find(item_.tobytes())
             if exact >= 0:
@@ -150,8 +152,15 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, hig
     """
     out: list[tuple[int, int, int] | None] = [None] * len(items)
     order = sorted(range(len(items)), key=lambda c: -len(items[c]))
-    for first in range(0, len(order), 1024):
-        own = order[first : first + 1024]
+    wide = (high - low + 1).tolist()
+    first = 0
+    while first < len(order):
+        widest = wide[order[first]]
+        own = order[first : first + max(1, min(1024, CELLS // widest))]
+        if widest > 512:  # a long item does not widen the short ones after it
+            own = [c for k, c in enumerate(own) if not k or 2 * wide[c] > widest]
+            own = order[first : first + len(own)]
+        first += len(own)
         n = np.array([len(items[c]) for c in own])
         lo, width = low[own], int((high[own] - low[own]).max()) + 1
         longest, sizes = int(n[0]), np.array([len(texts[c]) for c in own])
