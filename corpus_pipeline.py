@@ -33,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their number of copies in the mix (0: not taken), sizes and targets."""
-    return mixing.mix(docs)
+    """The mixed corpus: a row for each copy of a document, none for those not taken; with sizes and targets."""
+    return mixing.emit(docs)
 
 
 STAGES = [

@@ -3,7 +3,8 @@
 Within a source every document has the same expected number of copies, its target over its size. Documents are laid in
 order of size, expected copies are summed from the front, one random offset is added, and a document is taken once for
 every whole number the running sum passes. Neighbours in the order are of like size, so a source's words come within
-about one document of its target. Positions come from counts per (source, size, slice), never from one ordered group:
+about one document of its target. ``mix`` tells the copies of each document, ``emit`` gives the corpus itself, with a row
+for each copy. Positions come from counts per (source, size, slice), never from one ordered group:
 a source may hold any share of all rows.
 """
 
@@ -87,3 +88,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     out = placed.join(slices, ["rank", "size", "slice"]).withColumn("within", within)
     out = out.withColumn("copies", (F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *new)
+
+
+def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as ``mix`` takes it, with the columns of ``mix`` and ``copy`` from 1.
+
+    Rows with no copies are left out. A column of the input called ``copy`` is replaced.
+    """
+    mixed = mix(docs.drop("copy"), weights, share, most, seed)
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
