@@ -1,9 +1,14 @@
-"""Substring dedup: paragraphs that repeat, by MinHash bands, exact confirmation and components.
+"""Substring dedup: paragraphs that repeat, by MinHash bands, exact confirmation and components; and repeated runs of words.
 
 A paragraph is a line of ``LEAST`` words or more. Its shingles of five words give rows x bands minima; paragraphs that
 agree in a whole band meet. The number of bands is tuned so that a pair at the threshold is missed with less than
 ``MISS``. Meeting paragraphs are confirmed by exact Jaccard similarity, and linked ones form classes, of which the first
 paragraph (smallest doc_id, then place) stays. Paragraphs with equal shingle sets are one node from the start.
+
+A run is ``LEAST`` words or more, whatever lines they stand on, that stand in the same order elsewhere too. Of the hashes of
+25 words from all places, the least of each 26 neighbours is a mark, so every 50 words hold one, and equal runs an equal one.
+Only around marks that occur twice are all ``LEAST`` words hashed and looked up. Places whose first occurrences follow one
+another form a run, and its class is the run of those first occurrences. No pairs are formed: rows grow with the words.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,15 +99,173 @@ def _sets(docs: DataFrame, least: int, in_docs: np.ndarray, in_ids: np.ndarray)
     return docs.mapInArrow(run, "id long, set binary")
 
 
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from every place."""
+    m = max(0, len(h) - size + 1)
+    odd = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(m, np.uint64)
+    for j in range(size):
+        out += h[j : j + m] * odd[j]
+    return mix(out)
+
+
+def _marked(row: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the marks: every ``least`` words of a row hold one, the last of the least hashes in them."""
+    size = (least + 1) // 2
+    whole = np.flatnonzero(row[: max(0, len(row) - least + 1)] == row[least - 1 :])
+    if not len(whole):
+        return whole, np.zeros(0, np.uint64)
+    value = _rolled(h, size)
+    window = np.lib.stride_tricks.sliding_window_view(value, least - size + 1)
+    parts = np.array_split(whole, len(whole) // 65536 + 1)
+    at = np.unique(np.concatenate([part + least - size - np.argmin(window[part][:, ::-1], axis=1) for part in parts]))
+    return at, value[at]
+
+
+def _places(column: pa.Array):
+    """Row and hash of every word, first word of every row; line, start and end of every word, in code points of its row."""
+    row, h, start, end = words(column)
+    data, offsets = bytes_of(column)
+    top = offsets[:-1][row]
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+    return row, h, np.searchsorted(row, np.arange(len(column))), breaks[start] - breaks[top], points[start] - points[top], points[end] - points[top]
+
+
+def _marks(source: DataFrame, least: int) -> DataFrame:
+    """Per text of ``least`` words or more: doc_id, copy, n_words, line, last, start, end (of all its words), marks."""
+    schema = "doc_id long, copy long, n_words int, line int, last int, start int, end int, marks array<struct<mark: long, place: int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            row, h, first, line, start, end = _places(b.column(2))
+            n = np.bincount(row, minlength=b.num_rows)
+            of = np.flatnonzero(n >= least)
+            if not len(of):
+                continue
+            at, mark = _marked(row, h, least)
+            edges = np.append(np.searchsorted(row[at], of), len(at))
+            marks = pa.StructArray.from_arrays([pa.array(mark.view(np.int64)), pa.array((at - first[row[at]]).astype(np.int32))], names=["mark", "place"])
+            head, tail = first[of], first[of] + n[of] - 1
+            cols = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (n[of], line[head], line[tail], start[head], end[tail]))]
+            cols.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), marks))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "copy", "n_words", "line", "last", "start", "end", "marks"])
+
+    return source.mapInArrow(run, schema)
+
+
+def _apart(row: np.ndarray, gram: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
+    """Which places to keep so that equal words of one row do not overlap, as they do in "a a a": the first, then the next free."""
+    keep = np.ones(len(place), bool)
+    order = np.lexsort((place, gram, row))
+    again = np.flatnonzero((row[order[1:]] == row[order[:-1]]) & (gram[order[1:]] == gram[order[:-1]])) + 1
+    taken, before = 0, -1
+    for k in again.tolist():
+        if k - 1 != before:  # a new group, whose first place stays
+            taken = place[order[k - 1]]
+        if place[order[k]] < taken + least:
+            keep[order[k]] = False
+        else:
+            taken = place[order[k]]
+        before = k
+    return keep
+
+
+def _around(marked: DataFrame, least: int) -> DataFrame:
+    """(doc_id, copy, place, line, last, start, end, gram) of all ``least`` words that hold one of the marks at ``places``.
+
+    ``marked`` has doc_id, copy, text and places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            row, h, first, line, start, end = _places(b.column(2))
+            gram = _rolled(h, least)
+            marks = b.column(3)
+            at = marks.flatten().to_numpy() + np.repeat(first, pc.list_value_length(marks).to_numpy())
+            holds = np.zeros(len(gram) + 1, np.int64)
+            np.add.at(holds, np.clip(at - (least - (least + 1) // 2), 0, len(gram)), 1)
+            np.add.at(holds, np.clip(at + 1, 0, len(gram)), -1)
+            place = np.flatnonzero((np.cumsum(holds)[:-1] > 0) & (row[: len(gram)] == row[least - 1 :]))
+            place = place[_apart(row[place], gram[place], place, least)]
+            of, tail = pa.array(row[place]), place + least - 1
+            cols = [b.column(0).take(of), b.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (place - first[row[place]], line[place], line[tail], start[place], end[tail]))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(gram[place].view(np.int64))], names=["doc_id", "copy", "place", "line", "last", "start", "end", "gram"])
+
+    return marked.select("doc_id", "copy", "text", "places").mapInArrow(run, "doc_id long, copy long, place int, line int, last int, start int, end int, gram long")
+
+
+def runs(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
+    """Every run that stands in several places: doc_id, copy (a hash of its text), line and last (its lines), start, end,
+    n_words, head_doc, head_copy, head_line, head_last, head_place (where its words stand first) and place, in words.
+
+    Rows whose own place is their first are the classes; a class's other rows have their ``head_place`` inside it. A text
+    that is equal to another's is one run as a whole.
+    """
+    source = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
+    source = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    every = stored(_marks(source, least).dropDuplicates(["doc_id", "copy"]))
+    firsts = every.groupBy("copy").agg(F.min("doc_id").alias("head_doc"), F.count(F.lit(1)).alias("n"))
+    spread = stored(every.join(firsts, "copy"))
+    same = spread.where("n > 1").select(
+        "doc_id", "copy", "line", "last", "start", "end", "n_words", "head_doc", F.col("copy").alias("head_copy"),
+        F.col("line").alias("head_line"), F.col("last").alias("head_last"), F.lit(0).alias("head_place"), F.lit(0).alias("place"),
+    )
+    marks = spread.where("doc_id = head_doc").select("doc_id", "copy", F.explode("marks").alias("m")).select("doc_id", "copy", "m.mark", "m.place")
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    hits = marks.join(shared, "mark").groupBy("doc_id", "copy").agg(F.collect_list("place").alias("places"))
+    grams = stored(_around(source.join(hits, ["doc_id", "copy"]), least).dropDuplicates(["doc_id", "copy", "place"]))
+    heads = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "copy", "place", "line", "last")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = grams.join(heads.select("gram", "head"), "gram")
+    # places of a run keep their distance from their first occurrences
+    at = F.struct("place", "line", "last", "start", "end", F.col("head.place").alias("head_place"), F.col("head.line").alias("head_line"), F.col("head.last").alias("head_last"))
+    key = ["doc_id", "copy", F.col("head.doc_id").alias("head_doc"), F.col("head.copy").alias("head_copy"), (F.col("place") - F.col("head.place")).alias("apart")]
+    lists = placed.select(*key, at.alias("at")).groupBy("doc_id", "copy", "head_doc", "head_copy", "apart").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    lists = lists.withColumn("begins", F.expr("filter(sequence(0, size(ats) - 1), i -> i = 0 or ats[i].place <> ats[i - 1].place + 1)"))
+    ends = F.expr("transform(begins, (i, k) -> struct(ats[i] as a, ats[coalesce(get(begins, k + 1), size(ats)) - 1] as z))")
+    found = lists.select("doc_id", "copy", "head_doc", "head_copy", F.explode(ends).alias("r")).select(
+        "doc_id", "copy", "r.a.line", "r.z.last", "r.a.start", "r.z.end", (F.col("r.z.place") - F.col("r.a.place") + least).alias("n_words"),
+        "head_doc", "head_copy", "r.a.head_line", "r.z.head_last", "r.a.head_place", "r.a.place",
+    )
+    return found.unionByName(same)
+
+
+def _told(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """``found`` without the runs that stand in a line and first in a line of the same class; ``lines`` has the classes."""
+    known = lines.groupBy("doc_id", "paragraph").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low = high")
+    a = known.select("doc_id", F.col("paragraph").alias("line"), F.col("low").alias("class_a"))
+    b = known.select(F.col("doc_id").alias("head_doc"), F.col("paragraph").alias("head_line"), F.col("low").alias("class_b"))
+    out = found.join(a, ["doc_id", "line"], "left").join(b, ["head_doc", "head_line"], "left")
+    told = (F.col("line") == F.col("last")) & (F.col("head_line") == F.col("head_last")) & (F.col("class_a") == F.col("class_b"))
+    return out.where(~F.coalesce(told, F.lit(False))).drop("class_a", "class_b")
+
+
+def _run_rows(every: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``repeats`` for the runs that lines do not tell."""
+    own = F.expr("doc_id = head_doc and copy = head_copy and place = head_place")
+    members = stored(_told(every.where(~own), lines))
+    starts = every.where(own).groupBy("head_doc", "head_copy").agg(F.sort_array(F.collect_list(F.struct("place", "n_words", "line", "last", "start", "end"))).alias("starts"))
+    # the longest of the runs of first occurrences around the place is the class: a whole text, or the one that begins last
+    inside = F.expr("filter(starts, x -> x.place <= head_place and x.place + x.n_words >= head_place + n_words)")
+    members = members.join(starts, ["head_doc", "head_copy"]).withColumn("head", F.element_at(inside, -1))
+    members = stored(members.select("doc_id", "line", "start", "end", "n_words", "head_doc", "head_copy", "head"))
+    named = [F.col("head_doc").alias("class_doc"), F.col("head.line").alias("class_paragraph"), F.col("head.start").alias("class_start")]
+    removed = members.select("doc_id", F.col("line").alias("paragraph"), "start", "end", "n_words", *named, F.lit(True).alias("removed"))
+    firsts = members.select("head_doc", "head_copy", "head").distinct()
+    kept = firsts.select(F.col("head_doc").alias("doc_id"), F.col("head.line").alias("paragraph"), "head.start", "head.end", "head.n_words", *named, F.lit(False).alias("removed"))
+    return removed.unionByName(kept).withColumn("unit", F.lit("run"))
+
+
 def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """Every paragraph that belongs to a class of several: doc_id, paragraph, start, end, n_words, class_doc,
-    class_paragraph (its class's first paragraph) and removed (all but the first).
+    """Every paragraph and run that belongs to a class of several: doc_id, paragraph (a run's first line), start, end,
+    n_words, class_doc, class_paragraph and class_start (where its class's first one stands), removed (all but the first)
+    and unit ("line" or "run").
 
-    Null and empty texts have no paragraphs; rows without a doc_id take no part. Rows that repeat a doc_id are the same
+    Runs in lines that are in one class anyway are left out. Runs of a document may overlap. Null and empty texts have no paragraphs; rows without a doc_id take no part. Rows that repeat a doc_id are the same
     document: a paragraph at the same place with the same words counts once.
     """
     every = stored(paragraphs(docs, tuned_bands(percent), least, text).dropDuplicates(["doc_id", "paragraph", "id"]))
-    heads = stored(every.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("head"), F.count(F.lit(1)).alias("n")))
+    heads = stored(every.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("head"), F.count(F.lit(1)).alias("n")))
     at_head = heads.select("id", "head.doc_id", "head.paragraph")
     nodes = every.join(at_head, ["id", "doc_id", "paragraph"], "left_semi").select("id", "size", "sketch", "keys")
     source = docs.where("doc_id is not null and text is not null").select(slot_of(F.col("doc_id").cast("long")).alias("slot"), F.col(text).alias("text"))
@@ -118,6 +282,8 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, text: s
     of = stored(of)
     classes = of.groupBy("class").agg(F.sum("n").alias("members"), F.min("head").alias("first")).where("members > 1")
     told = of.select("id", "class").join(classes, "class").select("id", "first")
-    out = every.drop("size", "sketch", "keys").join(told, "id")
+    out = stored(every.drop("size", "sketch", "keys").join(told, "id"))
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("paragraph") != F.col("first.paragraph"))
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.paragraph").alias("class_paragraph"), removed.alias("removed"))
+    first = [F.col("first.doc_id").alias("class_doc"), F.col("first.paragraph").alias("class_paragraph"), F.col("first.start").alias("class_start")]
+    lines = out.select("doc_id", "paragraph", "start", "end", "n_words", *first, removed.alias("removed"), F.lit("line").alias("unit"))
+    return lines.unionByName(_run_rows(stored(runs(docs, least, text)), out))
