@@ -14,18 +14,31 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KEY = "matchframe"
+#: Month names (English, their short forms, German, French, Spanish), and country codes but +1.
+MONTHS = """january february march april may june july august september october november december
+jan feb mar apr may jun jul aug sep oct nov dec
+januar februar märz april mai juni juli august september oktober november dezember
+janvier février mars avril mai juin juillet août septembre octobre novembre décembre
+enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre""".split()
+_MONTH = "(?iu:" + "|".join(sorted(set(MONTHS), key=lambda w: (-len(w), w))) + r")\b\.?"
+_DAY, _YEAR, _END = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:19|20)[0-9]{2}", "(?![0-9A-Za-z]|[./-][0-9])"
+COUNTRY = "(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 KINDS = ("email", "ip", "phone", "ssn", "date", "card")
 #: What a candidate of each kind looks like, tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z.-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?<![0-9A-Za-z.-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+    rf"|(?<![0-9A-Za-z.+-])\+{COUNTRY}[ .-]?(?:\(0\)[ .-]?)?\(?[0-9]{{1,13}}\)?(?:[ ./-]\(?[0-9]{{1,13}}\)?){{0,6}}(?![0-9A-Za-z]|[.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z.-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z]|[./-][0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z]|[./-][0-9])"
+    rf"|(?<![0-9A-Za-z./-]){_DAY}(?<two>[-/.]){_DAY}\k<two>{_YEAR}{_END}"
+    rf"|(?<![0-9A-Za-z./-]){_DAY}(?:st|nd|rd|th|er|\.)?(?: of| de)? {_MONTH},?(?: de| del)? {_YEAR}{_END}"
+    rf"|(?<![0-9A-Za-z])(?<!\p{{L}}){_MONTH} {_DAY}(?:st|nd|rd|th)?,? {_YEAR}{_END}",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{2,7}){2,4})(?![0-9A-Za-z]|[ .-][0-9])",
 }
-#: Every candidate has an "@", three digits in a row or the start of a dotted quad; other texts are passed by.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]{1,3}\."
+#: Every candidate has an "@", three digits in a row, a country code or the start of a dotted quad; other texts are passed by.
+HINT = r"@|[0-9]{3}|\+[2-9]|[0-9]\.[0-9]{1,3}\."
 _GROUP = {k: p.replace(r"([-/.])", r"(?<mark>[-/.])").replace(r"\2", r"\k<mark>") for k, p in PATTERNS.items()}
 ANY = "|".join(_GROUP[k] for k in KINDS)
 
@@ -88,7 +101,27 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, F.concat(body, last))
 
 
+def _national(m: Column) -> Column:
+    """Digits of an international number after its country code and a "(0)"."""
+    return _digits(F.regexp_replace(m, rf"^\+{COUNTRY}[ .-]?(?:\(0\))?", ""))
+
+
+def _abroad(m: Column, key: str) -> Column:
+    d, all_ = _national(m), _digits(m)
+    n = F.length(d)
+    nl = F.floor(n / 2).cast("int")
+    power = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    code = all_.substr(F.lit(1), F.length(all_) - n)
+    tweak = F.concat(F.lit("abroad"), F.regexp_extract(m, rf"^\+({COUNTRY})", 1), F.lit("/"), n.cast("string"))
+    pair = feistel(d.substr(F.lit(1), nl), d.substr(nl + 1, n - nl), power(nl), power(n - nl), tweak, key)
+    return _refill(m, F.concat(code, F.lpad(pair["l"].cast("string"), nl, F.lit("0")), F.lpad(pair["r"].cast("string"), n - nl, F.lit("0"))))
+
+
 def _phone(m: Column, key: str) -> Column:
+    return F.when(m.rlike("^\\+[2-9]"), _abroad(m, key)).otherwise(_home(m, key))
+
+
+def _home(m: Column, key: str) -> Column:
     d = _digits(m)
     ten = d.substr(F.length(d) - 9, F.lit(10))
     part = lambda at, n: ten.substr(F.lit(at), F.lit(n)).cast("long")
@@ -120,16 +153,73 @@ def _ip(m: Column, key: str) -> Column:
 _DAY_0, _DATE_A, _DATE_B = "1900-01-01", 17, 4297
 
 
+_NUMERIC = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"
+#: Steps in which a day is permuted until it is one of its kind; all but one in 10^25 values need fewer.
+WALK = 64
+
+
+def _made(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_timestamp(F.concat(year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyyMMdd")).cast("date")
+
+
+def _named(m: Column) -> tuple[Column, Column]:
+    """The month's name as written, and its place in MONTHS from 0."""
+    name = F.regexp_replace(F.regexp_extract(m, _MONTH, 0), "[.]", "")
+    return name, F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name)) - 1
+
+
+def _readings(m: Column) -> tuple[Column, Column]:
+    """A date of two fields and a year as its mark has it (day first with dots, else month first), and the other way."""
+    a, b, year = (F.regexp_extract(m, _NUMERIC, k) for k in (1, 2, 3))
+    dots = F.instr(m, ".") > 0
+    return _made(year, F.when(dots, b).otherwise(a), F.when(dots, a).otherwise(b)), _made(year, F.when(dots, a).otherwise(b), F.when(dots, b).otherwise(a))
+
+
 def _day(m: Column) -> Column:
-    d = _digits(m)
-    return F.try_to_timestamp(d, F.lit("yyyyMMdd")).cast("date")
+    usual, other = _readings(m)
+    by_name = _made(F.regexp_extract(m, "[0-9]{4}", 0), (_named(m)[1] % 12 + 1).cast("string"), F.regexp_extract(m, "(?<![0-9])[0-9]{1,2}(?![0-9])", 0))
+    iso = F.try_to_timestamp(_digits(m), F.lit("yyyyMMdd")).cast("date")
+    return F.when(m.rlike("^[0-9]{4}"), iso).when(m.rlike(_NUMERIC), F.coalesce(usual, other)).otherwise(by_name)
 
 
-def _date(m: Column, key: str) -> Column:
-    n = F.datediff(_day(m), F.lit(_DAY_0).cast("date"))
+def _moved(day: Column, key: str) -> Column:
+    n = F.datediff(day, F.lit(_DAY_0).cast("date"))
     pair = feistel(F.floor(n / _DATE_B), n % _DATE_B, F.lit(_DATE_A), F.lit(_DATE_B), F.lit("date"), key)
-    day = F.date_add(F.lit(_DAY_0).cast("date"), (pair["l"] * _DATE_B + pair["r"]).cast("int"))
-    return _refill(m, F.date_format(day, "yyyyMMdd"))
+    return F.date_add(F.lit(_DAY_0).cast("date"), (pair["l"] * _DATE_B + pair["r"]).cast("int"))
+
+
+def _date(m: Column, key: str) -> Column:
+    """The permuted day in the layout of ``m``.
+
+    A date that only the other reading makes valid has a day above 12; it is permuted on until its day is above 12 again,
+    so that its pseudonym is read the same way and differs from all others.
+    """
+    plain = _refill(m, F.date_format(_moved(_day(m), key), "yyyyMMdd"))
+    return F.when(m.rlike("^[0-9]{4}"), plain).when(m.rlike(_NUMERIC), _two_fields(m, key)).otherwise(_with_name(m, key))
+
+
+def _two_fields(m: Column, key: str) -> Column:
+    usual, other = _readings(m)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _moved(other, key), lambda acc, i: F.when(F.dayofmonth(acc) > 12, acc).otherwise(_moved(acc, key)))
+    new = F.when(usual.isNotNull(), _moved(usual, key)).otherwise(walked)
+    bare = m.rlike("^[0-9][-/.]|[-/.][0-9][-/.]")
+    part = lambda k: F.when(bare, F.date_format(new, k)).otherwise(F.date_format(new, k * 2))
+    mark = F.regexp_extract(m, "[-/.]", 0)
+    day_first = (mark == ".") == usual.isNotNull()
+    return F.concat(F.when(day_first, part("d")).otherwise(part("M")), mark, F.when(day_first, part("M")).otherwise(part("d")), mark, F.date_format(new, "yyyy"))
+
+
+def _with_name(m: Column, key: str) -> Column:
+    new = _moved(_day(m), key)
+    name, at = _named(m)
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), (at - at % 12 + F.month(new)).cast("int"))
+    month = F.when(name == F.upper(name), F.upper(month)).when(name == F.lower(name), month).otherwise(F.initcap(month))
+    day = F.when(m.rlike("(?<![0-9])0[0-9](?![0-9])"), F.date_format(new, "dd")).otherwise(F.date_format(new, "d"))
+    n = F.dayofmonth(new)
+    ending = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+    out = F.regexp_replace(F.regexp_replace(m, F.lit("[0-9]{4}"), F.date_format(new, "yyyy")), F.lit("(?<![0-9])[0-9]{1,2}(?![0-9])"), day)
+    out = F.regexp_replace(F.regexp_replace(out, F.lit("(?<=[0-9])(?:st|nd|rd|th)"), ending), F.lit("(?<=[0-9])er"), F.when(n == 1, "er").otherwise(""))
+    return F.regexp_replace(out, F.lit(_MONTH.removesuffix(r"\.?")), month)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -143,7 +233,7 @@ _MAKE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date
 def kind_of(m: Column) -> Column:
     """Kind of a matched value, null where it fails its check."""
     d = _digits(m)
-    valid = {"card": F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0), "date": _day(m).isNotNull()}
+    valid = {"card": F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0), "date": _day(m).isNotNull(), "phone": ~m.rlike("^\\+[2-9]") | (F.length(_national(m)) >= 5) & (F.length(_digits(m)) <= 15)}
     out = F.when(F.instr(m, "@") > 0, F.lit("email"))
     for k in KINDS[1:]:
         full = f"^(?:{_GROUP[k]})$"
