@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchframe.llm import bloom_lm, cotrain, decontaminate, mixing, near_dedup, passages, pseudonyms, secret_scan, topk, url_rules
+from matchframe.llm import (
+    bloom_lm, codebooks, cotrain, decontaminate, fingerprints, mixing, near_dedup, passages, pseudonyms, ranked, secret_scan, topk, url_rules,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +61,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bloom_lm, op2_minhash_near_dedup, op3_source_mixing, op4_pseudonyms, op5_exact_top_k, op6_quality_classifier,
-        op7_repeated_passages, op8_secret_scan, op9_benchmark_leaks, op10_url_rules,
+        op7_repeated_passages, op8_secret_scan, op9_benchmark_leaks, op10_url_rules, op11_ranked_search, op12_fingerprints, op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
 #: DuckDB twins, for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op5_exact_top_k": topk.ORACLE, "op10_url_rules": url_rules.ORACLE}
+ORACLES: dict[str, str] = {"op5_exact_top_k": topk.ORACLE, "op10_url_rules": url_rules.ORACLE, "op11_ranked_search": ranked.ORACLE, "op13_vector_codes": codebooks.ORACLE}

@@ -71,13 +71,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at, done = to, int(sizes[to - 1])
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end) of every word, in order; starts and ends are bytes of the whole batch."""
+def words(column: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end) of every word, in order; starts and ends are bytes of the whole batch.
+
+    ``space`` tells of each byte whether it separates words.
+    """
     data, offsets = bytes_of(column)
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()
