@@ -13,7 +13,8 @@ from matchframe.functions.constants import TOP_EVENT
 from matchframe.functions.dates import floor_days
 from matchframe.operators import goals, outcome, ratings
 from matchframe.operators.clean import fill, require
-from matchframe.session import durable
+from matchframe.operators.logits import Fit, fit_grid, grid_predict
+from matchframe.session import durable, small_table
 
 TRIPLE = outcome.TRIPLE
 
@@ -151,17 +152,15 @@ def walk_forward_draw(
 ) -> DataFrame:
     """Three-outcome predictions: per fold a logit on the pre-match ratings of earlier years (not before ``min_year``).
 
-    ``rated`` has the columns of ``elo_fold``. ``options`` as for ``walk_forward_ratings``.
+    The logits of all folds are fitted together. ``rated`` has the columns of ``elo_fold``. ``options`` as for ``walk_forward_ratings``.
     """
     frozen = walk_forward_ratings(matches, years, **options)
-    train = rated.select("match_id", "home_elo_pre", "away_elo_pre").join(matches, "match_id")
-    needed = ["date", "neutral", "home_score", "away_score", "home_elo_pre", "away_elo_pre"]
-    train = durable(train.filter(F.year("date") >= min_year).select(*needed))  # every fold reads it, the chain runs once
-    parts = []
-    for y in years:
-        model = outcome.draw_model_fit(train.filter(F.year("date") < y), advantage)
-        parts.append(outcome.draw_model_predict(frozen.filter(F.col("fold") == y), model, "home_elo", "away_elo", advantage=advantage))
-    return reduce(DataFrame.unionByName, parts)
+    train = rated.select("match_id", "home_elo_pre", "away_elo_pre").join(matches, "match_id").filter(F.year("date") >= min_year)
+    train = outcome.draw_model_rows(train, advantage=advantage).select(
+        "diff", F.year("date").alias("year"), scores.outcome(F.col("home_score"), F.col("away_score")).alias("outcome")
+    )
+    grid = fit_grid(train, [Fit("draw", ("diff",), y) for y in years], at="year")
+    return grid_predict(outcome.draw_model_rows(frozen, "home_elo", "away_elo", advantage=advantage), grid).drop("config", "diff")
 
 
 def fold_sums(matches: DataFrame, years: list[int], rates: list[float], min_year: int = 1990) -> DataFrame:
@@ -230,32 +229,44 @@ def sweep(scored: DataFrame, label: str, labels: list, fold: str = "fold", value
     return table, means.withColumn("best", F.col(label) == best)
 
 
+def grid_of(configs: dict[str, dict], years: list[int]) -> list[Fit]:
+    """A fit for each configuration and fold; see ``ablation``."""
+    return [
+        Fit(name, tuple(c["features"]), y, c.get("train_filter"), c.get("fill"), tuple(c.get("fill_cols", c["features"])) if c.get("fill") else ())
+        for name, c in configs.items() for y in years
+    ]
+
+
 def ablation(
-    rows: DataFrame, configs: dict[str, dict], years: list[int], label: str | None = TOP_EVENT, min_train: int = 200,
-    fit: Callable | None = None, predict: Callable | None = None,
-) -> DataFrame:
-    """Predictions of every configuration and fold.
+    rows: DataFrame, configs: dict[str, dict], years: list[int], label: str | None = TOP_EVENT, min_train: int = 200, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions of every configuration and fold, (config, fold, n_train, reason) of every fold).
 
     A configuration names its ``features`` and optionally ``fill`` ("zero" or "mean", over ``fill_cols``) and
-    ``train_filter`` (a condition on training rows). Folds with fewer than ``min_train`` training rows are skipped.
-    ``fit(train, features)`` and ``predict(rows, model)`` default to the multinomial logit.
+    ``train_filter`` (a condition on training rows, as SQL). The logits of all configurations and folds are fitted
+    together. Folds with fewer than ``min_train`` training rows have no predictions; ``reason`` says so, else it is null.
     """
-    fit, predict = fit or outcome.feature_logit, predict or outcome.logit_predict
-    tests = test_rows(rows, years, label)
-    held = durable(rows)
-    parts = []
-    for name, config in configs.items():
-        features, cols = config["features"], config.get("fill_cols", config["features"])
-        for y in years:
-            train = held.filter(F.year("date") < y)
-            if config.get("train_filter") is not None:
-                train = train.filter(config["train_filter"])
-            test = tests.filter(F.col("fold") == y)
-            if config.get("fill"):
-                train, test = fill(train, cols, config["fill"]), fill(test, cols, config["fill"], train)
-            train = require(train, features)
-            if train.limit(min_train).count() < min_train:
-                continue
+    held = rows.withColumn("_year", F.year("date"))
+    grid = fit_grid(held, grid_of(configs, years), at="_year", least=min_train, **options)
+    predicted = grid_predict(test_rows(rows, years, label), grid).select("config", "fold", "match_id", "outcome", *TRIPLE)
+    sizes = [(f.config, f.fold, n, f"fewer than {min_train} training rows" if m is None else None) for f, m, n in zip(grid.fits, grid.models, grid.sizes)]
+    return predicted, small_table(rows.sparkSession, sizes, "config string, fold int, n_train long, reason string")
+
+
+def ablation_of(
+    rows: DataFrame, configs: dict[str, dict], years: list[int], fit: Callable, predict: Callable, label: str | None = TOP_EVENT, min_train: int = 200,
+) -> DataFrame:
+    """Predictions as ``ablation`` gives them, of any model: ``fit(train, features)`` and ``predict(rows, model)``, fold by fold."""
+    tests, held, parts = test_rows(rows, years, label), durable(rows), []
+    for f in grid_of(configs, years):
+        features, cols = list(f.features), list(f.fill_cols)
+        train = held.filter(F.year("date") < f.fold)
+        train = train if f.only is None else train.filter(f.only)
+        test = tests.filter(F.col("fold") == f.fold)
+        if f.fill:
+            train, test = fill(train, cols, f.fill), fill(test, cols, f.fill, train)
+        train = require(train, features)
+        if train.limit(min_train).count() >= min_train:
             scored = predict(require(test, features), fit(train, features))
-            parts.append(scored.select(F.lit(name).alias("config"), "fold", "match_id", "outcome", *TRIPLE))
+            parts.append(scored.select(F.lit(f.config).alias("config"), "fold", "match_id", "outcome", *TRIPLE))
     return reduce(DataFrame.unionByName, parts)

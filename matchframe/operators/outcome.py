@@ -1,63 +1,26 @@
-"""Outcome models over feature columns (Spark ML), their predictions as columns, and ensembles of them."""
+"""Outcome models over feature columns (logits, and Spark ML's learners), their predictions as columns, and ensembles of them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.functions import scores
+from matchframe.operators.logits import TRIPLE, Fit, Logit, feature_logit, fit_grid, grid_predict, logit_predict
 from matchframe.session import durable, small_table
 
-TRIPLE = ("p_away", "p_draw", "p_home")
-
-
-@dataclass
-class Logit:
-    """Multinomial logit: one intercept and one weight per feature for classes 0, 1, 2."""
-
-    features: list[str]
-    intercepts: list[float]
-    weights: list[list[float]]
-
 
 def _assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label"))
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", "label")
 
 
-def feature_logit(df: DataFrame, features: list[str], label: str = "outcome", c: float = 1.0, max_iter: int = 200) -> Logit:
-    """Multinomial logit with an L2 penalty of 1/C on the summed loss, i.e. 1/(C n) on the mean; no scaling."""
-    rows = _assembled(df, features, label)
-    n = rows.count()
-    fitted = LogisticRegression(
-        family="multinomial", regParam=1 / (c * n), standardization=False, maxIter=max_iter, tol=1e-9
-    ).fit(rows)
-    return Logit(features, fitted.interceptVector.toArray().tolist(), fitted.coefficientMatrix.toArray().tolist())
-
-
-def logit_predict(df: DataFrame, model: Logit, names: tuple[str, str, str] = TRIPLE) -> DataFrame:
-    """Probabilities of the three classes as plain column arithmetic."""
-    def linear(i: int) -> Column:
-        out = F.lit(model.intercepts[i])
-        for c, w in zip(model.features, model.weights[i]):
-            out = out + F.col(c) * w
-        return out
-
-    scored = df.withColumns({f"_z{i}": linear(i) for i in range(3)})
-    top = F.greatest("_z0", "_z1", "_z2")
-    raised = scored.withColumns({f"_e{i}": F.exp(F.col(f"_z{i}") - top) for i in range(3)})
-    total = F.col("_e0") + F.col("_e1") + F.col("_e2")
-    return raised.withColumns({n: F.col(f"_e{i}") / total for i, n in enumerate(names)}).drop(
-        *[f"_{s}{i}" for s in "ze" for i in range(3)]
-    )
-
-
 def logit_table(spark: SparkSession, model: Logit) -> DataFrame:
     """Coefficients per class."""
     rows = [
@@ -68,18 +31,19 @@ def logit_table(spark: SparkSession, model: Logit) -> DataFrame:
     return small_table(spark, rows, "class int, term string, value double")
 
 
+def draw_model_rows(rated: DataFrame, home: str = "home_elo_pre", away: str = "away_elo_pre", neutral: str = "neutral", advantage: float = 100.0) -> DataFrame:
+    """``rated`` with ``diff``, the effective rating difference over 400; a missing neutral flag counts as not neutral."""
+    return rated.withColumn("diff", scores.effective_diff(F.col(home), F.col(away), F.col(neutral), advantage) / 400)
+
+
 def draw_model_fit(rated: DataFrame, advantage: float = 100.0, **options) -> Logit:
-    """Outcome logit on the effective rating difference; a missing neutral flag counts as not neutral."""
-    diff = scores.effective_diff(F.col("home_elo_pre"), F.col("away_elo_pre"), F.col("neutral"), advantage) / 400
-    rows = rated.select(
-        diff.alias("diff"), scores.outcome(F.col("home_score"), F.col("away_score")).alias("outcome")
-    ).na.drop()
-    return feature_logit(rows, ["diff"], **options)
+    """Outcome logit on the effective rating difference."""
+    truth = scores.outcome(F.col("home_score"), F.col("away_score"))
+    return feature_logit(draw_model_rows(rated, advantage=advantage).withColumn("outcome", truth), ["diff"], **options)
 
 
 def draw_model_predict(df: DataFrame, model: Logit, home: str, away: str, neutral: str = "neutral", advantage: float = 100.0):
-    diff = scores.effective_diff(F.col(home), F.col(away), F.col(neutral), advantage) / 400
-    return logit_predict(df.withColumn("diff", diff), model).drop("diff")
+    return logit_predict(draw_model_rows(df, home, away, neutral, advantage), model).drop("diff")
 
 
 @dataclass
@@ -224,16 +188,13 @@ def weight_grid_search(tune: DataFrame, test: DataFrame, models: list, steps: in
 
 
 def stack(wide: DataFrame, models: list, folds: list, fold: str = "fold", truth: str = "outcome", **options) -> DataFrame:
-    """Meta logit on the base triples: each fold's meta model sees earlier folds only. ``folds`` excludes the first."""
-    features = [f"{c}_{m}" for m in models for c in TRIPLE]
-    held, parts = durable(wide), []
-    for f in folds:
-        meta = feature_logit(held.filter(F.col(fold) < f), features, truth, **options)
-        parts.append(logit_predict(held.filter(F.col(fold) == f), meta))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Meta logit on the base triples: each fold's meta model sees earlier folds only. ``folds`` excludes the first.
+
+    The meta models of all folds are fitted together.
+    """
+    features = tuple(f"{c}_{m}" for m in models for c in TRIPLE)
+    grid = fit_grid(wide, [Fit("stack", features, f) for f in folds], truth, at=fold, **options)
+    return grid_predict(wide, grid, fold=fold).drop("config")
 
 
 def probability_curve(spark: SparkSession, model: Logit, low: float = -400.0, high: float = 400.0, points: int = 200) -> DataFrame:

@@ -1,10 +1,15 @@
 """Sequential ratings.
 
-A rating depends on every earlier match of both teams, so one key (league, fold, parameter set) is one chain and
-keys are the parallelism. What does not depend on ratings (weights, strengths, flags) is computed by Spark
-beforehand. Matches are shuffled by key and sorted by Spark (which spills); Python then reads them batch by batch
-and holds nothing but the ratings of the current key, so the length of a chain does not matter for memory.
-``fold_in_periods`` cuts long chains at period ends and stores the state in between.
+A rating depends on every earlier match of both teams. Teams of a key (league, fold, parameter set) that are connected by
+no chain of matches do not depend on each other, so each connected component of a key's teams is a chain of its own, and
+chains are the parallelism. ``fold_in_periods`` cuts the log at period ends, finds the components of each period and
+stores the state in between: the shorter the periods, the smaller the components, and the more tasks a period has. What
+the chains of a key share is its years, as all known ratings are pulled to the mean at the key's first match of a later
+year; every chain gets the list of years its key plays in.
+
+What does not depend on ratings (weights, strengths, flags) is computed by Spark beforehand. Matches are shuffled by chain
+and sorted by Spark (which spills); Python then reads them batch by batch and holds nothing but the ratings of the current
+chain, so its length does not matter for memory.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import math
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.functions import scores
+from matchframe.operators.chains import components
 from matchframe.operators.clean import rating_inputs
 from matchframe.session import durable
 
@@ -100,40 +107,48 @@ class _AttackDefense:
 
 
 def _folder(make: Callable, params, emit_states: bool, emit_matches: bool, names: list[str]):
-    """Streaming fold over rows sorted by (key, start state first, time)."""
+    """Streaming fold over rows sorted by (key, component, kind, time): years of the key, held ratings, matches."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rule = make(params)
         blank = (None,) * len(rule.columns)
-        key, year, ratings = None, None, {}
+        chain, key, year, years, ratings = None, None, None, [], {}
         ratings_of = [f"r{i}" for i in range(rule.width)]
+        keep = 1 - params.regression
 
         def states(after: int | None) -> list[tuple]:
             return [(key, "state", None, year, after, team, *blank, *r) for team, r in ratings.items()]
 
+        def turn_to(y: int | None) -> list[tuple]:
+            """Go through the key's years up to ``y`` (all of them if none is given); the states at their ends."""
+            nonlocal year, ratings
+            out = []
+            for later in years:
+                if (year is None or later > year) and (y is None or later <= y):
+                    if year is not None:
+                        out.extend(states(later) if emit_states else [])
+                        ratings = {t: tuple(params.initial + keep * (x - params.initial) for x in r) for t, r in ratings.items()}
+                    year = later
+            return out
+
         names_out = ["key", "kind", "match_id", "year", "next_year", "team", *rule.columns, *ratings_of]
         for batch in batches:
             out, ended, last = [], [], []
             columns = [batch[c].tolist() for c in names]
-            for k_, kind, match, y, home, away, hs, as_, ground, k, *held in zip(*columns):
-                if k_ != key:
-                    if emit_states and ratings:
-                        last.extend(states(None))
-                    key, year, ratings = k_, None, {}
+            for k_, part, kind, match, y, home, away, hs, as_, ground, k, *held in zip(*columns):
+                if (k_, part) != chain:
+                    if chain is not None:
+                        ended.extend(turn_to(None))
+                        last.extend(states(None) if emit_states else [])
+                    chain, key, year, years, ratings = (k_, part), k_, None, [], {}
+                if kind < 0:  # a year in which the key plays
+                    years = sorted({*years, y})
+                    continue
                 if kind == 0:  # rating held from before
                     ratings[home] = tuple(held)
                     year = y
                     continue
-                if year is None:
-                    year = y
-                elif y > year:
-                    if emit_states:
-                        ended.extend(states(y))
-                    keep = 1 - params.regression
-                    ratings = {
-                        t: tuple(params.initial + keep * (x - params.initial) for x in r) for t, r in ratings.items()
-                    }
-                    year = y
+                ended.extend(turn_to(y))
                 row = rule.play(ratings, home, away, hs, as_, ground, k)
                 if emit_matches:
                     out.append((k_, "match", match, y, None, None, *row, *((None,) * rule.width)))
@@ -141,8 +156,11 @@ def _folder(make: Callable, params, emit_states: bool, emit_matches: bool, names
             for rows in (out, ended, last):
                 if rows:
                     yield pd.DataFrame(rows, columns=names_out)
-        if emit_states and ratings:
-            yield pd.DataFrame(states(None), columns=names_out)
+        if chain is not None:
+            ended = turn_to(None)
+            for rows in (ended, states(None) if emit_states else []):
+                if rows:
+                    yield pd.DataFrame(rows, columns=names_out)
 
     return fold
 
@@ -151,32 +169,46 @@ def _run(
     matches: DataFrame, make: Callable, params, key: str, state: DataFrame | None, emit: str, k: "F.Column",
     neutral_default: bool,
 ) -> DataFrame:
-    """Union of match rows and state rows of a fold (``kind``), slim columns only."""
+    """Union of match rows and state rows of a fold (``kind``), slim columns only; one chain a (key, component).
+
+    A held team that does not play is a chain of its own.
+    """
     rule = make(params)
     team_type = matches.schema["home_team"].dataType.simpleString()
     key_type = matches.schema[key].dataType.simpleString()
     ratings_of = [f"r{i}" for i in range(rule.width)]
     ground = ~F.coalesce(F.col("neutral"), F.lit(neutral_default))
-    rows = matches.select(
-        F.col(key).alias("key"), F.lit(1).alias("kind"), F.col("match_id"), F.year("date").alias("year"),
+    parts = components(matches, key, "home_team", "away_team").withColumnsRenamed({"key": "_key", "team": "_team"})
+    team = F.coalesce("home_team", "away_team")
+    joined = matches.join(parts, (F.col(key) == F.col("_key")) & (team == F.col("_team")), "left")
+    rows = joined.select(
+        F.col(key).alias("key"), F.coalesce("component", team).alias("component"), F.lit(1).alias("kind"), F.col("match_id"), F.year("date").alias("year"),
         F.col("home_team").alias("home"), F.col("away_team").alias("away"),
         F.col("home_score").alias("hs"), F.col("away_score").alias("as"), ground.alias("ground"), k.alias("k"),
         *[F.lit(None).cast("double").alias(r) for r in ratings_of], F.col("date").alias("at"),
     )
+    none = F.lit(0)
+    idle = [none.alias("hs"), none.alias("as"), F.lit(False).alias("ground"), F.lit(0.0).alias("k")]
+    blank = F.lit(-1).cast("long").alias("match_id")
+    chains = parts.select(F.col("_key").alias("key"), "component")
     if state is not None:
-        none = F.lit(0)
-        held = state.select(
-            "key", none.alias("kind"), F.lit(-1).cast("long").alias("match_id"), "year", F.col("team").alias("home"),
-            F.col("team").alias("away"), none.alias("hs"), none.alias("as"), F.lit(False).alias("ground"),
-            F.lit(0.0).alias("k"), *ratings_of,
+        held = state.join(parts, (F.col("key") == F.col("_key")) & (F.col("team") == F.col("_team")), "left")
+        held = held.withColumn("component", F.coalesce("component", "team"))
+        chains = chains.unionByName(held.select("key", "component"))
+        rows = rows.unionByName(
+            held.select("key", "component", none.alias("kind"), blank, "year", F.col("team").alias("home"), F.col("team").alias("away"), *idle, *ratings_of),
+            allowMissingColumns=True,
         )
-        rows = rows.unionByName(held, allowMissingColumns=True)
-    names = ["key", "kind", "match_id", "year", "home", "away", "hs", "as", "ground", "k", *ratings_of]
+    years = matches.select(F.col(key).alias("key"), F.year("date").alias("year")).distinct()
+    rows = rows.unionByName(
+        chains.distinct().join(years, "key").select("key", "component", F.lit(-1).alias("kind"), blank, "year", *idle), allowMissingColumns=True
+    )
+    names = ["key", "component", "kind", "match_id", "year", "home", "away", "hs", "as", "ground", "k", *ratings_of]
     schema = (
         f"key {key_type}, kind string, match_id long, year int, next_year int, team {team_type}, "
         + ", ".join(f"{c} double" for c in (*rule.columns, *ratings_of))
     )
-    ordered = rows.repartition(F.col("key")).sortWithinPartitions("key", "kind", "at", "match_id").select(*names)
+    ordered = rows.repartition(F.col("key"), F.col("component")).sortWithinPartitions("key", "component", "kind", "at", "match_id").select(*names)
     fold = _folder(make, params, emit in ("states", "both"), emit in ("matches", "both"), names)
     return ordered.mapInPandas(fold, schema)
 
@@ -243,11 +275,11 @@ def last_state(states: DataFrame) -> DataFrame:
     return states.filter(F.col("next_year").isNull()).drop("next_year")
 
 
-def fold_in_periods(matches: DataFrame, years: list[int], key: str = "league", kind: str = "single", **options) -> tuple[DataFrame, DataFrame]:
+def fold_in_periods(matches: DataFrame, starts: list[int | date], key: str = "league", kind: str = "single", **options) -> tuple[DataFrame, DataFrame]:
     """The same fold as one job per period, with the state stored in between: (match rows, final state).
 
-    ``years`` are the first years of the periods. A lost executor costs a period, not the chain, and no task reads
-    more than one period of a key.
+    ``starts`` are the first years, or the first days, of the periods. A lost executor costs a period, not the chain, and
+    a task reads one component of one period of a key: with periods in which a team plays once, one match.
     """
     make, default, k = {
         "single": (_Single, RatingParams(), _single_k), "attack_defense": (_AttackDefense, GoalRatingParams(), _goal_k)
@@ -256,11 +288,11 @@ def fold_in_periods(matches: DataFrame, years: list[int], key: str = "league", k
     members = options.pop("members", None)
     state, parts = options.pop("state", None), []
     ready = rating_inputs(matches, members)
-    edges = [None, *sorted(years), None]
+    edges = [None, *sorted(date(s, 1, 1) if isinstance(s, int) else s for s in starts), None]
     for first, after in zip(edges, edges[1:]):
         part = ready
-        part = part if first is None else part.filter(F.year("date") >= first)
-        part = part if after is None else part.filter(F.year("date") < after)
+        part = part if first is None else part.filter(F.col("date") >= F.lit(first))
+        part = part if after is None else part.filter(F.col("date") < F.lit(after))
         folded = durable(_run(part, make, params, key, state, "both", k(params), options.get("neutral_default", False)))
         parts.append(_match_rows(folded, make))
         state = last_state(_state_rows(folded, make))  # keys without a match in this period pass on what they held

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchframe.functions.constants import TOP_EVENT
 from matchframe.operators import evaluate, profile, ratings, standings
-from matchframe.plans.goalmodels import FEATURES, GRID_SQL, LL_SQL, labelled, matchup_table
+from matchframe.plans.goalmodels import GRID_SQL, LL_SQL, labelled, matchup_table
 from matchframe.plans.matchlog import members
 from matchframe.plans.rated import STATES_SQL
 from matchframe.plans.registry import query
@@ -35,7 +35,7 @@ def _(v):
 def _(v):
     matches = v("matches")
     rated = ratings.elo_fold(matches, members=members(v))
-    return evaluate.walk_forward_draw(matches, rated, [1999, 2001], members=members(v), neutral_default=True)
+    return evaluate.walk_forward_draw(matches, rated, YEARS, members=members(v), neutral_default=True)
 
 
 @query("walk_forward_goals", "I1", "match_id:l fold:l rate:d5 p_away:d3 p_draw:d3 p_home:d3 outcome:l")
@@ -193,16 +193,41 @@ def _(v):
     return evaluate.score_pooled(v("predictions"), "model", "yr")
 
 
+# Feature sets, fillings and training filters, each over every year: what is missing in part of the log is filled or left out.
+_BASE = ["elo_diff_norm", "log_value_diff", "outfield_age_diff", "top1_share_diff", "points_diff"]
+_EXTRA = ["extra_injured", "extra_top1", "extra_top3", "extra_neutral"]
+_ALL = {"features": [*_BASE, *_EXTRA], "fill": "zero", "fill_cols": _EXTRA}
+CONFIGS = {
+    "baseline": {"features": _BASE},
+    "all, zero": _ALL,
+    "all, mean": _ALL | {"fill": "mean"},
+    "all, from 1997": _ALL | {"train_filter": "year(date) >= 1997"},
+    "all, where known": _ALL | {"train_filter": "extra_neutral is not null"},
+} | {f"with {c}": {"features": [*_BASE, c], "fill": "zero", "fill_cols": [c]} for c in _EXTRA}
+
+
+def _ablated(v):
+    """Features of all matches; two matches in three have the extra ones."""
+    known = F.col("match_id") % 3 > 0
+    values = [F.col("injury_share_diff"), F.col("injured_top1_diff"), F.col("injured_top3_diff"), F.coalesce("neutral", F.lit(False)).cast("double")]
+    return labelled(v).withColumns({c: F.when(known, x) for c, x in zip(_EXTRA, values)})
+
+
 @query("ablation", "I10", "config:s fold:l n:l log_loss:d2 accuracy:d2 brier:d2")
 def _(v):
-    rows = labelled(v).withColumn("extra", F.when(F.col("match_id") % 3 > 0, F.col("injury_share_diff")))
-    configs = {
-        "baseline": {"features": FEATURES[:2]},
-        "extra, zero": {"features": [*FEATURES[:2], "extra"], "fill": "zero", "fill_cols": ["extra"]},
-        "extra, mean": {"features": [*FEATURES[:2], "extra"], "fill": "mean", "fill_cols": ["extra"]},
-        "extra, from 1997": {"features": [*FEATURES[:2], "extra"], "fill": "zero", "fill_cols": ["extra"], "train_filter": F.year("date") >= 1997},
-    }
-    return evaluate.score_pooled(evaluate.ablation(rows, configs, [1999, 2001]), "config", "fold")
+    return evaluate.score_pooled(evaluate.ablation(_ablated(v), CONFIGS, YEARS)[0], "config", "fold")
+
+
+@query(
+    "ablation_folds", "I10", "config:s fold:l n_train:l reason:s",
+    f"""with m as (select cast(extract(year from date) as int) as yr, match_id from matches where home_team <> 3),
+         c as (select unnest({list(CONFIGS)}) as config), f as (select unnest([1992, {', '.join(map(str, YEARS))}]) as fold),
+         s as (select config, fold, count(*) filter (where yr < fold and case config when 'all, from 1997' then yr >= 1997 when 'all, where known' then match_id % 3 > 0 else true end) as n_train
+           from m cross join c cross join f group by 1, 2)
+       select *, case when n_train < 200 then 'fewer than 200 training rows' end as reason from s""",
+)
+def _(v):
+    return evaluate.ablation(_ablated(v), CONFIGS, [1992, *YEARS])[1]
 
 
 # --- tournament tables ----------------------------------------------------------------------------------------

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchframe.functions import scores
-from matchframe.operators import clean, goals, matchups, outcome
+from matchframe.operators import clean, goals, logits, matchups, outcome
 from matchframe.operators.asof import latest_snapshot_per_entity
 from matchframe.plans.matchlog import featured, rated
-from matchframe.plans.registry import query
+from matchframe.plans.registry import QUERIES, query
 from matchframe.session import small_table
 
 # Fixed strengths, so that likelihoods and predictions can be compared.
@@ -185,6 +185,7 @@ def _(v):
 
 
 FEATURES = ["elo_diff_norm", "outfield_age_diff", "top1_share_diff", "points_diff"]
+ALL_FEATURES = [*FEATURES, "log_value_diff", "injury_share_diff", "injured_top1_diff", "injured_top3_diff"]
 
 
 def labelled(v):
@@ -195,7 +196,51 @@ def labelled(v):
 
 @query("feature_logit", "H10", "class:l term:s value:d3")
 def _(v):
-    return outcome.logit_table(v.spark, outcome.feature_logit(labelled(v), FEATURES))
+    return outcome.logit_table(v.spark, outcome.feature_logit(labelled(v), ALL_FEATURES))
+
+
+# Fixed coefficients of two feature sets and two folds, for the likelihood that the fits climb.
+_FOLDS = [1998, 2001]
+_SETS = {"two": (FEATURES[:2], None), "all": (ALL_FEATURES, None), "all, mean": (ALL_FEATURES, "mean")}
+_FILLED = ["log_value_diff"]
+
+
+def _coefficients(features: list[str]) -> list[list[float]]:
+    return [[0.1 * (i - 1), *[0.05 * (i - 1) * (j % 3 - 0.5) for j in range(len(features))]] for i in range(3)]
+
+
+def _likelihood_sql() -> str:
+    ctes, selects = [], []
+    for k, (name, (features, how)) in enumerate(_SETS.items()):
+        w, x = _coefficients(features), ["1.0e0", *features]
+        held = [f"coalesce({c}, avg({c}) over (partition by fold)) as {c}" if how and c in _FILLED else c for c in features]
+        z = [" + ".join(f"({c}) * ({v!r})" for c, v in zip(x, w[i])) + f" as z{i}" for i in range(3)]
+        whole = " and ".join(f"{c} is not null" for c in features)
+        penalty = sum(v * v for row in w for v in row[1:]) / 2
+        sums = [f"sum(((outcome = {i})::int - exp(z{i} - lse)) * ({c})) as g{i}_{j}" for i in range(3) for j, c in enumerate(x)]
+        ctes.append(f"""s{k} as (select fold, count(*) as n, sum(case outcome when 0 then z0 when 1 then z1 else z2 end - lse) - ({penalty!r}) as ll, {", ".join(sums)}
+          from (select *, ln(exp(z0) + exp(z1) + exp(z2)) as lse from (select *, {", ".join(z)} from (
+            select fold, outcome, {", ".join(held)} from l join folds on yr < fold) where {whole})) group by fold)""")
+        for i in range(3):
+            for j, term in enumerate(["intercept", *features]):
+                pull = f" - ({w[i][j]!r})" if j else ""
+                selects.append(f"select '{name}' as config, fold, n, ll as log_likelihood, {i} as class, '{term}' as term, g{i}_{j}{pull} as gradient from s{k}")
+    truth = "case when home_score > away_score then 2 when home_score = away_score then 1 else 0 end"
+    return f"""with folds as (select unnest({_FOLDS}) as fold),
+      l as (select d.*, cast(extract(year from date) as int) as yr, {truth} as outcome from ({QUERIES["diff_features"].sql}) d join matches using (match_id)),
+      {", ".join(ctes)} {" union all ".join(selects)}"""
+
+
+@query("logit_likelihood", "H10", "config:s fold:l n:l log_likelihood:d5 class:l term:s gradient:d5", _likelihood_sql())
+def _(v):
+    fits, models = [], []
+    for name, (features, how) in _SETS.items():
+        w = _coefficients(features)
+        for y in _FOLDS:
+            fits.append(logits.Fit(name, tuple(features), y, fill=how, fill_cols=tuple(_FILLED if how else ())))
+            models.append(logits.Logit(features, [r[0] for r in w], [r[1:] for r in w]))
+    rows = labelled(v).withColumn("yr", F.year("date"))
+    return logits.likelihood(rows, logits.Grid(fits, models), at="yr")
 
 
 @query("boosted_trees", "H11", "match_id:l p_away:d3 p_draw:d3 p_home:d3")
@@ -274,7 +319,8 @@ def _(v):
 
 @query("stacked", "H17", "match_id:l p_away:d3 p_draw:d3 p_home:d3")
 def _(v):
-    return outcome.stack(_wide(v), [1, 2, 3], [1999, 2000, 2001], fold="yr", max_iter=30)
+    years = [r[0] for r in v("predictions").select("yr").distinct().orderBy("yr").collect()]
+    return outcome.stack(_wide(v), [1, 2, 3], years[1:], fold="yr")
 
 
 # Pairings of all teams, scored from their latest ratings.

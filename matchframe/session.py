@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: computed once, and nothing of its plan is kept."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes the plan's sources hold after pruning, as Catalyst estimates them (no job)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

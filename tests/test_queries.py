@@ -8,7 +8,7 @@ from matchframe.plans import all_queries
 from matchframe.plans.views import TABLES
 
 QUERIES = all_queries()
-SLOW_FITS = {"boosted_trees", "perceptron", "feature_importances", "stacked", "ablation", "sweep_decay_rates"}
+SLOW_FITS = {"boosted_trees", "perceptron", "feature_importances", "sweep_decay_rates"}
 
 
 @pytest.fixture(scope="module")
