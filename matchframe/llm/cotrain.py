@@ -2,8 +2,14 @@
 
 The text view is a logistic regression over hashed words of the content; the page view one over the page's metadata
 (language, source, length) and layout (lines, capitals, digits, signs, repeated words). Both are fitted on a bounded
-sample of labelled documents. Each then labels a bounded sample of other documents, gives the other view those it is
-surest of, and both are fitted again, for a few rounds. On labelled documents set aside, each view's logit is calibrated.
+sample of labelled documents. The text view uses the features whose frequency differs between the classes of that sample,
+which Spark counts before anything is gathered. In each of a few rounds both views then score all documents without a
+label. Those that one view is sure of, and the other does not deny, are pseudo-labelled for the other view: the gradient
+and the curvature of their loss at the other view's present weights are summed feature by feature in Spark, both classes
+weighing alike, and the other view is fitted again on its labelled documents and this expansion. So the exchange covers
+every document, and the driver holds the labelled sample and a few numbers per feature.
+
+On labelled documents set aside, each view's logit is calibrated.
 The score is the product of the two probabilities, calibrated together, as one bad view is enough to make a document bad: bad words
 show in the text view alone, junk mostly in the page view. All documents are scored in one pass.
 
@@ -12,7 +18,7 @@ A document counts as good if its label says quality 1 and toxic 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from matchframe.llm.store import stored
 from matchframe.llm.text import bytes_of, mix, pieces, words
 
-#: Most labelled and other documents that are fitted on (smallest hashes of doc_id), and hashed features of a view.
-LABELLED, OTHERS, BUCKETS = 12000, 4000, 1 << 17
-#: Rounds of exchange, share of the others that each view hands over a round, and the least sureness for it.
-ROUNDS, HANDED, SURE = 3, 0.1, 0.95
+#: Most labelled documents that are fitted on (smallest hashes of doc_id), and hashed features of the text view.
+LABELLED, BUCKETS = 12000, 1 << 17
+#: Rounds of exchange, the least sureness to hand a document over, the least chance the other view must give the label,
+#: and the weight of all pseudo-labelled documents against the labelled ones.
+ROUNDS, SURE, ALLOWED, SHARE = 3, 0.95, 0.1, 0.5
 #: Standard errors by which a hashed feature's frequency must differ between the classes to have a weight.
 SIGNIFICANT = 4.0
 #: Share of the labelled sample that is set aside for calibration.
@@ -70,6 +78,15 @@ class Linear:
         return self.slope * self.logit(x) + self.shift
 
 
+@dataclass
+class Pull:
+    """Expansion of the pseudo-labelled documents' loss about the weights ``at`` (features, dense columns, bias)."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
 @dataclass
 class Model:
     text: Linear
@@ -141,8 +158,8 @@ def hash_of(s: str) -> int:
     return out
 
 
-def fit(x: Rows, y: np.ndarray, buckets: int, against: bool = False, steps: int = 120, penalty: float = 1e-4) -> Linear:
-    """Logistic regression with both classes weighted alike, by Adam over all rows.
+def fit(x: Rows, y: np.ndarray, buckets: int, against: bool = False, steps: int = 120, penalty: float = 1e-4, pull: Pull | None = None) -> Linear:
+    """Logistic regression with both classes weighted alike, by Adam over all rows; ``pull`` adds the loss of others.
 
     Only features whose frequency differs between the classes by more than chance count; with ``against`` only those that
     are more frequent in class 0, so that plain words cannot outweigh bad ones.
@@ -155,6 +172,7 @@ def fit(x: Rows, y: np.ndarray, buckets: int, against: bool = False, steps: int
     rate = (of[0] + of[1] + 1) / (n + 2)
     z = (of[1] / total[1] - of[0] / total[0]) / np.sqrt(rate * (1 - rate) * (1 / total[0] + 1 / total[1]))
     own = (-z if against else np.abs(z)) >= SIGNIFICANT
+    free = np.concatenate([own, np.ones(dense + 1, bool)])
     kept = own[x.feature]
     x = Rows(x.row[kept], x.feature[kept], x.value[kept], x.dense)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
@@ -165,6 +183,8 @@ def fit(x: Rows, y: np.ndarray, buckets: int, against: bool = False, steps: int
         g = (_sigmoid(z) - y) * weight
         grad = np.concatenate([np.bincount(x.feature, g[x.row] * x.value, minlength=buckets), x.dense.T @ g, [g.sum()]])
         grad[:-1] += penalty * model[:-1]
+        if pull is not None:
+            grad[free] += SHARE * (pull.gradient + pull.curvature * (model - pull.at))[free]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         model -= 0.3 / np.sqrt(t / 10 + 1) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -211,26 +231,54 @@ def _calibrated_together(logits: list[np.ndarray], y: np.ndarray, steps: int = 5
     return [(float(w[2 * i] / scale[i]), float(w[2 * i + 1])) for i in (0, 1)]
 
 
-def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``label``: 1, 0, or -1 for documents without one; ``aside`` marks labelled rows that only calibrate."""
-    known = np.flatnonzero((label >= 0) & ~aside)
-    open_ = np.flatnonzero(label < 0)
-    given = [label.astype(float).copy(), label.astype(float).copy()]
-    own = [known, known]
-    views, sizes = (text, page), (BUCKETS, PAGE_BUCKETS)
-    models: list[Linear] = []
-    for k in range(rounds + 1):
-        models = [fit(v.take(rows), y[rows], size, against=v is text) for v, rows, y, size in zip(views, own, given, sizes, strict=True)]
-        if k == rounds or not len(open_) or not len(known):
-            break
-        chance = [_sigmoid(m.logit(v.take(open_))) for m, v in zip(models, views, strict=True)]
-        for i, other in ((0, 1), (1, 0)):
-            p, theirs = chance[i], chance[other]
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: int(HANDED * len(open_)) * (k + 1)]
-            sure = sure[np.maximum(p[sure], 1 - p[sure]) >= SURE]
-            sure = sure[(p[sure] > 0.5) == (theirs[sure] > 0.1)]  # not where the other view is sure of the opposite
-            given[other][open_[sure]] = (p[sure] > 0.5).astype(float)
-            own[other] = np.concatenate([known, open_[sure]])
+def weights_of(m: Linear) -> np.ndarray:
+    return np.concatenate([m.weights, m.dense, [m.bias]])
+
+
+def handed_over(models: list[Linear], views: tuple[Rows, Rows]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view the documents that the other one labels for it, and these labels."""
+    chance = [_sigmoid(m.logit(v)) for m, v in zip(models, views, strict=True)]
+    out = []
+    for own, other in ((0, 1), (1, 0)):
+        good = chance[other] > 0.5
+        sure = np.maximum(chance[other], 1 - chance[other]) >= SURE
+        fits = np.where(good, chance[own], 1 - chance[own]) > ALLOWED  # not where this view is sure of the opposite
+        rows = np.flatnonzero(sure & fits)
+        out.append((rows, good[rows].astype(float)))
+    return out
+
+
+def loss_sums(model: Linear, x: Rows, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, places, gradient, curvature) of the loss of the rows of each class; the last place counts them.
+
+    Curvature is the greatest a logistic loss can have, a quarter of the squared value.
+    """
+    buckets = len(model.weights)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        if not len(own):
+            continue
+        part = x.take(own)
+        g = _sigmoid(part.dense @ model.dense + np.bincount(part.row, model.weights[part.feature] * part.value, minlength=len(own)) + model.bias) - c
+        used, place = np.unique(part.feature, return_inverse=True)
+        first = [np.bincount(place, g[part.row] * part.value, minlength=len(used)), part.dense.T @ g, [g.sum()], [len(own)]]
+        second = [np.bincount(place, part.value**2, minlength=len(used)) / 4, (part.dense**2).sum(axis=0) / 4, [len(own) / 4], [len(own)]]
+        yield c, np.concatenate([used, buckets + np.arange(part.dense.shape[1] + 2)]), np.concatenate(first), np.concatenate(second)
+
+
+def pull_of(model: Linear, sums: list[tuple[int, int, float, float]]) -> Pull | None:
+    """From (class, place, gradient, curvature) summed over all documents; each class has half the weight."""
+    at = weights_of(model)
+    total = np.zeros((2, 2, len(at) + 1))
+    for c, place, g, d in sums:
+        total[c, :, place] = g, d
+    if not total[:, 0, -1].any():
+        return None
+    total = sum(t[:, :-1] * (0.5 / t[0, -1]) for t in total if t[0, -1])
+    return Pull(at, total[0], total[1])
+
+
+def _calibrate(models: list[Linear], views: tuple[Rows, Rows], label: np.ndarray, aside: np.ndarray) -> Model:
     check = np.flatnonzero(aside & (label >= 0))
     y = label[check].astype(float)
     logits = [m.logit(v.take(check)) for m, v in zip(models, views, strict=True)]
@@ -239,47 +287,132 @@ def co_train(text: Rows, page: Rows, label: np.ndarray, aside: np.ndarray, round
     return Model(*models)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, rounds: int = ROUNDS) -> Model:
-    """The model fitted on at most ``labelled`` documents with a label and ``others`` without one.
+def co_train(views: tuple[Rows, Rows], label: np.ndarray, aside: np.ndarray, exchange: Callable[[list[Linear]], list[Pull | None]], rounds: int = ROUNDS) -> Model:
+    """Both views fitted in rounds; ``aside`` marks labelled rows that only calibrate. ``exchange`` gives each view what
+    the other one hands over at the present models."""
+    known = np.flatnonzero((label >= 0) & ~aside)
+    y = label[known].astype(float)
+    sizes, against = (BUCKETS, PAGE_BUCKETS), (True, False)
+    pulls: list[Pull | None] = [None, None]
+    for k in range(rounds + 1):
+        models = [fit(v.take(known), y, size, against=a, pull=p) for v, size, a, p in zip(views, sizes, against, pulls, strict=True)]
+        if k == rounds or not len(known) or y.min() == y.max():
+            break
+        pulls = exchange(models)
+        if pulls == [None, None]:
+            break
+    return _calibrate(models, views, label, aside)
+
+
+_COMPACT = "doc_id long, label int, n int, feature binary, value binary, page binary, dense binary"
+
+
+def _is_aside(doc_id: int) -> bool:
+    return hash_of(f"aside:{doc_id}") % 1000 < ASIDE * 1000
+
+
+def telling(marked: DataFrame) -> np.ndarray:
+    """Text features that are more frequent in class 0 than chance allows, counted over the labelled documents not set aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for b in pieces(batches):
+            y = np.array([-1 if _is_aside(i) else y for i, y in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)], np.int64)
+            x = text_rows(b.column(1))
+            for c in (0, 1):
+                count[c] += np.bincount(x.feature[y[x.row] == c], minlength=BUCKETS)
+                total[c] += int((y == c).sum())
+        used = np.flatnonzero(count.any(axis=0))
+        cols = [np.append(used, -1), *(np.append(count[c][used], total[c]) for c in (0, 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["feature", "n0", "n1"])
+
+    counts = stored(marked.mapInArrow(run, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    total = counts.where("feature = -1").first()
+    if total is None or not total["n0"] or not total["n1"]:
+        return np.zeros(0, np.int64)
+    n = total["n0"] + total["n1"]
+    rate = (F.col("n0") + F.col("n1") + 1) / F.lit(n + 2)
+    off = (F.col("n0") / F.lit(total["n0"]) - F.col("n1") / F.lit(total["n1"])) / F.sqrt(rate * (1 - rate) * (1 / total["n0"] + 1 / total["n1"]))
+    return np.array(sorted(r[0] for r in counts.where(F.col("feature") >= 0).where(off >= SIGNIFICANT).select("feature").collect()), np.int64)
+
+
+def _opened(rows: list[dict] | pa.RecordBatch) -> tuple[Rows, Rows]:
+    """Both views of compact rows."""
+    columns = rows.to_pydict() if isinstance(rows, pa.RecordBatch) else {k: [r[k] for r in rows] for k in ("n", "feature", "value", "page", "dense")}
+    size = np.array(columns["n"], np.int64)
+    glue = lambda name, dtype: np.frombuffer(b"".join(columns[name]), dtype)
+    text = Rows(np.repeat(np.arange(len(size)), size), glue("feature", np.int32).astype(np.int64), glue("value", np.float32).astype(float), np.zeros((len(size), 0)))
+    page = Rows(np.repeat(np.arange(len(size)), 2), glue("page", np.int32).astype(np.int64), np.ones(2 * len(size)), glue("dense", np.float64).reshape(len(size), _LAYOUT))
+    return text, page
+
+
+def _exchange(compact: DataFrame, models: list[Linear]) -> list[Pull | None]:
+    """What each view gets from the other, from all documents without a label."""
+    sent = compact.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            views = _opened(b)
+            for v, (rows, y) in enumerate(handed_over(sent.value, views)):
+                for c, place, g, d in loss_sums(sent.value[v], views[v].take(rows), y):
+                    cols = [pa.array(np.full(len(place), x), pa.int32()) for x in (v, c)] + [pa.array(place, pa.int32()), pa.array(g, pa.float64()), pa.array(d, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["view", "label", "place", "g", "d"])
+
+    others = compact.where("label = -1").select("n", "feature", "value", "page", "dense")
+    sums = others.mapInArrow(run, "view int, label int, place int, g double, d double").groupBy("view", "label", "place").agg(F.sum("g").alias("g"), F.sum("d").alias("d")).collect()
+    return [pull_of(m, [(r["label"], r["place"], r["g"], r["d"]) for r in sums if r["view"] == v]) for v, m in enumerate(models)]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """The model fitted on at most ``labelled`` documents with a label, and what the views hand over of all the others.
 
     A document with several labels is good if they all say so; labels that are null are no labels. Without labels of both
-    kinds all documents get the same side; without any label, or any document that has one, all are good.
+    kinds all documents get the same side; without any label, or any document that has one, all are good. Of several
+    rows with one labelled id one is fitted on.
     """
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).cast("int")
     by = F.xxhash64("doc_id", F.lit(6))
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("label"))
-    chosen = marks.orderBy(by, "doc_id").limit(labelled)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]]
-    base = docs.select(*columns).where("doc_id is not null")
-    # both samples are of bounded size, so they go to the documents and no text is shuffled
-    picked = base.select("doc_id").join(marks, "doc_id", "left_anti").orderBy(by, "doc_id").limit(others).withColumn("label", F.lit(-1))
-    wanted = F.broadcast(chosen.unionByName(picked).dropDuplicates(["doc_id"]))
-    rows = base.join(wanted, "doc_id").mapInArrow(_features, "doc_id long, label int, n int, feature binary, value binary, page binary, dense binary").collect()
-    found = {}
-    for r in rows:
-        found.setdefault(r["doc_id"], r)
-    found = [found[k] for k in sorted(found)]
-    lens = np.array([r["n"] for r in found], np.int64)
-    glue = lambda name, dtype: np.frombuffer(b"".join(r[name] for r in found), dtype)
-    row = np.repeat(np.arange(len(found)), lens)
-    text = Rows(row, glue("feature", np.int32).astype(np.int64), glue("value", np.float32).astype(float), np.zeros((len(found), 0)))
-    page = Rows(np.repeat(np.arange(len(found)), 2), glue("page", np.int64), np.ones(2 * len(found)), glue("dense", np.float64).reshape(len(found), _LAYOUT))
-    label = np.array([r["label"] for r in found], int)
-    aside = np.array([hash_of(f"aside:{r['doc_id']}") % 1000 < ASIDE * 1000 for r in found], bool) & (label >= 0)
-    return co_train(text, page, label, aside, rounds)
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        n = b.num_rows
-        text = text_rows(b.column(1))
-        page = page_rows(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
-        lens = np.bincount(text.row, minlength=n)
-        edge = np.concatenate([[0], np.cumsum(lens)])
-        cut = lambda a: [a[edge[i] : edge[i + 1]].tobytes() for i in range(n)]
-        pages = page.feature.reshape(2, n).T.copy()
-        cols = [b.column(0), b.column(4), pa.array(lens, pa.int32()), *(pa.array(c, pa.binary()) for c in (cut(text.feature.astype(np.int32)), cut(text.value.astype(np.float32)), [p.tobytes() for p in pages], [d.tobytes() for d in page.dense]))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "n", "feature", "value", "page", "dense"])
+    base = docs.select(*columns)
+    # the sample is of bounded size, so it goes to the documents and no text is shuffled
+    marks = stored(marks)
+    chosen = stored(marks.orderBy(by, "doc_id").limit(labelled))
+    used = telling(base.join(F.broadcast(chosen), "doc_id"))
+    # labelled documents beyond the sample take no part
+    spare = F.broadcast(chosen).withColumnRenamed("doc_id", "own_id")
+    all_ = base.join(spare, F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
+    if marks.count() > labelled:
+        rest = marks.join(chosen, "doc_id", "left_anti").select(F.col("doc_id").alias("own_id"))
+        all_ = all_.join(rest, F.col("doc_id") == F.col("own_id"), "left_anti")
+    compact = stored(all_.withColumn("label", F.coalesce("label", F.lit(-1))).mapInArrow(_features(used), _COMPACT))
+    parts = F.struct("label", "n", "feature", "value", "page", "dense")
+    found = compact.where("label >= 0").groupBy("doc_id").agg(F.min(parts).alias("r")).orderBy("doc_id").collect()
+    views = _opened([r["r"].asDict() for r in found])
+    label = np.array([r["r"]["label"] for r in found], int)
+    aside = np.array([_is_aside(r["doc_id"]) for r in found], bool)
+    return co_train(views, label, aside, lambda models: _exchange(compact, models), rounds)
+
+
+def _features(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Both views of every document, the text view with the features ``used`` only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(BUCKETS, bool)
+        known[used] = True
+        for b in pieces(batches):
+            n = b.num_rows
+            text = text_rows(b.column(1))
+            own = known[text.feature]
+            page = page_rows(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
+            lens = np.bincount(text.row[own], minlength=n)
+            edge = np.concatenate([[0], np.cumsum(lens)])
+            cut = lambda a: [a[edge[i] : edge[i + 1]].tobytes() for i in range(n)]
+            pages = page.feature.reshape(2, n).T.astype(np.int32)
+            cols = [b.column(0), b.column(4), pa.array(lens, pa.int32()), *(pa.array(c, pa.binary()) for c in (cut(text.feature[own].astype(np.int32)), cut(text.value[own].astype(np.float32)), [p.tobytes() for p in pages], [d.tobytes() for d in page.dense]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "n", "feature", "value", "page", "dense"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -305,15 +438,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: float = KEEP) -> DataFrame:
     """(doc_id, score, text_score, page_score, kept) for every document row; ``kept`` from a score of ``keep`` on."""
-    model = train(docs, labels, labelled, others)
+    model = train(docs, labels, labelled)
     columns = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     scored = score(docs.select(*columns), model)
     return scored.select("doc_id", "score", "text_score", "page_score", (F.col("score") >= keep).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, others: int = OTHERS, keep: float = KEEP) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    scored = score(docs, train(docs, labels, labelled, others))
+    scored = score(docs, train(docs, labels, labelled))
     return scored.where(F.col("score") >= keep).select(*docs.columns)
