@@ -42,9 +42,9 @@ from matchframe.session import small_table
 
 WANTED = 50
 #: Documents of a block (about), and dimensions of the projection that blocks are formed in.
-BLOCK, PROJECTED = 32, 16
+BLOCK, PROJECTED = 8, 16
 #: Documents and postings of a segment.
-SEGMENT, SEGMENT_POSTINGS = 1 << 14, 1 << 20
+SEGMENT, SEGMENT_POSTINGS = 1 << 13, 1 << 20
 #: Bytes of item text that are searched in one pass; items and terms that are searched together in a task.
 BLOCK_BYTES, GROUP_ITEMS, GROUP_TERMS = 4 << 20, 256, 1 << 15
 #: One document in so many gives the first cutoffs.
@@ -156,7 +156,7 @@ def candidates(segment: Segment, group: Group, cutoff: np.ndarray, counts: dict
     for q in range(n_items):
         own = np.flatnonzero(group.weights[:, q] * most)
         product = group.weights[own, q] * most[own]
-        order = np.argsort(product, kind="stable")
+        order = np.argsort(product / (list_edge[own + 1] - list_edge[own]), kind="stable")  # long lists of little weight first
         visit[own[order], q] = np.cumsum(product[order]) >= cutoff[q]
     norm = np.sqrt(np.maximum(1, np.add.reduceat(segment.impact.astype(float) ** 2, segment.edge[:-1])))
     direction = np.random.default_rng(11).standard_normal((n_terms, PROJECTED)).astype(np.float32)
@@ -165,17 +165,23 @@ def candidates(segment: Segment, group: Group, cutoff: np.ndarray, counts: dict
     # products of summaries in floating point are exact while they stay below 2^53
     exact = float(group.weights.max(initial=0)) * float(most.max(initial=0)) * n_terms < 2**53
     kind = np.float64 if exact else np.int64
-    weights = group.weights.astype(kind)
+    weights, impact = group.weights.astype(kind), segment.impact.astype(kind)
+    column = np.full(n_terms, -1)
     out = []
     for t in np.flatnonzero(visit.any(axis=1)):
         asked = np.flatnonzero(visit[t])
         docs = doc[list_edge[t] : list_edge[t + 1]]
         block = blocks_of(docs, projected)
+        # only the terms of the items that ask matter to their bounds
+        shared = np.flatnonzero(weights[:, asked].any(axis=1))
+        column[shared] = np.arange(len(shared))
         place, posting = _spans(segment.edge, docs)
-        used, column = np.unique(segment.term[posting], return_inverse=True)
-        summary = np.zeros((block.max() + 1, len(used)), kind)
-        np.maximum.at(summary, (block[place], column), segment.impact[posting].astype(kind))
-        open_ = summary @ weights[np.ix_(used, asked)] >= cutoff[asked]
+        at = column[segment.term[posting]]
+        held = at >= 0
+        summary = np.zeros((block.max() + 1) * len(shared), kind)
+        np.maximum.at(summary, block[place[held]] * len(shared) + at[held], impact[posting[held]])
+        column[shared] = -1
+        open_ = summary.reshape(-1, len(shared)) @ weights[np.ix_(shared, asked)] >= cutoff[asked]
         if counts is not None:
             counts["blocks"] = counts.get("blocks", 0) + open_.size
             counts["skipped"] = counts.get("skipped", 0) + int((~open_).sum())
@@ -327,7 +333,9 @@ def search(docs: DataFrame, items: DataFrame, wanted: int = WANTED, id_col: str
         known = Items.of([(r[0], r[1]) for r in own])
         if not len(known.hashes):
             continue
-        rows = stored(vectors(docs, known, id_col, text))
+        rows = vectors(docs, known, id_col, text)
+        # dealt out so that a task has about a segment, however small the vectors are
+        rows = stored(rows.repartition(1 + docs.count() // SEGMENT))
         corpus = _corpus(rows, len(known.hashes))
         if not corpus.documents:
             continue
