@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 
 from matchframe.llm.text import bytes_of
 
-_START, _END = 0x01, 0x02
+#: Marks for the start and the end of a string: no bytes, as every byte may stand in a URL.
+_START, _END, _SYMBOLS = 256, 257, 258
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,8 +73,8 @@ class Automaton:
                 literals.append(_END)
                 self.accepts.append((len(literals) - 1, r))
         self.words = max(1, -(-len(literals) // 64))
-        self.literal = np.zeros((256, self.words), np.uint64)
-        self.loop = np.zeros((256, self.words), np.uint64)
+        self.literal = np.zeros((_SYMBOLS, self.words), np.uint64)
+        self.loop = np.zeros((_SYMBOLS, self.words), np.uint64)
         self.start = np.zeros(self.words, np.uint64)
         bit = lambda i: (i // 64, np.uint64(1 << (i % 64)))
         for i, c in enumerate(literals):
