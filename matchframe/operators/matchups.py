@@ -6,20 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.operators.outcome import TRIPLE
+from matchframe.session import small_table, written
+
+
+#: Entrants that are paired with each other at a time.
+BLOCK = 1024
+
+
+def numbered(df: DataFrame, by: str, name: str = "i") -> DataFrame:
+    """``df`` with numbers from 1 in ascending order of ``by``, which is unique and not null.
+
+    Rows are range-partitioned and stored; a row's number is its place in its part and the rows of earlier parts. The
+    driver holds a number for each part.
+    """
+    spark = df.sparkSession
+    ranged = written(df.repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    before = [(part, sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    offsets = small_table(spark, before, "_part int, _before long")
+    return ranged.withColumn("_place", place).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def unordered_pairs(teams: DataFrame, team: str = "team") -> DataFrame:
     """(team_a, team_b) of all unordered pairs of an event's entrants, in name order.
 
-    The entrants are numbered and each names the numbers after its own; the second team is then looked up by number.
-    The table is as large as the event has pairings, which is what a matchup table is.
+    Numbered entrants form blocks; each entrant names the blocks from its own on, and meets the entrants of a block that
+    come after it. The table is as large as the event has pairings, which is what a matchup table is. A missing name is
+    no entrant.
     """
-    entrants = teams.select(F.col(team).alias("t")).distinct()
-    ranked = entrants.withColumn("i", F.row_number().over(Window.orderBy("t")))
-    n = ranked.select(F.max("i")).scalar()
-    first = ranked.select(F.col("t").alias("team_a"), "i", n.alias("n")).filter(F.col("i") < F.col("n"))
-    opponents = first.select("team_a", F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("j"))
-    return opponents.join(ranked.select(F.col("t").alias("team_b"), F.col("i").alias("j")), "j").select("team_a", "team_b")
+    entrants = teams.select(F.col(team).alias("t")).where("t is not null").distinct()
+    ranked = numbered(entrants, "t").withColumn("block", ((F.col("i") - 1) / BLOCK).cast("int"))
+    last = ranked.select(F.max("block")).scalar()
+    first = ranked.select(F.col("t").alias("team_a"), F.col("i").alias("a"), F.explode(F.sequence("block", last)).alias("block"))
+    second = ranked.select(F.col("t").alias("team_b"), F.col("i").alias("b"), "block")
+    return first.join(second, "block").where("a < b").select("team_a", "team_b")
 
 
 def both_orientations(pairs: DataFrame, snapshot: DataFrame, cols: list[str], team: str = "team") -> DataFrame:

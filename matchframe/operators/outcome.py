@@ -159,16 +159,18 @@ def simplex(n: int, steps: int) -> list[tuple[float, ...]]:
 def weight_scores(wide: DataFrame, models: list, steps: int = 10, truth: str = "outcome") -> DataFrame:
     """Log-loss of every simplex weight over side-by-side predictions (66 weights for 3 models and tenths).
 
-    The weights are an array literal exploded per row and summed up on the map side: only one row per weight and
-    task is shuffled.
+    A row adds its loss under each weight to that weight's sum; no row is copied, and a task sends one row of sums.
     """
-    grid = F.array(*[F.struct(*[F.lit(x).alias(f"w{i}") for i, x in enumerate(w)]) for w in simplex(len(models), steps)])
+    grid = simplex(len(models), steps)
     names = [f"w{i}" for i in range(len(models))]
-    rows = wide.select("*", F.explode(grid).alias("_w")).select("*", "_w.*")
-    blended = rows.select(*names, F.col(truth), *[p.alias(c) for c, p in zip(TRIPLE, _blend(models, [F.col(n) for n in names]))])
-    return blended.groupBy(*names).agg(
-        F.avg(scores.log_loss_term(F.col(truth), *[F.col(c) for c in TRIPLE])).alias("log_loss")
-    )
+
+    def loss(weights: tuple[float, ...]) -> Column:
+        return F.avg(scores.log_loss_term(F.col(truth), *_blend(models, [F.lit(w) for w in weights])))
+
+    sums = wide.agg(*[loss(w).alias(f"{k}") for k, w in enumerate(grid)])
+    rows = sums.unpivot([], [f"{k}" for k in range(len(grid))], "_k", "log_loss")
+    weights = small_table(wide.sparkSession, [(f"{k}", *w) for k, w in enumerate(grid)], "_k string, " + ", ".join(f"{n} double" for n in names))
+    return rows.join(weights, "_k").where(F.col("log_loss").isNotNull()).select(*names, "log_loss")
 
 
 def weight_grid_search(tune: DataFrame, test: DataFrame, models: list, steps: int = 10, truth: str = "outcome") -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import struct
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.functions import scores
-from matchframe.session import small_table
+from matchframe.session import small_table, written
 
 
 def label_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
@@ -56,65 +60,89 @@ def corr(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("corr"))
 
 
-def exact_quantiles(
-    df: DataFrame, col: str, probs: list[float], span: tuple | None = None, rows_at_once: int = 100_000, bins: int = 1000
-) -> list:
-    """Exact quantiles (linear interpolation) without sorting the table or holding its values in one place.
+#: Bits by which a pass narrows the place of a wanted value.
+_BITS = 16
+
+
+def order_keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column as 64-bit whole numbers in the order of its doubles; null stays null, NaN is above all others."""
+    numbers = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for column in b.columns:
+                missing = column.is_null().to_numpy(zero_copy_only=False)
+                x = column.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0  # no negative zero
+                bits = np.where(np.isnan(x), np.nan, x).view(np.int64)  # one NaN
+                out.append(pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), pa.int64(), mask=missing))
+            yield pa.RecordBatch.from_arrays(out, names=b.schema.names)
+
+    return numbers.mapInArrow(run, ", ".join(f"c{i} long" for i in range(len(cols))))
 
-    Each pass counts the current range into equal bins (a map-side combined aggregate of at most ``bins`` rows)
-    and narrows to the bin with the wanted rank, until the bin is small enough to be read. ``span`` is the
-    (count, min, max) of the column where it is known.
-    """
-    values = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n, low, high = span or values.agg(F.count("x"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(probs)
-    known: dict[int, float] = {}
-
-    def at(rank: int) -> float:
-        if rank in known:
-            return known[rank]
-        lo, hi, below, count = low, high, 0, n
-        while count > rows_at_once and lo < hi:
-            width = (hi - lo) / bins
-            if lo + width == lo:
-                break
-            inside = values.filter(F.col("x").between(lo, hi))
-            cell = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))
-            cells = inside.groupBy(cell.alias("b")).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            for cell_row in sorted(cells.collect()):
-                if below + cell_row["n"] > rank:
-                    lo, hi, count = cell_row["lo"], cell_row["hi"], cell_row["n"]
-                    break
-                below += cell_row["n"]
-        counts = values.filter(F.col("x").between(lo, hi)).groupBy("x").count().collect() if lo < hi else []
-        if lo == hi:
-            known[rank] = lo
-            return lo
-        for x, c in sorted(counts):
-            known.update({below + i: x for i in (0, c - 1)})
-            if below <= rank < below + c:
-                known[rank] = x
-            below += c
-        return known[rank]
 
+def _value(key: int) -> float:
+    bits = key if key >= 0 else key ^ (2**63 - 1)
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: list[int] | None = None) -> list[list[float | None]]:
+    """Exact quantiles (linear interpolation) of each column, by radix selection.
+
+    The ranks wanted of all columns are narrowed together: a pass counts the values that share a rank's leading bits by
+    their next ``_BITS`` bits, and keeps for each rank the bin that holds it. So four aggregates find every value, whatever
+    the number of rows, and no values are gathered. Missing values are left out, NaN is the greatest value; a column
+    without values has null quantiles. ``counts`` are the columns' numbers of values where they are known.
+    """
+    keys = written(order_keys(df, cols))
+    names = keys.columns
+    found = counts or list(keys.agg(*[F.count(c) for c in names]).first())
+    # (column, rank) -> (leading bits found so far, values below them)
+    place = {
+        (c, r): (None, 0) for c, n in enumerate(found) if n for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+    }
+    values = keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).alias("key")) for i, n in enumerate(names)])).alias("v")).select("v.*")
+    values = values.where(F.col("key").isNotNull())
+    for shift in range(64 - _BITS, -1, -_BITS):
+        if not place:
+            break
+        asked = sorted({(c, prefix if prefix is not None else 0, r - below) for (c, r), (prefix, below) in place.items()})
+        # the high bits of all values are 0 in the first pass, where they are shifted out
+        high = F.lit(0).cast("long") if shift == 64 - _BITS else F.shiftright("key", shift + _BITS)
+        prefixes = small_table(df.sparkSession, sorted({(c, prefix) for c, prefix, _ in asked}), "c int, prefix long")
+        counted = values.withColumn("prefix", high).join(prefixes, ["c", "prefix"]).groupBy("c", "prefix", F.shiftright("key", shift).alias("bin")).count()
+        # at most 2^_BITS bins a prefix
+        upto = F.sum("count").over(Window.partitionBy("c", "prefix").orderBy("bin"))
+        ranks = small_table(df.sparkSession, asked, "c int, prefix long, rank long")
+        held = counted.withColumn("upto", upto).withColumn("under", F.col("upto") - F.col("count")).join(ranks, ["c", "prefix"])
+        held = held.where((F.col("under") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        bins = {(r["c"], r["prefix"], r["rank"]): (r["bin"], r["under"]) for r in held.collect()}
+        for (c, r), (prefix, below) in place.items():
+            bin_, under = bins[c, prefix if prefix is not None else 0, r - below]
+            place[c, r] = (bin_, below + under)
     out = []
-    for p in probs:
-        position = p * (n - 1)
-        first, second = math.floor(position), math.ceil(position)
-        a = at(first)
-        out.append(a if first == second else a + (at(second) - a) * (position - first))
+    for c, n in enumerate(found):
+        row: list[float | None] = []
+        for p in probs:
+            if not n:
+                row.append(None)
+                continue
+            position = p * (n - 1)
+            low, high_ = (_value(place[c, r][0]) for r in (math.floor(position), math.ceil(position)))
+            row.append(low if low == high_ or position == math.floor(position) else low + (high_ - low) * (position - math.floor(position)))
+        out.append(row)
     return out
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles and max of each column, exact."""
+    """count, mean, sample deviation, min, quartiles and max of each column, exact. NaN counts as the greatest value."""
     numbers = df.select([F.col(c).cast("double").alias(c) for c in cols])
     summary = numbers.agg(*[f(c) for c in cols for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]).first()
+    quartiles = exact_quantiles(numbers, cols, [0.25, 0.5, 0.75], [summary[5 * i] for i in range(len(cols))])
     rows = []
     for i, c in enumerate(cols):
         n, mean, sd, low, high = summary[5 * i : 5 * i + 5]
-        rows.append((c, n, mean, sd, low, *exact_quantiles(numbers, c, [0.25, 0.5, 0.75], (n, low, high)), high))
+        rows.append((c, n, mean, sd, low, *quartiles[i], high))
     return small_table(
         df.sparkSession, rows, "name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     )

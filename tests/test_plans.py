@@ -1,5 +1,7 @@
 """Plans that must hold at scale: no joins of every row with every row, filters at the scan, limits before shuffles."""
 
+import re
+
 import pytest
 
 from matchframe.plans import all_queries
@@ -40,3 +42,16 @@ def test_outcome_probabilities_need_no_shuffle(spark, sf_dir):
 
 def test_ratings_are_folded_once(spark, sf_dir):
     assert plan(spark, "current_ratings", sf_dir).count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", ["matchup_grid", "pair_lookups"])
+def test_entrants_are_numbered_without_one_task(name, spark, sf_dir):
+    """No window sees all rows: every one has a partition."""
+    text = plan(spark, name, sf_dir)
+    assert "windowspecdefinition(" in text and not re.search(r"windowspecdefinition\(\w+#\w+ (ASC|DESC)", text)
+
+
+@pytest.mark.parametrize("name", ["ensemble_weight_scores", "ensemble_weight_search"])
+def test_weights_copy_no_rows(name, spark, sf_dir):
+    made = re.findall(r"Generate explode\(([^)]*)", plan(spark, name, sf_dir))
+    assert set(made) <= {"[1,2,3]"}  # the three models of the view

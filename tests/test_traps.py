@@ -3,11 +3,12 @@
 import math
 import unicodedata
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from matchframe.functions import constants, dates, scores, text
-from matchframe.operators import clean, entity, evaluate, goals, profile, squads, standings, windows
+from matchframe.operators import clean, entity, evaluate, goals, matchups, profile, squads, standings, windows
 from matchframe.session import small_table
 from matchframe.sources import nested, tables
 
@@ -196,18 +197,46 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows(back) == [(1.5,), (None,)]
 
 
-def test_exact_quantiles_narrow_down(spark):
-    values = [float((i * 7919) % 10007) ** 2 for i in range(5000)] + [123.0] * 3000
-    df = small_table(spark, [(x,) for x in values], "x double")
-    got = profile.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0], rows_at_once=50, bins=10)
+@pytest.mark.parametrize(
+    "values",
+    [
+        [float((i * 7919) % 10007) ** 2 for i in range(3000)] + [123.0] * 2000,
+        [-1e300, -2.5, -0.0, 0.0, 5e-324, -5e-324, 2.5, 1e300, float("inf"), float("-inf"), float("inf")],
+        [7.0],
+        [],
+        [-3.0] * 500 + [-3.0000000000000004] * 3,
+    ],
+)
+def test_exact_quantiles_by_radix(spark, values):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    df = small_table(spark, [(x, 1.0) for x in values] + [(None, 2.0)], "x double, y double")
+    (got, other) = profile.exact_quantiles(df, ["x", "y"], probs)
     ordered = sorted(values)
 
     def want(p):
         at = p * (len(ordered) - 1)
         lo, hi = ordered[math.floor(at)], ordered[math.ceil(at)]
-        return lo + (hi - lo) * (at - math.floor(at))
+        return lo if lo == hi or at == math.floor(at) else lo + (hi - lo) * (at - math.floor(at))
 
-    assert all(abs(a - want(p)) < 1e-6 for a, p in zip(got, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert got == ([want(p) for p in probs] if values else [None] * len(probs))
+    assert other[0] == 1.0 if values else other[0] == 2.0
+
+
+def test_description_of_a_column_with_nan(spark):
+    """NaN is the greatest value; infinities have their places."""
+    df = small_table(spark, [(x,) for x in [1.0, float("nan"), float("-inf"), 3.0, float("nan"), None, 2.0]], "x double")
+    (row,) = profile.describe(df, ["x"]).collect()
+    assert (row["count"], row["min"], row.q25, row.q50) == (6, float("-inf"), 1.25, 2.5)
+    assert math.isnan(row["max"]) and math.isnan(row.q75)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 57])
+def test_pairs_of_numbered_blocks(spark, n, monkeypatch):
+    monkeypatch.setattr(matchups, "BLOCK", 10)
+    teams = [f"t{(37 * k) % 101:03d}" for k in range(n)]
+    df = small_table(spark, [(t,) for t in teams + teams[:5] + [None]], "team string")
+    assert sorted(tuple(r) for r in matchups.unordered_pairs(df).collect()) == [(a, b) for a in sorted(teams) for b in sorted(teams) if a < b]
+    assert sorted((r.i, r.t) for r in matchups.numbered(df.where("team is not null").distinct().withColumnRenamed("team", "t"), "t").collect()) == list(enumerate(sorted(teams), 1))
 
 
 def test_official_slots(spark):
