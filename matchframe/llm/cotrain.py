@@ -101,8 +101,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def text_rows(column: pa.Array) -> Rows:
-    """Distinct words, and beginnings of longer words, of every text, weighted 1 + ln(count)."""
+def text_rows(column: pa.Array, known: np.ndarray | None = None) -> Rows:
+    """Distinct words, and beginnings of longer words, of every text, weighted 1 + ln(count); with ``known`` those features only."""
     rows, h, start, end = words(column)
     data, _ = bytes_of(column)
     begins = []
@@ -115,7 +115,11 @@ def text_rows(column: pa.Array) -> Rows:
             code = code << np.uint64(8) | byte.astype(np.uint64)
         begins.append((rows[at], mix(code)))
     rows, h = (np.concatenate([own, *(b[i] for b in begins)]) for i, own in enumerate((rows, h)))
-    pairs, count = np.unique(rows * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+    feature = (h % np.uint64(BUCKETS)).astype(np.int64)
+    if known is not None:
+        own = known[feature]
+        rows, feature = rows[own], feature[own]
+    pairs, count = np.unique(rows * BUCKETS + feature, return_counts=True)
     return Rows(pairs // BUCKETS, pairs % BUCKETS, 1 + np.log(count), np.zeros((len(column), 0)))
 
 
@@ -132,7 +136,8 @@ def page_rows(column: pa.Array, lang: list, source: list) -> Rows:
     share = lambda k: np.diff(np.concatenate([[0], np.cumsum(kind == k)])[offsets]) / size
     count = np.bincount(rows, minlength=n)
     many = np.maximum(count, 1)
-    distinct = np.bincount(np.unique(np.stack([rows.astype(np.uint64), h]), axis=1)[0].astype(np.int64) if len(rows) else rows, minlength=n)
+    _, first = np.unique(mix(h + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    distinct = np.bincount(rows[first], minlength=n)
     again = np.zeros(n)
     if len(rows):
         same = (rows[1:] == rows[:-1]) & (h[1:] == h[:-1])
@@ -366,6 +371,8 @@ def _exchange(compact: DataFrame, models: list[Linear]) -> list[Pull | None]:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """The model fitted on at most ``labelled`` documents with a label, and what the views hand over of all the others.
 
+    Documents whose label is not in the sample are others too.
+
     A document with several labels is good if they all say so; labels that are null are no labels. Without labels of both
     kinds all documents get the same side; without any label, or any document that has one, all are good. Of several
     rows with one labelled id one is fitted on.
@@ -376,15 +383,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]]
     base = docs.select(*columns)
     # the sample is of bounded size, so it goes to the documents and no text is shuffled
-    marks = stored(marks)
     chosen = stored(marks.orderBy(by, "doc_id").limit(labelled))
     used = telling(base.join(F.broadcast(chosen), "doc_id"))
-    # labelled documents beyond the sample take no part
-    spare = F.broadcast(chosen).withColumnRenamed("doc_id", "own_id")
-    all_ = base.join(spare, F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
-    if marks.count() > labelled:
-        rest = marks.join(chosen, "doc_id", "left_anti").select(F.col("doc_id").alias("own_id"))
-        all_ = all_.join(rest, F.col("doc_id") == F.col("own_id"), "left_anti")
+    all_ = base.join(F.broadcast(chosen).withColumnRenamed("doc_id", "own_id"), F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
     compact = stored(all_.withColumn("label", F.coalesce("label", F.lit(-1))).mapInArrow(_features(used), _COMPACT))
     parts = F.struct("label", "n", "feature", "value", "page", "dense")
     found = compact.where("label >= 0").groupBy("doc_id").agg(F.min(parts).alias("r")).orderBy("doc_id").collect()
@@ -402,14 +403,13 @@ def _features(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         known[used] = True
         for b in pieces(batches):
             n = b.num_rows
-            text = text_rows(b.column(1))
-            own = known[text.feature]
+            text = text_rows(b.column(1), known)
             page = page_rows(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
-            lens = np.bincount(text.row[own], minlength=n)
+            lens = np.bincount(text.row, minlength=n)
             edge = np.concatenate([[0], np.cumsum(lens)])
             cut = lambda a: [a[edge[i] : edge[i + 1]].tobytes() for i in range(n)]
             pages = page.feature.reshape(2, n).T.astype(np.int32)
-            cols = [b.column(0), b.column(4), pa.array(lens, pa.int32()), *(pa.array(c, pa.binary()) for c in (cut(text.feature[own].astype(np.int32)), cut(text.value[own].astype(np.float32)), [p.tobytes() for p in pages], [d.tobytes() for d in page.dense]))]
+            cols = [b.column(0), b.column(4), pa.array(lens, pa.int32()), *(pa.array(c, pa.binary()) for c in (cut(text.feature.astype(np.int32)), cut(text.value.astype(np.float32)), [p.tobytes() for p in pages], [d.tobytes() for d in page.dense]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "n", "feature", "value", "page", "dense"])
 
     return run
@@ -432,7 +432,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in pieces(batches, text):
             column = b.column(names.index(text))
             meta = [b.column(names.index(c)).cast(pa.string()).to_pylist() if c in names else [None] * b.num_rows for c in ("lang", "source")]
-            found = sent.value.scores(text_rows(column), page_rows(column, *meta))
+            found = sent.value.scores(text_rows(column, sent.value.text.weights != 0), page_rows(column, *meta))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in found)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
