@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index Hamming scheme.
 
-A signature is 32 symbols of 16 bits, each the least hash of the document's shingles under one function; two documents
-differ in a symbol with probability one minus their Jaccard similarity. It is split into 8 chunks of 4 symbols. If two
+A signature is 32 symbols of 16 bits, each of the least hash of the document's shingles under one function (its lowest
+bits, which are as even for long texts as for short ones); two documents differ in a symbol with probability one minus their Jaccard similarity. It is split into 8 chunks of 4 symbols. If two
 signatures differ in 15 symbols or fewer, some chunk differs in at most one (pigeonhole), so each chunk is entered once
 for every place of that one error, with that symbol left out: 32 keys a document, and every pair within distance 15 (most
 pairs beyond it too) meets in one. At similarity 0.8 the expected distance is 6.4, and a pair shares no key with
@@ -28,6 +28,11 @@ SYMBOLS, CHUNKS, BITS = 32, 8, 16
 PERCENT, WORDS = 80, 5
 
 
+def symbols_of(low: np.ndarray) -> np.ndarray:
+    """The lowest bits of the least hashes; their highest bits tend to 0 as sets grow."""
+    return low & np.uint64((1 << BITS) - 1)
+
+
 def chunk_keys(symbols: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """(rows, symbols) keys: every chunk with each one of its symbols left out."""
     n, m = symbols.shape
@@ -56,7 +61,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "
             count = np.bincount(rows, minlength=n).astype(np.int64)
             d1, d2 = minhash.digest(rows, hashes, n)
             low = minhash.minima(rows, hashes, n, SYMBOLS)
-            keys = chunk_keys(low >> np.uint64(64 - BITS)).view(np.int64)
+            keys = chunk_keys(symbols_of(low)).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SYMBOLS, pa.int32()), pa.array(keys.ravel()))
             cols = [b.column(0), pa.array(count), pa.array(d1), pa.array(d2), minhash.sketch(rows, hashes, n), flat]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "d1", "d2", "sketch", "keys"])
