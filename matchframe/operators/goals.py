@@ -8,15 +8,17 @@ of matches. Any number of fits (walk-forward folds, decay rates) shares every st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.functions.dates import decay_weight, floor_days
-from matchframe.session import bounded_rows, durable, small_table
+from matchframe.session import durable, small_table, written
 
 START_GAMMA, START_RHO = 0.25, -0.10
 INVALID = 1e10
@@ -302,63 +304,152 @@ class GoalModel:
     shared: DataFrame
 
 
-def goal_model_fit(sums: DataFrame) -> GoalModel:
-    """Fit all fits of ``pair_sums``. Strengths are centred, start at 0; gamma and rho start at 0.25 and -0.10.
+class Climb:
+    """Limited-memory quasi-Newton steps over vectors that only Spark sees.
 
-    The driver holds the model (two numbers per team and fit), as any MLlib optimiser does, and refuses a larger one.
+    A vector is a list of coefficients over basis vectors, the points and gradients that are held as ``slots`` columns of
+    a table; the driver knows the products of the basis vectors with each other, their sums, and their last two
+    components (gamma and rho). That is all the two-loop recursion needs. The rest of a vector is centred: both halves of
+    it (attack and defense) have mean 0.
     """
-    spark = sums.sparkSession
-    data = durable(sums)
-    teams_df = data.select("fit", F.explode(F.array("home", "away")).alias("team")).distinct()
-    types = {f.name: f.dataType.simpleString() for f in teams_df.schema}
-    teams: dict = {}
-    for row in bounded_rows(teams_df, "teams of a goal model"):
-        teams.setdefault(row["fit"], []).append(row["team"])
-    teams = {f: sorted(t) for f, t in teams.items()}
-    index = {f: {t: i for i, t in enumerate(ts)} for f, ts in teams.items()}
-    schemas = (f"fit {types['fit']}, team {types['team']}, alpha double, beta double", f"fit {types['fit']}, gamma double, rho double")
-
-    def unpack(f, x: np.ndarray):
-        n = len(teams[f])
-        alpha, beta = x[:n], x[n : 2 * n]
-        return alpha - alpha.mean(), beta - beta.mean(), float(x[-2]), float(x[-1])
-
-    def tables(points: dict) -> tuple[DataFrame, DataFrame]:
-        per_team, shared = [], []
-        for f, x in points.items():
-            alpha, beta, gamma, rho = unpack(f, x)
-            per_team += [(f, t, float(a), float(b)) for t, a, b in zip(teams[f], alpha, beta)]
-            shared.append((f, gamma, rho))
-        return small_table(spark, per_team, schemas[0]), small_table(spark, shared, schemas[1])
 
-    def evaluate(points: dict) -> dict:
-        sums_of = {f: [0.0, np.zeros(len(x)), False] for f, x in points.items()}
-        for r in goal_model_gradient(data, *tables(points)).collect():  # as many rows as the model has teams
-            f, n, i = r["fit"], len(teams[r["fit"]]), index[r["fit"]][r["team"]]
-            total = sums_of[f]
-            total[0] += r["ll"] or 0.0
-            total[1][i], total[1][n + i] = r["da"], r["db"]
-            total[1][-2] += r["dg"] or 0.0
-            total[1][-1] += r["dr"] or 0.0
-            total[2] = total[2] or r["bad"] > 0
-        out = {}
-        for f, (ll, grad, bad) in sums_of.items():
-            n = len(teams[f])
-            if bad:
-                out[f] = (INVALID, np.zeros_like(grad))
-                continue
-            grad = -grad
-            grad[:n] -= grad[:n].mean()
-            grad[n : 2 * n] -= grad[n : 2 * n].mean()
-            out[f] = (-ll, grad)
-        return out
+    def __init__(self, memory: int, tol: float, steps: int):
+        self.memory, self.tol, self.left = memory, tol, steps
+        self.slots = 2 * (memory + 2)
+        self.gram = np.zeros((self.slots, self.slots))
+        self.sums = np.zeros((self.slots, 2))  # of the attack and the defense half of every basis vector
+        self.ends = np.zeros((self.slots, 2))
+        self.teams = 1
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.x = np.zeros(self.slots)
+        self.grad: np.ndarray | None = None
+        self.value, self.slope, self.t = math.inf, 0.0, 1.0
+        self.direction = np.zeros(self.slots)
+        self.start = np.array([START_GAMMA, START_RHO])
+        self.done = False
+        self.choose()
+
+    def dot(self, u: np.ndarray, v: np.ndarray) -> float:
+        centred = self.gram - self.sums @ self.sums.T / self.teams
+        return float(u @ (centred + self.ends @ self.ends.T) @ v)
+
+    def choose(self) -> None:
+        """Slots for the next point and its gradient."""
+        used = [self.x, *([] if self.grad is None else [self.grad]), *[v for pair in self.pairs for v in pair]]
+        free = [k for k in range(self.slots) if not any(v[k] for v in used)]
+        self.at = free[0], free[1]
+
+    def candidate(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(coefficients, means to take off both halves, gamma and rho) of the next point."""
+        c = self.x + self.t * self.direction
+        return c, c @ self.sums / self.teams, c @ self.ends + (self.start if self.grad is None else 0)
+
+    def told(self, value: float, products: np.ndarray, sums: np.ndarray, teams: int, ends: np.ndarray) -> None:
+        """``products`` of the new point and of its gradient with all slots, the new ones in them; ``sums`` and ``ends`` of the gradient."""
+        point, slope = self.at
+        _, _, own = self.candidate()
+        if self.grad is not None and not value <= self.value + 1e-4 * self.t * self.slope:
+            self.t *= 0.5
+            self.done = self.t < 1e-12
+            return
+        self.teams = teams
+        for k, row in ((point, products[0]), (slope, products[1])):
+            self.gram[k], self.gram[:, k] = row, row
+        self.sums[point], self.sums[slope] = 0, sums
+        self.ends[point], self.ends[slope] = own, ends
+        x, grad = np.eye(self.slots)[point], np.eye(self.slots)[slope]
+        if self.grad is not None:
+            s, y = x - self.x, grad - self.grad
+            if self.dot(s, y) > 1e-12:
+                self.pairs = [*self.pairs, (s, y)][-self.memory :]
+            self.done = self.value - value <= self.tol * max(abs(self.value), abs(value), 1.0)
+        self.x, self.grad, self.value, self.t = x, grad, value, 1.0
+        self.left -= 1
+        size = math.sqrt(max(0.0, self.dot(grad, grad)))
+        if self.done or size < 1e-5 or self.left < 0:
+            self.done = True
+            return
+        q, alphas = grad.copy(), []
+        for s, y in reversed(self.pairs):
+            a = self.dot(s, q) / self.dot(y, s)
+            alphas.append(a)
+            q = q - a * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q = q * (self.dot(s, y) / self.dot(y, y))
+        else:
+            q = q / max(1.0, size)
+        for (s, y), a in zip(self.pairs, reversed(alphas)):
+            q = q + s * (a - self.dot(y, q) / self.dot(y, s))
+        self.direction, self.slope = -q, -self.dot(grad, q)
+        if self.slope >= 0:
+            self.pairs, self.direction, self.slope = [], -grad, -size * size
+        self.choose()
 
-    def start(f) -> np.ndarray:
-        x = np.zeros(2 * len(teams[f]) + 2)
-        x[-2:] = START_GAMMA, START_RHO
-        return x
 
-    return GoalModel(*tables(_lockstep({f: start(f) for f in teams}, evaluate)))
+def goal_model_fit(sums: DataFrame, memory: int = 10, tol: float = 1e-9, steps: int = MAX_STEPS) -> GoalModel:
+    """Fit all fits of ``pair_sums``. Strengths are centred, start at 0; gamma and rho start at 0.25 and -0.10.
+
+    Strengths, gradients and the optimiser's memory are columns of a table (fit, team); each evaluation joins it to the
+    data, adds a point and its gradient, and writes it. All fits are evaluated together. The driver holds the products
+    of these columns, a few hundred numbers per fit, however many teams there are.
+    """
+    spark = sums.sparkSession
+    data = written(sums)
+    teams = data.select("fit", F.explode(F.array("home", "away")).alias("team")).distinct()
+    fit_type = teams.schema["fit"].dataType.simpleString()
+    open_ = {r["fit"]: Climb(memory, tol, steps) for r in teams.select("fit").distinct().collect()}
+    slots = 2 * (memory + 2)
+    state = written(teams.select("fit", "team", *[F.array_repeat(F.lit(0.0), slots).alias(c) for c in ("a", "b")]))
+    fitted, shared = [], []
+
+    def combined(half: str) -> Column:
+        return F.aggregate(F.zip_with(half, "c", lambda v, w: v * w), F.lit(0.0), lambda x, y: x + y) - F.col(f"off_{half}")
+
+    def points(of: dict) -> tuple[DataFrame, list]:
+        """``state`` of the fits with their point as alpha and beta, and rows (fit, gamma, rho)."""
+        rows, ends = [], []
+        for f, climb in of.items():
+            c, off, (gamma, rho) = climb.candidate()
+            rows.append((f, c.tolist(), float(off[0]), float(off[1]), *climb.at))
+            ends.append((f, float(gamma), float(rho)))
+        plan = small_table(spark, rows, f"fit {fit_type}, c array<double>, off_a double, off_b double, point int, slope int")
+        return state.select("fit", "team", "a", "b").join(plan, "fit").withColumns({"alpha": combined("a"), "beta": combined("b")}), ends
+
+    while open_:
+        at, ends = points(open_)
+        now = small_table(spark, ends, f"fit {fit_type}, gamma double, rho double")
+        found = goal_model_gradient(data.where(F.col("fit").isin(list(open_))), at.select("fit", "team", "alpha", "beta"), now)
+        held = at.join(found.withColumns({"ga": -F.col("da"), "gb": -F.col("db")}), ["fit", "team"])
+
+        def entered(half: str, value: str, gradient: str) -> Column:
+            return F.transform(half, lambda v, k: F.when(k == F.col("point"), F.col(value)).when(k == F.col("slope"), F.col(gradient)).otherwise(v))
+
+        state = written(
+            held.select("fit", "team", entered("a", "alpha", "ga").alias("a"), entered("b", "beta", "gb").alias("b"), "alpha", "beta", "ga", "gb", "ll", "bad", "dg", "dr")
+        )
+        products = [
+            F.sum(F.col("a")[k] * F.col(x) + F.col("b")[k] * F.col(y)).alias(f"{n}{k}") for n, x, y in (("x", "alpha", "beta"), ("g", "ga", "gb")) for k in range(slots)
+        ]
+        totals = [F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad"), *[F.sum(c).alias(f"s_{c}") for c in ("ll", "dg", "dr", "ga", "gb")]]
+        for r in state.groupBy("fit").agg(*totals, *products).collect():
+            climb = open_[r["fit"]]
+            if r["bad"]:
+                climb.told(INVALID, np.zeros((2, slots)), np.zeros(2), r["n"], np.zeros(2))
+            else:
+                along = np.array([[r[f"{n}{k}"] for k in range(slots)] for n in "xg"])
+                climb.told(-r["s_ll"], along, np.array([r["s_ga"], r["s_gb"]]), r["n"], -np.array([r["s_dg"] or 0.0, r["s_dr"] or 0.0]))
+        done = {f: climb for f, climb in open_.items() if climb.done}
+        if done:
+            for climb in done.values():
+                climb.t = 0.0  # the best point itself
+            best, ends = points(done)
+            fitted.append(best.select("fit", "team", "alpha", "beta"))
+            shared += ends
+            open_ = {f: climb for f, climb in open_.items() if f not in done}
+    if not fitted:
+        fitted = [teams.select("fit", "team", F.lit(0.0).alias("alpha"), F.lit(0.0).alias("beta"))]
+    return GoalModel(reduce(DataFrame.unionByName, fitted), small_table(spark, shared, f"fit {fit_type}, gamma double, rho double"))
 
 
 def params_table(model: GoalModel) -> DataFrame:

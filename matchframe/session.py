@@ -16,8 +16,6 @@ from pyspark.sql.types import StructType
 WINDOW_BYTES = ("spark.matchframe.windowBytes", 1 << 30)
 #: Most rows one task should see of a single key (and the size of a range chunk).
 ROWS_PER_TASK = ("spark.matchframe.rowsPerTask", 20_000_000)
-#: Largest table, in rows, that a driver-held model or report may be read from.
-DRIVER_ROWS = ("spark.matchframe.driverRows", 2_000_000)
 
 
 def local_session(cpus: int | str = "*", name: str = "matchframe", memory: str = "8g") -> SparkSession:
@@ -84,15 +82,6 @@ def hottest_key(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return (row[0] or 0, row[1] or 0)
 
 
-def bounded_rows(df: DataFrame, what: str) -> list:
-    """Rows of a model- or report-sized table; refuses, before it fetches, a table that is neither."""
-    limit = setting(df.sparkSession, DRIVER_ROWS)
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows, keep it as a table")
-    return rows
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Driver-side rows (a fixed list, a model's parameters) as a local relation of known size.
 
