@@ -100,6 +100,24 @@ def outcome_probs(
     )
 
 
+def knockout_chance(df: DataFrame, lam_h: str, lam_a: str, share: float = 1 / 3, top: int = 10, name: str = "p_through") -> DataFrame:
+    """``df`` with the home side's chance to win a match that must have a winner, from p_home and p_draw.
+
+    After a draw comes extra time at ``share`` of both rates, then a coin.
+    """
+    both = F.zip_with(F.array(*poisson_terms(F.col(lam_h) * share, top)), F.array(*poisson_terms(F.col(lam_a) * share, top)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    names = ("ahead", "level", "behind", "above", "below")  # chances so far, and of fewer goals of either side
+    start = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def goals_of(so_far: Column, x: Column) -> Column:
+        steps = (x["p"] * so_far["below"], x["p"] * x["q"], x["q"] * so_far["above"], x["p"], x["q"])
+        return F.struct(*[(so_far[n] + step).alias(n) for n, step in zip(names, steps)])
+
+    extra = df.withColumn("_extra", both).withColumn("_extra", F.aggregate("_extra", start, goals_of))
+    total = F.col("_extra.ahead") + F.col("_extra.level") + F.col("_extra.behind")
+    return extra.withColumn(name, F.col("p_home") + F.col("p_draw") * (F.col("_extra.ahead") + F.col("_extra.level") / 2) / total).drop("_extra")
+
+
 def most_likely_score(df: DataFrame, rho: Column | float, lam_h: str = "lam_home", lam_a: str = "lam_away", top: int = 10):
     """Most probable cell of each match's grid as "h-a" (the first in row order on a tie) and its share of the grid."""
     lh, la, r = F.col(lam_h), F.col(lam_a), F.col("_rho")

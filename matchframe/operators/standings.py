@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.operators.ordered import top_per_group
-from matchframe.session import small_table
+from matchframe.session import small_table, written
 
 
 def _best_first(tie: str) -> list[Column]:
@@ -126,6 +128,34 @@ def next_round(winners: DataFrame, wiring: DataFrame, per: list[str]) -> DataFra
     )
 
 
+def bracket_probabilities(fixtures: DataFrame, beats: DataFrame, wiring: list[tuple], per: list[str], first_stage: str) -> DataFrame:
+    """(per, stage, slot, team, p_play, p_win): exact chances of each team in each match of a knockout bracket.
+
+    ``fixtures`` (per, slot, team_a, team_b) is the first round, ``beats`` (team, other, p) the chance that a team beats
+    another, ``wiring`` the later matches in order of play: (stage, slot, slot that feeds side a, slot that feeds side b).
+    A team wins a match if it plays there and beats whoever comes from the other side, so a round is one join of the two
+    sides of its matches and one sum over the opponents. Where the other side stays empty, the team goes through.
+    """
+    def side(name: str) -> Column:
+        return F.struct(F.lit(name).alias("side"), F.col(f"team_{name}").alias("team"))
+
+    sides = fixtures.select(*per, "slot", F.explode(F.array(side("a"), side("b"))).alias("s")).select(*per, "slot", "s.*", F.lit(1.0).alias("p_play"))
+    sides = sides.where(F.col("team").isNotNull())
+    stages, out = list(dict.fromkeys([first_stage, *[w[0] for w in wiring]])), []
+    for k, stage in enumerate(stages):
+        other = sides.select(*per, "slot", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), F.col("team").alias("other"), F.col("p_play").alias("q"))
+        met = sides.join(other, [*per, "slot", "side"], "left").join(beats, ["team", "other"], "left")
+        chance = F.coalesce(F.sum(F.col("q") * F.col("p")), F.lit(0.0)) + 1 - F.coalesce(F.sum("q"), F.lit(0.0))
+        played = written(met.groupBy(*per, "slot", "side", "team", "p_play").agg((F.col("p_play") * chance).alias("p_win")))
+        out.append(played.select(*per, F.lit(stage).alias("stage"), "slot", "team", "p_play", "p_win"))
+        if k + 1 == len(stages):
+            break
+        feeds = [(source, name, slot) for later, slot, a, b in wiring if later == stages[k + 1] for name, source in (("a", a), ("b", b))]
+        feeds = small_table(fixtures.sparkSession, feeds, "slot int, into string, next int")
+        sides = played.drop("side", "p_play").join(feeds, "slot").select(*per, F.col("next").alias("slot"), F.col("into").alias("side"), "team", F.col("p_win").alias("p_play"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def top_contenders(summary: DataFrame, by: str = "p_winner", n: int = 16, team: str = "team", lowest: bool = False):
     order = F.asc(by) if lowest else F.desc(by)
     return summary.orderBy(order, team).limit(n)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchframe.functions.constants import TOP_EVENT
-from matchframe.operators import evaluate, profile, ratings, standings
+from matchframe.functions.constants import KNOCKOUT_48, LATER_ROUNDS_48, TOP_EVENT
+from matchframe.operators import evaluate, goals, matchups, profile, ratings, standings
 from matchframe.plans.goalmodels import GRID_SQL, LL_SQL, labelled, matchup_table
 from matchframe.plans.matchlog import members
 from matchframe.plans.rated import STATES_SQL
@@ -315,6 +315,57 @@ def _(v):
     return standings.resolve_slots(table, standings.slot_table(v.spark, pairs), ["replicate"], tie=F.col("team"))
 
 
+# A tournament of 48 entrants a year, from group tables to the final, with exact chances.
+_ENTRANT = "o_custkey % 48"
+_SEASON_SQL = f"""select yr, team, chr(65 + cast(team % 12 as int)) as grp, pts, row_number() over (partition by yr, team % 12 order by pts desc, team) as position
+   from (select cast(extract(year from o_orderdate) as int) as yr, {_ENTRANT} as team, cast(sum(floor(o_totalprice)) as bigint) as pts from orders group by 1, 2)"""
+_POISSON = ["exp(-{0}) * pow({0}, g) / factorial(g::int)".format(x) for x in ("lh", "la", "lh / 3", "la / 3")]
+_BEATS_SQL = f"""select team, other, max(case kind when 0 then w end) + max(case kind when 0 then d end) * max(case kind when 1 then w + d / 2 end) as p from (
+     select x.team, x.other, x.kind, sum(x.p * y.q) filter (where x.g > y.g) / sum(x.p * y.q) as w, sum(x.p * y.q) filter (where x.g = y.g) / sum(x.p * y.q) as d
+     from c x join c y on x.team = y.team and x.other = y.other and x.kind = y.kind group by 1, 2, 3) group by 1, 2"""
+_STRENGTH = "({0} - 24) / 60.0e0"
+
+
+def _bracket_sql() -> str:
+    places = [(73 + k, name, grp, position) for k, pair in enumerate(KNOCKOUT_48) for name, (grp, position) in zip("ab", pair)]
+    fixed = ", ".join(f"({slot}, '{name}', '{grp}', {position})" for slot, name, grp, position in places if position)
+    thirds = ", ".join(f"({slot}, '{name}', {k + 1})" for k, (slot, name) in enumerate((s, n) for s, n, _, position in places if not position))
+    stages = list(dict.fromkeys(w[0] for w in LATER_ROUNDS_48))
+    ctes = [
+        f"t as ({_SEASON_SQL})", "e as (select distinct team from t)",
+        f"r as (select a.team, b.team as other, exp({_STRENGTH.format('a.team')} + {_STRENGTH.format('b.team')} * 0.5) as lh, exp({_STRENGTH.format('b.team')} + {_STRENGTH.format('a.team')} * 0.5) as la from e a, e b where a.team <> b.team)",
+        f"""c as (select team, other, 0 as kind, g, {_POISSON[0]} as p, {_POISSON[1]} as q from r, (select unnest(range(11)) as g)
+             union all select team, other, 1, g, {_POISSON[2]}, {_POISSON[3]} from r, (select unnest(range(11)) as g))""",
+        f"beats as ({_BEATS_SQL})",
+        f"""m0 as (select yr, slot, side, team, 1.0e0 as p_play from t join (select * from (values {fixed}) s(slot, side, grp, position)) using (grp, position)
+             union all select yr, slot, side, team, 1.0e0 from (select *, row_number() over (partition by yr order by pts desc, team) as k from t where position = 3)
+             join (select * from (values {thirds}) s(slot, side, k)) using (k))""",
+    ]
+    for k, stage in enumerate(["R32", *stages]):
+        ctes.append(f"""w{k} as (select x.yr, x.slot, x.side, x.team, x.p_play, x.p_play * (coalesce(sum(y.p_play * p), 0) + 1 - coalesce(sum(y.p_play), 0)) as p_win
+             from m{k} x left join m{k} y on x.yr = y.yr and x.slot = y.slot and x.side <> y.side left join beats on beats.team = x.team and beats.other = y.team group by 1, 2, 3, 4, 5)""")
+        if k < len(stages):
+            feeds = ", ".join(f"({source}, '{name}', {slot})" for later, slot, a, b in LATER_ROUNDS_48 if later == stages[k] for name, source in (("a", a), ("b", b)))
+            ctes.append(f"m{k + 1} as (select yr, f.next as slot, f.into_side as side, team, p_win as p_play from w{k} join (select * from (values {feeds}) f(slot, into_side, next)) f using (slot))")
+    rows = " union all ".join(f"select yr, '{stage}' as stage, slot, team, p_play, p_win from w{k}" for k, stage in enumerate(["R32", *stages]))
+    return f"with {', '.join(ctes)} {rows}"
+
+
+@query("bracket_chances", "E21", "yr:l stage:s slot:l team:l p_play:d6 p_win:d6", _bracket_sql())
+def _(v):
+    seasons = v.sql(_SEASON_SQL.replace("chr(65 + cast(team % 12 as int))", "char(65 + cast(team % 12 as int))")).withColumns({"gd": F.lit(0), "gf": F.lit(0)})
+    fixtures = standings.resolve_slots(seasons, standings.slot_table(v.spark, KNOCKOUT_48, 73), ["yr"], tie=F.col("team"))
+    pairs = matchups.unordered_pairs(seasons)
+    a, b = ((F.col(f"team_{x}") - 24) / 60.0 for x in "ab")
+    rated = pairs.withColumns({"lam_home": F.exp(a + b * 0.5), "lam_away": F.exp(b + a * 0.5)})
+    rated = goals.independent_poisson_probs(rated.withColumnsRenamed({"lam_home": "exp_home_goals", "lam_away": "exp_away_goals"}))
+    rated = goals.knockout_chance(rated, "exp_home_goals", "exp_away_goals")
+    p = F.col("p_through")
+    way = [F.struct(F.col(f"team_{x}").alias("team"), F.col(f"team_{y}").alias("other"), q.alias("p")) for x, y, q in (("a", "b", p), ("b", "a", 1 - p))]
+    beats = rated.select(F.explode(F.array(*way)).alias("w")).select("w.*")
+    return standings.bracket_probabilities(fixtures, beats, LATER_ROUNDS_48, ["yr"], "R32")
+
+
 # --- profiles -------------------------------------------------------------------------------------------------
 
 
