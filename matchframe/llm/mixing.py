@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in new] if keep_columns else ["doc_id", "source"]
-    rows = docs.select(*kept if keep_columns else ["doc_id", "source"], word_count(F.col("text")).alias("size"))
+    # the input row goes along as one column, so that none of its columns meets a working one
+    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = rows if keep_columns else stored(rows)
     wanted = stored(targets(rows.select("source", "size"), weights, share, most))
     by_size = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("mix"), F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = placed.join(slices, ["rank", "size", "slice"]).withColumn("within", within)
     out = out.withColumn("copies", (F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *new)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select("row.*", *new)
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:

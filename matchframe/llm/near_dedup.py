@@ -141,15 +141,25 @@ def unique(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: s
     # rows that share an id are told apart by their sets
     shared = docs.join(often.select(F.col("id").alias(id_col)), id_col, "left_semi")
     at, name = docs.columns.index(text), text
+    digest, wordless_, key, other = (free(n, docs.columns) for n in ("d1", "wordless", "id", "d"))
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, name):
             r, h, _, _ = words(b.column(at))
             r, h = shingles(r, h, b.num_rows, size)
             d1, _ = minhash.digest(r, h, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d1), pa.array(np.bincount(r, minlength=b.num_rows) == 0)], names=[*b.schema.names, "_d1", "_wordless"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d1), pa.array(np.bincount(r, minlength=b.num_rows) == 0)], names=[*b.schema.names, digest, wordless_])
 
-    shared = shared.mapInArrow(with_digest, StructType([*docs.schema.fields]).add("_d1", "long").add("_wordless", "boolean"))
-    kept = stay.select(F.col("id").alias("_id"), F.col("d1").alias("_d"))
-    told = shared.where("not _wordless").join(kept, (F.col(id_col) == F.col("_id")) & (F.col("_d1") == F.col("_d")), "left_semi").dropDuplicates([id_col, "_d1"])
-    return out.unionByName(told.drop("_d1", "_wordless")).unionByName(shared.where("_wordless").drop("_d1", "_wordless")).unionByName(docs.where(F.col(id_col).isNull()))
+    shared = shared.mapInArrow(with_digest, StructType([*docs.schema.fields]).add(digest, "long").add(wordless_, "boolean"))
+    kept = stay.select(F.col("id").alias(key), F.col("d1").alias(other))
+    told = shared.where(~F.col(wordless_)).join(kept, (F.col(id_col) == F.col(key)) & (F.col(digest) == F.col(other)), "left_semi").dropDuplicates([id_col, digest])
+    silent = shared.where(wordless_).drop(digest, wordless_)
+    return out.unionByName(told.drop(digest, wordless_)).unionByName(silent).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name`` behind as many underscores as it takes to differ from all names taken, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
