@@ -12,6 +12,8 @@ from matchframe.plans.rated import STATES_SQL
 from matchframe.plans.registry import query
 
 YEARS = [1997, 1998, 1999, 2000, 2001]
+# Decay a day: half-lives of about half a year to ten years.
+RATES = [0.0038, 0.0019, 0.00095, 0.00038, 0.00019]
 _PICK = "case when {0} >= {1} and {0} >= {2} then 0 when {1} >= {2} then 1 else 2 end"
 _TRUTH = "case when home_score > away_score then 2 when home_score = away_score then 1 else 0 end"
 
@@ -40,12 +42,12 @@ def _(v):
 
 @query("walk_forward_goals", "I1", "match_id:l fold:l rate:d5 p_away:d3 p_draw:d3 p_home:d3 outcome:l")
 def _(v):
-    return evaluate.walk_forward_goals(v("matches"), [1999, 2001], [0.0018])
+    return evaluate.walk_forward_goals(v("matches"), YEARS, [0.0018])
 
 
 @query(
     "fold_sums", "I1", "fit:s home:l away:l cell:s w:d6 wh:d6 wa:d6",
-    f"""with f as (select * from (values (1999, 0.0018e0, '1999|0.0018'), (2001, 0.0018e0, '2001|0.0018'), (1999, 0.00038e0, '1999|0.00038'), (2001, 0.00038e0, '2001|0.00038')) t(y, xi, fit))
+    f"""with f as (select * from (values {", ".join(f"({y}, {xi!r}::double, '{y}|{xi!r}')" for y in YEARS for xi in RATES)}) t(y, xi, fit))
         select fit, home_team as home, away_team as away,
           case when home_score <= 1 and away_score <= 1 then home_score || '' || away_score else '' end as cell,
           sum(exp(-xi * date_diff('day', date, make_timestamp(y, 1, 1, 0, 0, 0)))) as w,
@@ -54,7 +56,7 @@ def _(v):
         from matches join f on extract(year from date) < y group by 1, 2, 3, 4""",
 )
 def _(v):
-    return evaluate.fold_sums(v("matches"), [1999, 2001], [0.0018, 0.00038])
+    return evaluate.fold_sums(v("matches"), YEARS, RATES)
 
 
 @query(
@@ -140,9 +142,9 @@ def _(v):
     "sweep_decay_rates", "I7", "rate:d5 log_loss:d3 best:b",
 )
 def _(v):
-    predicted = evaluate.walk_forward_goals(v("matches"), [1999, 2001], [0.0018, 0.00038])
+    predicted = evaluate.walk_forward_goals(v("matches"), YEARS, RATES)
     scored = evaluate.score3(predicted, ["fold", "rate"])
-    return evaluate.sweep(scored, "rate", [0.0018, 0.00038])[1]
+    return evaluate.sweep(scored, "rate", RATES)[1]
 
 
 _BINARY_LL = "case when outcome = 2 then -ln(least(greatest({0}, 1e-6), 1 - 1e-6)) else -ln(1 - least(greatest({0}, 1e-6), 1 - 1e-6)) end"

@@ -253,7 +253,7 @@ def _(v):
 def _(v):
     rows = labelled(v)
     scaled = outcome.standardise(rows, rows, FEATURES)
-    return outcome.mlp_predict(scaled, outcome.mlp(scaled, FEATURES, max_iter=30))
+    return outcome.mlp_predict(scaled, outcome.mlp(scaled, FEATURES))
 
 
 @query(

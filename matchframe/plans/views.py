@@ -36,8 +36,7 @@ where event_type = 'error'""",
 select c_nationkey as team, month as rank_date, points,
        rank() over (partition by month order by points desc, c_nationkey) as rnk
 from (select c_nationkey, date_trunc('month', o_orderdate) as month, round(sum(o_totalprice), 2) as points
-      from orders join customer on o_custkey = c_custkey where o_orderdate >= timestamp '1996-01-01 00:00:00'
-      group by 1, 2) t""",
+      from orders join customer on o_custkey = c_custkey group by 1, 2) t""",
     "team_stats": """
 select l_orderkey as fixture_id, l_linestatus as team_side, cast(sum(l_quantity) as bigint) as sot, count(*) as shots
 from lineitem group by l_orderkey, l_linestatus""",
