@@ -17,8 +17,12 @@ def components(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """
     met = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = F.explode(F.array(F.struct(F.col("a").alias("team"), F.col("b").alias("other")), F.struct(F.col("b").alias("team"), F.col("a").alias("other"))))
-    sides = written(met.distinct().select("key", both.alias("s")).select("key", "s.*").distinct())
+    sides = written(met.distinct().select("key", both.alias("s")).select("key", "s.*"))
     labels = written(sides.groupBy("key", "team").agg(F.min("other").alias("m")).select("key", "team", F.least("team", "m").alias("component"), F.lit(True).alias("moved")))
+    # a key with one label is one component
+    apart = labels.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    if apart.isEmpty():
+        return labels.select("key", "team", "component")
     while True:
         near = sides.join(labels.select("key", F.col("team").alias("other"), "component"), ["key", "other"])
         near = near.groupBy("key", "team").agg(F.min("component").alias("near"))
