@@ -97,59 +97,88 @@ def _softmax(scored: DataFrame, names: tuple[str, str, str]) -> DataFrame:
 # --- sums over the rows -----------------------------------------------------------------------------------------
 
 
-def _means(rows: DataFrame, fits: list[Fit], at: str | None) -> list[dict[str, float]]:
-    """Values for missing features of each fit: 0, or the training mean (0 where all are missing); one aggregate for all."""
+def _means(rows: DataFrame, fits: list[Fit], flags: list[str | None]) -> list[dict[str, float]]:
+    """Values for missing features of each fit: 0, or the training mean (0 where all are missing); one aggregate for all.
+
+    ``rows`` are those ``Training`` has written, whose columns f0, f1, ... tell of each of the ``flags`` where it holds.
+    """
     wanted = {(f.only, f.fold, c) for f in fits if f.fill == "mean" for c in f.fill_cols}
     sums = {}
     for k, (only, fold, c) in enumerate(sorted(wanted, key=str)):
-        trains = _trains(only, fold, at)
-        sums[only, fold, c] = (f"m{k}", F.avg(F.when(trains, F.col(c).cast("double"))).alias(f"m{k}"))
+        trains = F.col(f"f{flags.index(only)}") if fold is None else F.col(f"f{flags.index(only)}") & (F.col("at") < fold)
+        sums[only, fold, c] = (f"m{k}", F.avg(F.when(trains, F.col(c))).alias(f"m{k}"))
     found = rows.agg(*[s for _, s in sums.values()]).first() if sums else None
     return [
         {} if f.fill is None else {c: 0.0 if f.fill == "zero" else (found[sums[f.only, f.fold, c][0]] or 0.0) for c in f.fill_cols} for f in fits
     ]
 
 
-def _trains(only: str | None, fold: int | None, at: str | None) -> Column:
-    out = F.lit(True) if fold is None else F.coalesce(F.col(at) < fold, F.lit(False))
-    return out if only is None else out & F.coalesce(F.expr(only), F.lit(False))
+#: Rows that are looked at together: their products stay in a core's cache.
+BLOCK = 2048
 
 
 def _summer(names: list[str], flags: list[str | None], plans: list[tuple]):
-    """Loss, class counts, gradient and Hessian of every plan (number, feature places, fills, fold, flag, coefficients)."""
+    """Loss, class counts, gradient and Hessian of every plan (number, feature places, fills, fold, flag, coefficients).
+
+    Plans with the same features and fills see the same rows, so they share the products of the features; their weights
+    are the columns of one matrix. As a row's probabilities add up to 1, three blocks of the Hessian give all nine.
+    """
+    shared: dict[tuple, list[tuple]] = {}
+    for number, places, fills, fold, flag, w in plans:
+        shared.setdefault((tuple(places), tuple(fills)), []).append((number, fold, flag, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            values = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1) if names else np.zeros((b.num_rows, 0))
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            at = b.column("at").to_numpy(zero_copy_only=False)
-            held = {f: b.column(f"f{k}").to_numpy(zero_copy_only=False) for k, f in enumerate(flags)}
-            for number, places, fills, fold, flag, w in plans:
-                x = values[:, places]
-                for place, v in fills:
-                    x[np.isnan(x[:, place]), place] = v
-                own = ~np.isnan(x).any(axis=1) & held[flag]
-                if fold is not None:
-                    own &= at < fold
-                x = np.concatenate([np.ones((int(own.sum()), 1)), x[own]], axis=1)
-                truth = np.eye(3)[y[own]]
-                z = x @ w.T
-                z -= z.max(axis=1, keepdims=True)
-                log_sum = np.log(np.exp(z).sum(axis=1, keepdims=True))
-                p = np.exp(z - log_sum)
-                gradient = (p - truth).T @ x
-                hessian = np.stack([[x.T @ (x * (p[:, a] * ((a == c) - p[:, c]))[:, None]) for c in range(3)] for a in range(3)]).transpose(0, 2, 1, 3)
-                found = np.concatenate([[-(truth * (z - log_sum)).sum()], truth.sum(axis=0), gradient.ravel(), hessian.ravel()])
-                total[number] = total.get(number, 0) + found
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(begin, BLOCK)
+                values = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]) if names else np.zeros((0, b.num_rows))
+                y = b.column("y").to_numpy(zero_copy_only=False)
+                at = b.column("at").to_numpy(zero_copy_only=False)
+                held = {f: b.column(f"f{k}").to_numpy(zero_copy_only=False) for k, f in enumerate(flags)}
+                for (places, fills), same in shared.items():
+                    x = np.concatenate([np.ones((1, b.num_rows)), values[list(places)]])
+                    for place, v in fills:
+                        x[1 + place, np.isnan(x[1 + place])] = v
+                    own = np.stack([held[flag] if fold is None else held[flag] & (at < fold) for _, fold, flag, _ in same])
+                    own &= ~np.isnan(x).any(axis=0)
+                    used = own.any(axis=0)
+                    if used.all():
+                        sums = _sums_of(x, y, own, np.stack([w for *_, w in same]))
+                    else:
+                        sums = _sums_of(x[:, used], y[used], own[:, used], np.stack([w for *_, w in same]))
+                    for (number, *_), found in zip(same, sums, strict=True):
+                        total[number] = total.get(number, 0) + found
         flat = [pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(flat, names=["fit", "sums"])
 
     return run
 
 
+def _sums_of(x: np.ndarray, y: np.ndarray, own: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A row of sums per plan: loss, class counts, gradient, Hessian. ``own``: (plans, rows), whether a plan trains on a row."""
+    d, plans = len(x), len(w)
+    own = own.astype(float)
+    z = [w[:, c] @ x for c in range(CLASSES)]
+    top = np.maximum(np.maximum(z[0], z[1]), z[2])
+    p = [np.exp(v - top) for v in z]
+    total = p[0] + p[1] + p[2]
+    truth = [(y == c).astype(float) for c in range(CLASSES)]
+    loss = ((np.log(total) + top - sum(v * t for v, t in zip(z, truth, strict=True))) * own).sum(axis=1)
+    p = [v / total * own for v in p]
+    gradient = np.stack([(p[c] - truth[c] * own) @ x.T for c in range(CLASSES)], axis=1)
+    i, j = np.triu_indices(d)
+    products = (x[i] * x[j]).T
+    block = np.empty((CLASSES, plans, d, d))
+    for k, weight in enumerate((p[0] - p[0] * p[0], -p[0] * p[1], p[1] - p[1] * p[1])):
+        block[k][:, i, j] = block[k][:, j, i] = weight @ products
+    h00, h01, h11 = block
+    h02, h12 = -(h00 + h01), -(h01 + h11)
+    hessian = np.stack([h00, h01, h02, h01, h11, h12, h02, h12, -(h02 + h12)]).reshape(CLASSES, CLASSES, plans, d, d).transpose(2, 0, 3, 1, 4)
+    counts = own @ np.stack(truth, axis=1)
+    return np.concatenate([loss[:, None], counts, gradient.reshape(plans, CLASSES * d), hessian.reshape(plans, (CLASSES * d) ** 2)], axis=1)
+
+
 class Training:
     """Rows reduced to what the fits look at, stored once."""
 
@@ -157,13 +186,16 @@ class Training:
         self.fits = fits
         self.names = list(dict.fromkeys(c for f in fits for c in f.features))
         self.flags = list(dict.fromkeys(f.only for f in fits))
-        self.fills = _means(rows, fits, at)
+        filled = [c for f in fits if f.fill == "mean" for c in f.fill_cols]
         flag = [F.coalesce(F.expr(o), F.lit(False)) if o is not None else F.lit(True) for o in self.flags]
-        kept = rows.where(F.col(label).isin(0, 1, 2)).select(
-            *[F.col(c).cast("double").alias(c) for c in self.names], F.col(label).cast("int").alias("y"),
+        used = [*[f"f{k}" for k in range(len(flag))], "y", "at"]
+        kept = rows.select(
+            *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*self.names, *filled])], F.when(F.col(label).isin(0, 1, 2), F.col(label)).cast("int").alias("y"),
             (F.lit(0) if at is None else F.coalesce(F.col(at).cast("int"), F.lit(2**31 - 1))).alias("at"), *[f.alias(f"f{k}") for k, f in enumerate(flag)],
         )
-        self.rows = written(kept)
+        table = written(kept)
+        self.fills = _means(table, fits, self.flags)
+        self.rows = table.where("y is not null").select(*self.names, *used)
 
     def sums(self, coefficients: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(loss, class counts, gradient, Hessian) of the numbered fits at the given coefficients; one job."""

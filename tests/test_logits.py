@@ -121,3 +121,16 @@ def test_short_folds_come_back_with_a_reason(spark, table):
     reasons = {(r.config, r.fold): (r.n_train, r.reason) for r in folds.collect()}
     assert reasons["one", 2000] == (0, "fewer than 150 training rows") and reasons["one", 2004][1] is None and reasons["one", 2001][1] is not None
     assert {(r.config, r.fold) for r in predicted.select("config", "fold").distinct().collect()} == {k for k, v in reasons.items() if v[1] is None}
+
+
+def test_plans_that_share_their_rows_have_the_sums_of_each_alone():
+    rng = np.random.default_rng(3)
+    x, y = np.concatenate([np.ones((1, 400)), rng.normal(size=(3, 400))]), rng.integers(0, 3, 400)
+    own, w = rng.random((5, 400)) < 0.6, rng.normal(size=(5, 3, 4))
+    for mask, c, found in zip(own, w, logits._sums_of(x, y, own, w), strict=True):
+        z = c @ x[:, mask]
+        p = np.exp(z) / np.exp(z).sum(axis=0)
+        truth = np.eye(3)[y[mask]].T
+        hessian = np.einsum("an,ac,in,jn->aicj", p, np.eye(3), x[:, mask], x[:, mask]) - np.einsum("an,cn,in,jn->aicj", p, p, x[:, mask], x[:, mask])
+        plain = np.concatenate([[-(truth * np.log(p)).sum()], truth.sum(axis=1), ((p - truth) @ x[:, mask].T).ravel(), hessian.ravel()])
+        assert np.allclose(found, plain, rtol=1e-9, atol=1e-9)
