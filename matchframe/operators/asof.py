@@ -5,7 +5,7 @@ That keeps a join linear in its rows, and a key with very many rows is cut into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.functions.dates import snapshot_key
@@ -145,6 +145,55 @@ def active_interval(
     return reached.select("_left.*", covered.alias(out))
 
 
+def _events(values: DataFrame, by: str, value_tie: list[str], spells: DataFrame | None, spell_cols: tuple[str, str]) -> DataFrame:
+    """Values (column ``date``) and starts of spells as rows (by, time, tie, value in a struct or null, end of the spell or null)."""
+    tie = F.array(*[F.col(c).cast("long") for c in value_tie]).alias(_TIE)
+    dated = values.filter(F.col("date").isNotNull() & F.col(by).isNotNull())
+    rows = dated.select(by, F.col("date").cast("timestamp_ntz").alias(_AT), tie, F.struct("value").alias("_value"), F.lit(None).cast("timestamp_ntz").alias("_end"))
+    if spells is None:
+        return rows
+    start, end = spell_cols
+    begun = spells.filter(F.col(start).isNotNull() & F.col(by).isNotNull())
+    return rows.unionByName(begun.select(by, F.col(start).cast("timestamp_ntz").alias(_AT), F.col(end).cast("timestamp_ntz").alias("_end")), allowMissingColumns=True)
+
+
+def known_at(
+    asked: DataFrame, values: DataFrame, by: str, on: str, value_tie: list[str],
+    spells: DataFrame | None = None, spell_cols: tuple[str, str] = ("from_date", "end_date"),
+) -> DataFrame:
+    """(by, on, value, injured) for the pairs of ``asked``, which differ and are not null: the latest value until the
+    time, null without one, and whether a spell covers the time (both ends included). One pass serves both."""
+    events = _events(values, by, value_tie, spells, spell_cols).withColumn(_SIDE, F.lit(0))
+    times = asked.select(by, F.col(on).alias("_on"), F.col(on).cast("timestamp_ntz").alias(_AT), F.lit(1).alias(_SIDE))
+    order = [_AT, _SIDE, _TIE] if value_tie else [_AT, _SIDE]
+    rows = times.unionByName(events, allowMissingColumns=True).select(by, *order, "_on", "_value", "_end")
+    known = running(rows, [by], order, {"_hit": ("last", F.col("_value")), "_reach": ("max", F.col("_end"))}).filter(f"{_SIDE} = 1")
+    return known.select(by, F.col("_on").alias(on), F.col("_hit.value").alias("value"), F.coalesce(F.col("_reach") >= F.col(_AT), F.lit(False)).alias("injured"))
+
+
+def daily_states(
+    values: DataFrame, by: str, value_tie: list[str], spells: DataFrame | None = None, spell_cols: tuple[str, str] = ("from_date", "end_date"),
+) -> DataFrame:
+    """(by, day, until, value, reach): what is known of an entity at midnight of each day from ``day`` to the one before
+    ``until`` (null: from then on); a spell covers such a day if ``reach`` is not before it. Days without a value are left out.
+
+    At most one row a day, so an entity has no more rows than days, however many values it has.
+    """
+    midnight = F.to_date(_AT)
+    day = F.when(midnight.cast("timestamp_ntz") < F.col(_AT), F.date_add(midnight, 1)).otherwise(midnight)
+    at = F.struct(_AT, _TIE) if value_tie else F.col(_AT)
+    is_value = F.col("_value").isNotNull()
+    daily = _events(values, by, value_tie, spells, spell_cols).groupBy(by, day.alias("day")).agg(
+        F.max_by(F.col("_value.value"), F.when(is_value, at)).alias("value"), F.max(is_value).alias("_known"), F.max("_end").alias("_end")
+    )
+    so_far = Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    held = daily.select(
+        by, "day", F.lead("day").over(Window.partitionBy(by).orderBy("day")).alias("until"),
+        F.last(F.when(F.col("_known"), F.struct("value")), ignorenulls=True).over(so_far)["value"].alias("value"), F.max("_end").over(so_far).alias("reach"),
+    )
+    return held.filter(F.col("value").isNotNull())
+
+
 def snapshots(df: DataFrame, entities: list[str], date: str, grain: str = "month", out: str = "snapshot") -> DataFrame:
     """Distinct (entity, snapshot date) pairs of all entity columns: what has to be computed once."""
     listed = F.array(*[F.col(c) for c in entities])

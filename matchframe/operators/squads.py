@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.functions.dates import age_at, snapshot_key
-from matchframe.operators.asof import active_interval, asof, eligible_at, snapshots
+from matchframe.operators.asof import active_interval, asof, daily_states, eligible_at, known_at, snapshots
 from matchframe.operators.ordered import top_per_group
-from matchframe.session import durable
+from matchframe.session import durable, written
 
 FEATURES = [
     "total_value", "mean_value", "top_n_value", "outfield_mean_age", "gk_mean_age", "n_outfield", "n_gk",
@@ -18,9 +18,9 @@ FEATURES = [
 
 def squad_features(
     players: DataFrame, keys: list[str], top_n: int = 23, n_gk: int = 3, player: str = "player_id",
-    value: str = "value", age: str = "age", is_gk: str = "is_gk", injured: str | None = None,
+    value: str = "value", age: str = "age", is_gk: str = "is_gk", injured: str | None = None, sizes: bool = True,
 ) -> DataFrame:
-    """Value, age, concentration and injury features of each squad's most valuable players.
+    """Value, age, concentration and injury features of each squad's most valuable players; ``n_players`` only with ``sizes``.
 
     The best ``top_n`` of each role hold every player any feature looks at, so all but those are cut before the
     shuffle (row-number limits run on both sides of it) and the rest works on a bounded squad.
@@ -61,8 +61,7 @@ def squad_features(
         F.max(((F.col("_rank") == 1) & F.col("_sick")).cast("int")).alias("injured_top1"),
         F.coalesce(share(total(top3 & F.col("_sick")), total(top3)), F.lit(0.0)).alias("injured_top3_share"),
     )
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_players"))
-    return features.join(sizes, keys)
+    return features.join(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_players")), keys) if sizes else features
 
 
 def _valued(
@@ -109,16 +108,21 @@ def historical_squad_value(
     is_gk: Column | None = None, age: Column | None = None, min_age: float = 17, max_age: float = 37,
     top_n: int = 23, n_gk: int = 3, value_tie: list[str] | None = None, spell_cols: tuple[str, str] = ("from_date", "end_date"),
 ) -> DataFrame:
-    """Squad features of everybody eligible for a team at a snapshot; a team nobody appeared for gets a missing row."""
-    pool = eligible_at(
-        snaps, appearances, profiles, team, "player_id", date, age_at(F.col(date), F.col(born)) if age is None else age,
-        born, min_age, max_age,
-    ).withColumn("is_gk", is_gk if is_gk is not None else F.coalesce(F.col("main_position") == "Goalkeeper", F.lit(False)))
-    slim = pool.select(team, date, "player_id", "age", "is_gk")
-    # Read three times below, so stored once.
-    valued = durable(_valued(slim, values, date, [team, "player_id"], value_tie or [], spells, spell_cols))
-    eligible = valued.groupBy(team, date).agg(F.count(F.lit(1)).alias("n_eligible"))
-    features = squad_features(valued.filter(F.col("value").isNotNull()), [team, date], top_n, n_gk, injured="injured")
+    """Squad features of everybody eligible for a team at a snapshot; a team nobody appeared for gets a missing row.
+
+    A player's value at a date is looked up once, whatever the number of teams the player is eligible for.
+    """
+    members = written(appearances.select(team, "player_id").distinct())
+    years = age_at(F.col(date), F.col(born)) if age is None else age
+    asked = eligible_at(snaps, members, profiles, team, "player_id", date, years, born, min_age, max_age).select("player_id", date).distinct()
+    known = written(known_at(asked, values, "player_id", date, value_tie or [], spells, spell_cols))
+    # the lookups join the players first, so members are shuffled by player only
+    dated = members.join(profiles.filter(F.col(born).isNotNull()).join(known, "player_id"), "player_id").join(snaps, [team, date])
+    pool = dated.withColumn("age", years).filter(F.col("age").between(min_age, max_age))
+    pool = pool.withColumn("is_gk", is_gk if is_gk is not None else F.coalesce(F.col("main_position") == "Goalkeeper", F.lit(False)))
+    valued = pool.select(team, date, "player_id", "age", "is_gk", "value", "injured")
+    eligible = valued.groupBy(team, date).agg(F.count(F.lit(1)).alias("n_eligible"), F.nullif(F.count("value"), F.lit(0)).alias("n_players"))
+    features = squad_features(valued.filter(F.col("value").isNotNull()), [team, date], top_n, n_gk, injured="injured", sizes=False)
     rows = snaps.select(team, date).distinct().join(eligible, [team, date], "left").join(features, [team, date], "left")
     return rows.withColumn("missing", F.col("n_with_value").isNull())
 
@@ -161,21 +165,28 @@ def roster_features(
 
     ``as_of`` is the date features are taken at: 1 June of the tournament year, or each match date.
     """
-    born = people.select("roster_id", "birth_date")
-    joined = rosters.join(links.select("roster_id", "player_id"), "roster_id", "left").join(born, "roster_id", "left")
-    matched = joined.filter(F.col("player_id").isNotNull() & F.col("birth_date").isNotNull()).withColumn(
-        "age", age_at(F.col("as_of"), F.col("birth_date")) if age is None else age
-    )
+    joined = rosters.join(links.select("roster_id", "player_id"), "roster_id", "left").join(people.select("roster_id", "birth_date"), "roster_id", "left")
+    joined = written(joined.select(*keys, "roster_id", "player_id", "birth_date", "is_gk"))
+    matched = _matched(joined)
     support = joined.groupBy(*keys).agg(
         F.count_distinct("roster_id").alias("n_roster"),
         F.count_distinct(F.when(F.col("birth_date").isNotNull(), F.col("player_id"))).alias("n_matched"),
     )
-    people_rows = matched.select(*keys, "roster_id", "player_id", "age", "is_gk")
-    valued = durable(_valued(people_rows, values, "as_of", ["roster_id"], value_tie or [], spells, spell_cols))
-    features = squad_features(valued.filter(F.col("value").isNotNull()), list(keys), top_n, n_gk, injured="injured")
+    asked = matched.filter(F.col("as_of").isNotNull()).select("player_id", "as_of").distinct()
+    known = known_at(asked, values, "player_id", "as_of", value_tie or [], spells, spell_cols).filter(F.col("value").isNotNull())
+    valued = matched.join(known, ["player_id", "as_of"]).withColumn("age", _roster_age(age))
+    features = squad_features(durable(valued.select(*keys, "player_id", "value", "age", "is_gk", "injured")), list(keys), top_n, n_gk, injured="injured")
     return support.join(features, list(keys), "left").withColumn("missing", F.col("n_with_value").isNull())
 
 
+def _matched(joined: DataFrame) -> DataFrame:
+    return joined.filter(F.col("player_id").isNotNull() & F.col("birth_date").isNotNull())
+
+
+def _roster_age(age: Column | None) -> Column:
+    return age_at(F.col("as_of"), F.col("birth_date")) if age is None else age
+
+
 def tournament_start(year: Column) -> Column:
     """Default date of roster features."""
     return F.make_date(year, F.lit(6), F.lit(1))
@@ -196,14 +207,49 @@ def roster_features_for_matches(
     wanted = matches.select(
         F.explode(listed).alias("team"), F.col(tournament).alias("tournament"), F.to_date("date").alias("as_of")
     ).distinct()
-    dated = rosters.join(wanted, ["team", "tournament"])
-    features = roster_features(dated, links, people, values, spells, **options).filter(
-        ~F.col("missing") & (F.col("n_matched") >= min_matched)
-    )
+    features = _rosters_on_dates(rosters, wanted.filter(F.col("as_of").isNotNull()), links, people, values, spells, min_matched, **options)
     keyed = matches.withColumn("_day", F.to_date("date"))
     return attach_to_sides(keyed, features, {tournament: "tournament", "_day": "as_of"}, "team", cols).drop("_day")
 
 
+def _rosters_on_dates(
+    rosters: DataFrame, dates: DataFrame, links: DataFrame, people: DataFrame, values: DataFrame, spells: DataFrame | None,
+    min_matched: int, top_n: int = 23, n_gk: int = 3, value_tie: list[str] | None = None,
+    spell_cols: tuple[str, str] = ("from_date", "end_date"), age: Column | None = None,
+) -> DataFrame:
+    """Squad features and n_matched of rosters at every date (team, tournament, as_of) of their tournament, where there are
+    valued players and at least ``min_matched`` matched ones.
+
+    Rosters are not copied to dates: a player's value holds over a span of days, and of all players whose value holds over
+    the same dates, the best ``top_n`` of each role are all that these dates can need. Only those are copied. Spans are
+    looked up year by year, so that a lookup is of bounded size.
+    """
+    keys = ["team", "tournament"]
+    year = F.year("as_of").alias("_year")
+    asked = written(dates.groupBy(*keys, year).agg(F.sort_array(F.collect_set("as_of")).alias("_days")))
+    linked = rosters.join(asked.select(*keys).distinct(), keys).join(links.select("roster_id", "player_id"), "roster_id")
+    linked = linked.join(people.select("roster_id", "birth_date"), "roster_id")
+    matched = written(_matched(linked).select(*keys, "player_id", "birth_date", F.coalesce("is_gk", F.lit(False)).alias("is_gk")))
+    support = matched.groupBy(*keys).agg(F.count_distinct("player_id").alias("n_matched")).filter(F.col("n_matched") >= min_matched)
+
+    ends = asked.agg(F.max(F.array_max("_days")).alias("_last"), F.min("_year").alias("_from"))
+    spans = daily_states(values, "player_id", value_tie or [], spells, spell_cols).crossJoin(F.broadcast(ends)).filter("day <= _last")
+    years = F.sequence(F.greatest(F.year("day"), "_from"), F.year(F.least(F.date_sub("until", 1), "_last")))
+    spans = spans.filter("until is null or year(date_sub(until, 1)) >= _from").select("player_id", F.struct("day", "until", "value", "reach").alias("s"), F.explode(years).alias("_year"))
+    spans = spans.groupBy("player_id", "_year").agg(F.collect_list("s").alias("_spans"))
+
+    held = matched.join(asked, keys).join(spans, ["player_id", "_year"])
+    near = F.filter("_spans", lambda s: (s["day"] <= F.get("_days", F.size("_days") - 1)) & (s["until"].isNull() | (s["until"] > F.get("_days", F.lit(0)))))
+    held = held.select(*keys, "player_id", "birth_date", "is_gk", "_days", F.explode(near).alias("s"))
+    low = F.array_min(F.filter("_days", lambda d: d >= F.col("s.day"))).alias("_low")
+    high = F.array_max(F.filter("_days", lambda d: F.col("s.until").isNull() | (d < F.col("s.until")))).alias("_high")
+    held = held.select(*keys, "player_id", "birth_date", "is_gk", low, high, "s.value", "s.reach").filter("_low <= _high")
+    best = top_per_group(held, [*keys, "is_gk", "_low", "_high"], [F.col("value").desc(), F.col("player_id")], top_n)
+    on = best.join(dates.distinct(), keys).filter("as_of between _low and _high").withColumn("age", _roster_age(age))
+    on = on.withColumn("injured", F.coalesce(F.col("reach") >= F.col("as_of").cast("timestamp_ntz"), F.lit(False)))
+    return squad_features(on, [*keys, "as_of"], top_n, n_gk, injured="injured", sizes=False).join(support, keys)
+
+
 def overlay(primary: DataFrame, fallback: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Fallback rows with the primary's values where there are any."""
     first = primary.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in cols])
