@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from matchframe.llm.store import stored
-from matchframe.llm.text import bytes_of, mix, pieces, words
+from matchframe.llm.text import bytes_of, mix, pieces, release, words
 
 #: Most labelled documents that are fitted on (smallest hashes of doc_id), and hashed features of the text view.
 LABELLED, BUCKETS = 12000, 1 << 17
@@ -411,6 +411,7 @@ def _features(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             pages = page.feature.reshape(2, n).T.astype(np.int32)
             cols = [b.column(0), b.column(4), pa.array(lens, pa.int32()), *(pa.array(c, pa.binary()) for c in (cut(text.feature.astype(np.int32)), cut(text.value.astype(np.float32)), [p.tobytes() for p in pages], [d.tobytes() for d in page.dense]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "n", "feature", "value", "page", "dense"])
+        release()
 
     return run
 
@@ -434,6 +435,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             meta = [b.column(names.index(c)).cast(pa.string()).to_pylist() if c in names else [None] * b.num_rows for c in ("lang", "source")]
             found = sent.value.scores(text_rows(column, sent.value.text.weights != 0), page_rows(column, *meta))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in found)], names=schema.names)
+        release()
 
     return docs.mapInArrow(run, schema)
 

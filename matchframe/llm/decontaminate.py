@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.llm.text import LOWER, bytes_of, pieces
+from matchframe.llm.text import LOWER, bytes_of, pieces, release
 
 Q = 8
 #: Edits per character of an item; items of fewer bytes are too short to prove a leak and take no part.
@@ -253,6 +253,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, *_ in index.value.search(fold(data), offsets)] if len(data) else []] = False
                 yield b.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from matchframe.llm import minhash
 from matchframe.llm.linking import bit_map, in_map, link, slot_of
-from matchframe.llm.text import blobs, mix, pieces, shingles, words
+from matchframe.llm.text import blobs, mix, pieces, release, shingles, words
 from matchframe.llm.store import stored
 
 SYMBOLS, CHUNKS, BITS = 32, 8, 16
@@ -65,6 +65,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SYMBOLS, pa.int32()), pa.array(keys.ravel()))
             cols = [b.column(0), pa.array(count), pa.array(d1), pa.array(d2), minhash.sketch(rows, hashes, n), flat]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "d1", "d2", "sketch", "keys"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -82,6 +83,7 @@ def sets(docs: DataFrame, size: int, needed: np.ndarray, id_col: str = "doc_id",
                 rows, hashes = shingles(rows, hashes, n, size)
                 d1, _ = minhash.digest(rows, hashes, n)
                 yield pa.RecordBatch.from_arrays([pa.array(d1), blobs(hashes, np.bincount(rows, minlength=n))], names=["id", "set"])
+        release()
 
     return docs.select(slot_of(F.col(id_col).cast("long")).alias("slot"), F.col(text).alias("text")).mapInArrow(run, "id long, set binary")
 

@@ -12,12 +12,14 @@ import hashlib
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructType
 
+from matchframe.llm.text import pieces, release
+
 KINDS = ("assign", "access", "hex", "guess")
 #: The three patterns and their least lengths.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -134,9 +136,10 @@ def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, text):
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in secrets(t, min_guesses)] for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "secret_spans"])
+        release()
 
     span = StructType().add("start", "integer").add("end", "integer").add("kind", "string")
     schema = StructType([*docs.schema.fields]).add("secret_spans", ArrayType(span))
@@ -145,14 +148,19 @@ def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES)
 
 def mask(docs: DataFrame, text: str = "text", mark: str = "[secret]", min_guesses: float = MIN_GUESSES) -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one mark."""
-    at = docs.columns.index(text)
+    return docs.mapInArrow(masking(docs.columns.index(text), text, mark, min_guesses), docs.schema)
+
+
+def masking(at: int, text: str, mark: str, min_guesses: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the texts of column ``at``, called ``text``, masked; a piece of a batch at a time, whatever its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, text):
             new = pa.array([masked(t, mark, min_guesses) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), new)
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
 
 
 def masked(text: str | None, mark: str = "[secret]", min_guesses: float = MIN_GUESSES) -> str | None:
@@ -174,7 +182,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = secrets(t)
@@ -185,6 +193,7 @@ def digest(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        release()
 
     out = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, out)

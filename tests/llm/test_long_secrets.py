@@ -4,9 +4,11 @@ import random
 import string
 import time
 
+import pyarrow as pa
 import pytest
 
 from matchframe.llm import secret_scan
+from matchframe.llm.text import PIECE_BYTES
 
 
 @pytest.mark.parametrize("context", ["private_key: ", "pwd=", "auth => ", "password: %"])
@@ -39,3 +41,11 @@ def test_repeats_reach_as_far_as_their_units_do():
                 if j - i >= max(3, 2 * unit):
                     want.add((i, j))
         assert {(i, j) for i, j, _, kind in secret_scan.spans_of(v) if kind == "repeat"} == want
+
+
+def test_texts_are_masked_a_piece_at_a_time():
+    texts = [f"{'words of a text ' * 3000}token: kx81Hq0zPw77LmQ2 {i}" for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts)], names=["doc_id", "text"])
+    got = list(secret_scan.masking(1, "text", "[secret]", secret_scan.MIN_GUESSES)(iter([batch])))
+    assert max(b.column(1).nbytes for b in got) < 2 * PIECE_BYTES
+    assert [t for b in got for t in b.column(1).to_pylist()] == [secret_scan.masked(t) for t in texts]
