@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.llm.minhash import SKETCH_BINS, SKETCH_LONGS
-from matchframe.llm.store import stored
+from matchframe.llm.store import dropped, stored
 from matchframe.llm.text import release
 
 #: Rounds in which keys offer partners before the rest is tested.
@@ -114,7 +114,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     """(id, component) for every item that is linked with another one.
 
     ``items``: id (unique), size, sketch, keys (array of longs), with no two equal sets; ``sets_of`` gives (id, set) of the
-    items in a table of ids. ``component`` is the smallest id of the class.
+    items in a table of ids, as a table of ``stored`` that is dropped here. ``component`` is the smallest id of the class.
     """
     narrow = items.select("id", "size", "sketch")
     keyed = items.select("id", F.explode("keys").alias("key"))
@@ -135,12 +135,15 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
         if pairs.isEmpty():
             continue
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        new = stored(confirm(pairs, sets_of(ends), percent))
+        sets = sets_of(ends)
+        new = stored(confirm(pairs, sets, percent))
+        dropped(sets)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             classes = components(links)
     rest = _between_classes(members, items, classes, sets_of, percent)
+    dropped(members)
     if rest is not None and not rest.isEmpty():
         classes = components(rest if links is None else links.unionByName(rest))
     if classes is None:
@@ -192,19 +195,24 @@ def _between_classes(members: DataFrame, items: DataFrame, classes: DataFrame |
     turn = F.size(F.array_distinct("a")) > F.size(F.array_distinct("b"))
     sides = [("block_a", "block_b"), ("block_b", "block_a"), ("a", "b"), ("b", "a")]
     lists = stored(lists.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in sides]))
+    dropped(left, chunks)
     if lists.isEmpty():
         return None
     used = lists.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")).distinct()
     inside = stored(block_of.join(used, "id", "left_semi"))
-    blocks = sets_of(inside.select("id")).join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "class", "set")).alias("sets"))
+    sets = sets_of(inside.select("id"))
+    blocks = sets.join(inside, "id").groupBy("block").agg(F.collect_list(F.struct("id", "class", "set")).alias("sets"))
     blocks = stored(blocks)
+    dropped(sets)
     first = blocks.select(F.col("block").alias("block_a"), F.col("sets").alias("sets_a"))
     second = blocks.select(F.col("block").alias("block_b"), F.col("sets").alias("sets_b"))
     work = lists.withColumn("ids_a", F.array_distinct("a")).withColumn("ids_b", F.array_distinct("b")).join(first, "block_a")
     alone = work.where("block_a = block_b").select("a", "b", "sets_a", F.expr("filter(sets_a, x -> false)").alias("sets_b"))
     across = work.where("block_a <> block_b").withColumn("sets_a", F.expr("filter(sets_a, x -> array_contains(ids_a, x.id))")).join(second, "block_b")
     across = across.select("a", "b", "sets_a", F.expr("filter(sets_b, x -> array_contains(ids_b, x.id))").alias("sets_b"))
-    return stored(alone.unionByName(across).mapInArrow(_verified(percent), "a long, b long"))
+    found = stored(alone.unionByName(across).mapInArrow(_verified(percent), "a long, b long"))
+    dropped(block_of, lists, inside, blocks)
+    return found
 
 
 def _columns(rows: pa.Array, names: list[str]) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ paragraph (smallest doc_id, then place) stays. Paragraphs with equal shingle set
 
 A run is ``LEAST`` words or more, whatever lines they stand on, that stand in the same order elsewhere too. Of the hashes of
 25 words from all places, the least of each 26 neighbours is a mark, so every 50 words hold one, and equal runs an equal one.
-Only around marks that occur twice are all ``LEAST`` words hashed and looked up. Places whose first occurrences follow one
+Only ``LEAST`` words whose mark occurs twice are hashed and looked up. Places whose first occurrences follow one
 another form a run, and its class is the run of those first occurrences. No pairs are formed: rows grow with the words.
 """
 
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.llm import minhash
 from matchframe.llm.linking import MAP_BITS, bit_map, in_map, link, slot_of
-from matchframe.llm.store import stored
-from matchframe.llm.text import blobs, bytes_of, mix, pieces, shingles, words
+from matchframe.llm.store import dropped, stored
+from matchframe.llm.text import blobs, bytes_of, mix, pieces, release, rolled, shingles, words
 
 LEAST, WORDS, PERCENT = 50, 5, 80
 ROWS, MISS = 4, 5e-4
@@ -74,6 +74,7 @@ def paragraphs(docs: DataFrame, bands: int, least: int = LEAST, text: str = "tex
             cols = [b.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in whole)]
             cols += [pa.array(minhash.digest(lines, h, m)[0]), pa.array(np.bincount(lines, minlength=m).astype(np.int64)), minhash.sketch(lines, h, m), keys]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "paragraph", "start", "end", "n_words", "id", "size", "sketch", "keys"])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.where("doc_id is not null and text is not null").mapInArrow(run, schema)
@@ -95,31 +96,32 @@ def _sets(docs: DataFrame, least: int, in_docs: np.ndarray, in_ids: np.ndarray)
                 ids = minhash.digest(lines, h, m)[0]
                 wanted = in_map(sent.value[1], ids & (MAP_BITS - 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), blobs(h[wanted[lines]], np.bincount(lines, minlength=m)[wanted])], names=["id", "set"])
+        release()
 
     return docs.mapInArrow(run, "id long, set binary")
 
 
-def _rolled(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from every place."""
-    m = max(0, len(h) - size + 1)
-    odd = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-    out = np.zeros(m, np.uint64)
-    for j in range(size):
-        out += h[j : j + m] * odd[j]
-    return mix(out)
+def _least(value: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` neighbours the place of the least value, the last one of equals."""
+    if len(value) < width:
+        return np.zeros(0, np.int64)
+    at, size = np.arange(len(value)), 1
+    while size < width:
+        step = min(size, width - size)
+        later = value[step:] <= value[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        value = np.where(later, value[step:], value[:-step])
+        size += step
+    return at
 
 
-def _marked(row: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of the marks: every ``least`` words of a row hold one, the last of the least hashes in them."""
+def _marked(row: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all ``least`` words from a place: whether they are of one row, the word of their mark (the last of the least hashes in
+    them); and the hashes of the marks from every word."""
     size = (least + 1) // 2
-    whole = np.flatnonzero(row[: max(0, len(row) - least + 1)] == row[least - 1 :])
-    if not len(whole):
-        return whole, np.zeros(0, np.uint64)
-    value = _rolled(h, size)
-    window = np.lib.stride_tricks.sliding_window_view(value, least - size + 1)
-    parts = np.array_split(whole, len(whole) // 65536 + 1)
-    at = np.unique(np.concatenate([part + least - size - np.argmin(window[part][:, ::-1], axis=1) for part in parts]))
-    return at, value[at]
+    value = rolled(h, size)
+    mark = _least(value, least - size + 1)
+    return row[: len(mark)] == row[len(row) - len(mark) :], mark, value
 
 
 def _places(column: pa.Array):
@@ -143,17 +145,31 @@ def _marks(source: DataFrame, least: int) -> DataFrame:
             of = np.flatnonzero(n >= least)
             if not len(of):
                 continue
-            at, mark = _marked(row, h, least)
+            whole, mark, value = _marked(row, h, least)
+            at = np.unique(mark[whole])
             edges = np.append(np.searchsorted(row[at], of), len(at))
-            marks = pa.StructArray.from_arrays([pa.array(mark.view(np.int64)), pa.array((at - first[row[at]]).astype(np.int32))], names=["mark", "place"])
+            marks = pa.StructArray.from_arrays([pa.array(value[at].view(np.int64)), pa.array((at - first[row[at]]).astype(np.int32))], names=["mark", "place"])
             head, tail = first[of], first[of] + n[of] - 1
             cols = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (n[of], line[head], line[tail], start[head], end[tail]))]
             cols.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), marks))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "copy", "n_words", "line", "last", "start", "end", "marks"])
+        release()
 
     return source.mapInArrow(run, schema)
 
 
+def _holding(source: DataFrame, in_docs: np.ndarray) -> DataFrame:
+    """``source`` (slot, doc_id, copy, text) without slot, of documents in the map."""
+    sent = source.sparkSession.sparkContext.broadcast(in_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_map(sent.value, b.column(0).to_numpy()))).select([1, 2, 3])
+        release()
+
+    return source.select("slot", "doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, text string")
+
+
 def _apart(row: np.ndarray, gram: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
     """Which places to keep so that equal words of one row do not overlap, as they do in "a a a": the first, then the next free."""
     keep = np.ones(len(place), bool)
@@ -172,7 +188,7 @@ def _apart(row: np.ndarray, gram: np.ndarray, place: np.ndarray, least: int) ->
 
 
 def _around(marked: DataFrame, least: int) -> DataFrame:
-    """(doc_id, copy, place, line, last, start, end, gram) of all ``least`` words that hold one of the marks at ``places``.
+    """(doc_id, copy, place, line, last, start, end, gram) of all ``least`` words whose mark is one of those at ``places``.
 
     ``marked`` has doc_id, copy, text and places.
     """
@@ -180,17 +196,17 @@ def _around(marked: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             row, h, first, line, start, end = _places(b.column(2))
-            gram = _rolled(h, least)
+            gram = rolled(h, least)
             marks = b.column(3)
-            at = marks.flatten().to_numpy() + np.repeat(first, pc.list_value_length(marks).to_numpy())
-            holds = np.zeros(len(gram) + 1, np.int64)
-            np.add.at(holds, np.clip(at - (least - (least + 1) // 2), 0, len(gram)), 1)
-            np.add.at(holds, np.clip(at + 1, 0, len(gram)), -1)
-            place = np.flatnonzero((np.cumsum(holds)[:-1] > 0) & (row[: len(gram)] == row[least - 1 :]))
+            shared = np.zeros(len(h), bool)
+            shared[marks.flatten().to_numpy() + np.repeat(first, pc.list_value_length(marks).to_numpy())] = True
+            whole, mark, _ = _marked(row, h, least)
+            place = np.flatnonzero(whole & shared[mark])
             place = place[_apart(row[place], gram[place], place, least)]
             of, tail = pa.array(row[place]), place + least - 1
             cols = [b.column(0).take(of), b.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (place - first[row[place]], line[place], line[tail], start[place], end[tail]))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gram[place].view(np.int64))], names=["doc_id", "copy", "place", "line", "last", "start", "end", "gram"])
+        release()
 
     return marked.select("doc_id", "copy", "text", "places").mapInArrow(run, "doc_id long, copy long, place int, line int, last int, start int, end int, gram long")
 
@@ -202,31 +218,48 @@ def runs(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     Rows whose own place is their first are the classes; a class's other rows have their ``head_place`` inside it. A text
     that is equal to another's is one run as a whole.
     """
-    source = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    source = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    every = stored(_marks(source, least).dropDuplicates(["doc_id", "copy"]))
-    firsts = every.groupBy("copy").agg(F.min("doc_id").alias("head_doc"), F.count(F.lit(1)).alias("n"))
-    spread = stored(every.join(firsts, "copy"))
-    same = spread.where("n > 1").select(
+    source = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = source.where(F.col("doc_id").isNotNull()).select(slot_of(F.col("doc_id")).alias("slot"), "doc_id", F.xxhash64("text").alias("copy"), "text")
+    every = stored(_marks(source.select("doc_id", "copy", "text"), least))
+    texts = every.drop("marks").dropDuplicates(["doc_id", "copy"])
+    firsts = stored(texts.groupBy("copy").agg(F.min("doc_id").alias("head_doc"), F.count(F.lit(1)).alias("n")))
+    same = stored(texts.join(firsts.where("n > 1"), "copy").select(
         "doc_id", "copy", "line", "last", "start", "end", "n_words", "head_doc", F.col("copy").alias("head_copy"),
         F.col("line").alias("head_line"), F.col("last").alias("head_last"), F.lit(0).alias("head_place"), F.lit(0).alias("place"),
-    )
-    marks = spread.where("doc_id = head_doc").select("doc_id", "copy", F.explode("marks").alias("m")).select("doc_id", "copy", "m.mark", "m.place")
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    hits = marks.join(shared, "mark").groupBy("doc_id", "copy").agg(F.collect_list("place").alias("places"))
-    grams = stored(_around(source.join(hits, ["doc_id", "copy"]), least).dropDuplicates(["doc_id", "copy", "place"]))
-    heads = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "copy", "place", "line", "last")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = grams.join(heads.select("gram", "head"), "gram")
-    # places of a run keep their distance from their first occurrences
-    at = F.struct("place", "line", "last", "start", "end", F.col("head.place").alias("head_place"), F.col("head.line").alias("head_line"), F.col("head.last").alias("head_last"))
-    key = ["doc_id", "copy", F.col("head.doc_id").alias("head_doc"), F.col("head.copy").alias("head_copy"), (F.col("place") - F.col("head.place")).alias("apart")]
-    lists = placed.select(*key, at.alias("at")).groupBy("doc_id", "copy", "head_doc", "head_copy", "apart").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    lists = lists.withColumn("begins", F.expr("filter(sequence(0, size(ats) - 1), i -> i = 0 or ats[i].place <> ats[i - 1].place + 1)"))
-    ends = F.expr("transform(begins, (i, k) -> struct(ats[i] as a, ats[coalesce(get(begins, k + 1), size(ats)) - 1] as z))")
-    found = lists.select("doc_id", "copy", "head_doc", "head_copy", F.explode(ends).alias("r")).select(
-        "doc_id", "copy", "r.a.line", "r.z.last", "r.a.start", "r.z.end", (F.col("r.z.place") - F.col("r.a.place") + least).alias("n_words"),
-        "head_doc", "head_copy", "r.a.head_line", "r.z.head_last", "r.a.head_place", "r.a.place",
-    )
+    ))
+    # equal texts have their marks at equal places, which count once
+    marks = every.select("copy", F.explode("marks").alias("m")).select("copy", "m.mark", "m.place")
+    spot = F.xxhash64("copy", "place")
+    shared = marks.groupBy("mark").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high")
+    shared = stored(shared.select("mark"))
+    hits = marks.join(shared, "mark").groupBy("copy").agg(F.collect_set("place").alias("places"))
+    hits = stored(hits.join(firsts.select("copy", F.col("head_doc").alias("doc_id")), "copy"))
+    dropped(every, shared)
+    held = _holding(source, bit_map(hits.select(slot_of(F.col("doc_id")).alias("slot"))))
+    # rows that repeat are in one place after the join
+    marked = held.join(hits, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    grams = stored(_around(marked, least))
+    dropped(hits)
+    # the first of equal words by id, and of those whose words stand once nothing
+    alike = Window.partitionBy("gram").orderBy("doc_id", "copy", "place")
+    head = [F.first(c).over(alike.rowsBetween(Window.unboundedPreceding, 0)).alias(f"head_{n}") for c, n in (("doc_id", "doc"), ("copy", "copy"), ("place", "place"), ("line", "line"), ("last", "last"))]
+    several = (F.row_number().over(alike) > 1) | F.lead("place").over(alike).isNotNull()
+    placed = grams.select("*", *head, several.alias("several")).where("several").drop("gram", "several")
+    # places of a run keep their distance from their first occurrences, and follow one another
+    key = ["doc_id", "copy", "head_doc", "head_copy", "apart"]
+    placed = placed.withColumn("apart", F.col("place") - F.col("head_place"))
+    along = Window.partitionBy(*key).orderBy("place")
+    begins = F.coalesce(F.lag("place").over(along) != F.col("place") - 1, F.lit(True))
+    closes = F.coalesce(F.lead("place").over(along) != F.col("place") + 1, F.lit(True))
+    edges = placed.select("*", begins.alias("begins"), closes.alias("closes")).where("begins or closes")
+    # next to the place where a run begins stands the one where it closes, unless it is the same
+    z = {c: F.when(F.col("closes"), F.col(c)).otherwise(F.lead(c).over(along)).alias(f"z_{c}") for c in ("place", "last", "end", "head_last")}
+    spans = edges.select(*key, "line", "start", "head_place", "head_line", "begins", "place", *z.values()).where("begins")
+    found = stored(spans.select(
+        "doc_id", "copy", "line", F.col("z_last").alias("last"), "start", F.col("z_end").alias("end"), (F.col("z_place") - F.col("place") + least).alias("n_words"),
+        "head_doc", "head_copy", "head_line", F.col("z_head_last").alias("head_last"), "head_place", "place",
+    ))
+    dropped(grams, firsts)
     return found.unionByName(same)
 
 
@@ -264,10 +297,12 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, text: s
     Runs in lines that are in one class anyway are left out. Runs of a document may overlap. Null and empty texts have no paragraphs; rows without a doc_id take no part. Rows that repeat a doc_id are the same
     document: a paragraph at the same place with the same words counts once.
     """
-    every = stored(paragraphs(docs, tuned_bands(percent), least, text).dropDuplicates(["doc_id", "paragraph", "id"]))
+    described = stored(paragraphs(docs, tuned_bands(percent), least, text))
+    every = stored(described.drop("size", "sketch", "keys").dropDuplicates(["doc_id", "paragraph", "id"]))
     heads = stored(every.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("head"), F.count(F.lit(1)).alias("n")))
     at_head = heads.select("id", "head.doc_id", "head.paragraph")
-    nodes = every.join(at_head, ["id", "doc_id", "paragraph"], "left_semi").select("id", "size", "sketch", "keys")
+    nodes = stored(described.select("id", "size", "sketch", "keys").dropDuplicates(["id"]))
+    dropped(described)
     source = docs.where("doc_id is not null and text is not null").select(slot_of(F.col("doc_id").cast("long")).alias("slot"), F.col(text).alias("text"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -277,13 +312,15 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, text: s
         # a paragraph may stand several times in the documents that were let through
         return stored(found.groupBy("id").agg(F.first("set").alias("set")))
 
-    found = link(stored(nodes), sets_of, percent)
+    found = link(nodes, sets_of, percent)
+    dropped(nodes)
     of = heads.join(found, "id", "left").select("id", "head", "n", F.coalesce("component", "id").alias("class"))
     of = stored(of)
     classes = of.groupBy("class").agg(F.sum("n").alias("members"), F.min("head").alias("first")).where("members > 1")
     told = of.select("id", "class").join(classes, "class").select("id", "first")
-    out = stored(every.drop("size", "sketch", "keys").join(told, "id"))
+    out = stored(every.join(told, "id"))
+    dropped(every)
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("paragraph") != F.col("first.paragraph"))
     first = [F.col("first.doc_id").alias("class_doc"), F.col("first.paragraph").alias("class_paragraph"), F.col("first.start").alias("class_start")]
     lines = out.select("doc_id", "paragraph", "start", "end", "n_words", *first, removed.alias("removed"), F.lit("line").alias("unit"))
-    return lines.unionByName(_run_rows(stored(runs(docs, least, text)), out))
+    return lines.unionByName(_run_rows(runs(docs, least, text), out))

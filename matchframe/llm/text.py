@@ -132,6 +132,14 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, n_rows: int, size: int) -> tu
     return r[new], h[new]
 
 
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from every place, a difference of prefix sums as in ``words``."""
+    m = max(0, len(hashes) - size + 1)
+    power, inverse = _powers(1 << max(16, int(len(hashes)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)], dtype=np.uint64)])
+    return mix((sums[size : size + m] - sums[:m]) * inverse[:m])
+
+
 def release() -> None:
     """Give freed memory back to the machine; a worker lives on after its task."""
     pa.default_memory_pool().release_unused()
